@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -165,9 +165,8 @@ def triage_signals(signals: DataFrame, whitelist: DataFrame, training: DataFrame
              F.concat(F.col("pattern_reasons"), F.array(active)), deep_reasons, no_reasons),
         F.when(src == "knn", file_stem(F.col("path"))).otherwise(F.md5(F.col("path"))),
         [src, F.col("knn"),
-         F.when(src == "knn", F.col("knn.classification") == pick(
-             F.lit("legitimo"), F.col("knn.classification"), F.col("deep.classification"),
-             F.lit("spam"))).alias("knn_was_correct"),
+         # Only tracked where the vote itself was the decision.
+         F.when(src == "knn", F.lit(True)).alias("knn_was_correct"),
          F.col("homograph"), F.col("url_count"), F.col("header_count"),
          F.col("suspicious_headers"), F.col("heuristic_score"), F.col("vector")],
     )
@@ -224,11 +223,6 @@ def batch_evaluate(reports: DataFrame, whitelist: DataFrame, training: DataFrame
     return full.select(*columns)
 
 
-def batch_summary(evaluated: DataFrame) -> DataFrame:
-    """(kind, key, count, pct) by class and by source."""
-    return run_summary(evaluated)
-
-
 def run_summary(analyses: DataFrame) -> DataFrame:
     """(kind, key, count, pct): counts per class and per source with their share."""
     pairs = F.array(
@@ -237,11 +231,6 @@ def run_summary(analyses: DataFrame) -> DataFrame:
     counted = analyses.groupBy("classification", "source").agg(F.count(F.lit(1)).alias("n"))
     long = counted.select(F.inline(pairs), "n").groupBy("kind", "key").agg(
         F.sum("n").alias("count"))
-    total = F.sum("count").over(_by("kind"))
+    total = F.sum("count").over(Window.partitionBy("kind"))
     return long.withColumn("pct", F.round(F.col("count") / total * 100, 1))
 
-
-def _by(*cols):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
