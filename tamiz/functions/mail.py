@@ -138,24 +138,24 @@ def sender_domain(from_value: Column, address_only: bool = False) -> Column:
 # --- verdicts written by the mail system ---------------------------------------------------
 
 def _first_result(text: Column, prefix: str, results: list[str]) -> Column:
-    return F.coalesce(
-        *[F.when(F.contains(text, F.lit(prefix + r)), F.lit(r)) for r in results],
-        F.lit("unknown"),
-    )
+    found = F.filter(F.lit(results), lambda r: F.contains(text, F.concat(F.lit(prefix), r)))
+    return F.coalesce(F.get(found, F.lit(0)), F.lit("unknown"))
 
 
 def auth_results(headers: Column, case: str = "exact") -> Column:
     """STRUCT<spf, dkim, dmarc, suspicious> with the received-spf fallback."""
     auth = F.lower(header(headers, "authentication-results", case))
     received = F.lower(header(headers, "received-spf", case))
-    spf = _first_result(auth, "spf=", C.AUTH_RESULTS)
-    spf = F.when(spf == "unknown",
-                 _first_result(received, "", C.RECEIVED_SPF_RESULTS)).otherwise(spf)
+    spf = let(_first_result(auth, "spf=", C.AUTH_RESULTS), lambda r: F.when(
+        r == "unknown", _first_result(received, "", C.RECEIVED_SPF_RESULTS)).otherwise(r))
     dkim = _first_result(auth, "dkim=", C.AUTH_RESULTS)
     dmarc = _first_result(auth, "dmarc=", C.AUTH_RESULTS)
-    failed = [r.isin("fail", "softfail") for r in (spf, dkim, dmarc)]
-    return F.struct(spf.alias("spf"), dkim.alias("dkim"), dmarc.alias("dmarc"),
-                    (failed[0] | failed[1] | failed[2]).alias("suspicious"))
+    results = F.struct(spf.alias("spf"), dkim.alias("dkim"), dmarc.alias("dmarc"))
+    failed = ("fail", "softfail")
+    return let(results, lambda r: F.struct(
+        r["spf"].alias("spf"), r["dkim"].alias("dkim"), r["dmarc"].alias("dmarc"),
+        (r["spf"].isin(*failed) | r["dkim"].isin(*failed) | r["dmarc"].isin(*failed)
+         ).alias("suspicious")))
 
 
 def auth_results_features(headers: Column, case: str = "exact") -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from functools import reduce
 from html.entities import html5
+from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,10 +37,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def any_contains(c: Column, words: list[str]) -> Column:
     """True if any of the words occurs in ``c``."""
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(c, F.lit(w))
-    return out
+    return F.exists(F.lit(words), lambda w: F.contains(c, w)) if words else F.lit(False)
 
 
 def any_word(c: Column, words: list[str]) -> Column:
@@ -58,27 +58,16 @@ def first_contained(words: list[str], *texts: Column) -> Column:
 
     One scan decides whether there is a hit at all; only then the words are tried in order.
     """
-    def found(w):
-        hit = F.lit(False)
-        for t in texts:
-            hit = hit | F.contains(t, F.lit(w))
-        return F.when(hit, F.lit(w))
-
-    nothing = F.lit(None).cast("string")
     if not words:
-        return nothing
-    possible = F.lit(False)
-    for t in texts:
-        possible = possible | any_word(t, words)
-    return F.when(possible, F.coalesce(*[found(w) for w in words])).otherwise(nothing)
+        return F.lit(None).cast("string")
+    possible = reduce(or_, (any_word(t, words) for t in texts))
+    hits = F.filter(F.lit(words), lambda w: reduce(or_, (F.contains(t, w) for t in texts)))
+    return F.when(possible, F.get(hits, F.lit(0)))
 
 
 def count_contained(words: list[str], c: Column) -> Column:
     """How many of the words occur in ``c``."""
-    out = F.lit(0)
-    for w in words:
-        out = out + F.contains(c, F.lit(w)).cast("int")
-    return out
+    return F.size(F.filter(F.lit(words), lambda w: F.contains(c, w)))
 
 
 # --- entities ---------------------------------------------------------------------------
@@ -240,8 +229,6 @@ def edit_distance(a: Column, b: Column) -> Column:
 
 def normalize_homograph(domain: Column) -> Column:
     """NFKD-normalise and drop what is not ASCII (no built-in function does this)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkd_ascii(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")

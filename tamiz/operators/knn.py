@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 20_000
@@ -22,13 +23,8 @@ VOTE_TYPE = "struct<label:int,confidence:double,proba:array<double>>"
 
 
 def _vote_udf(vectors: list, labels: list, k: int, weights: str, n_classes: int):
-    import pandas as pd
-
     @F.pandas_udf(VOTE_TYPE)
     def vote(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        import pandas as pd
-
         train = np.ascontiguousarray(np.asarray(vectors, dtype="float64").T)
         classes = np.asarray(labels)
         near = min(k, len(classes))
@@ -103,9 +99,6 @@ def knn_neighbours(queries: DataFrame, training: DataFrame, k: int = 5, id_col:
     id_type = q.schema["id"].dataType.simpleString()
 
     def best_of_blocks(left, right):
-        import numpy as np
-        import pandas as pd
-
         columns = ["id", "seq", "label", "dist"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)

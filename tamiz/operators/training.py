@@ -90,6 +90,15 @@ def threshold_log(log: DataFrame, by: str | None = None, seeds: int = 0,
         *_model(by), "seq", "training_size", "from", "to")
 
 
+def threshold_after(appended: int, seeds: int, start: float = DEFAULT.knn_threshold,
+                    cap: int = DEFAULT.training_cap, every: int = 10) -> float:
+    """The threshold in force once ``appended`` rows have joined the ``seeds``."""
+    if appended < every:
+        return start
+    size = min(seeds + appended // every * every, cap)
+    return next((t for n, t in C.THRESHOLD_STEPS if size < n), C.THRESHOLD_FLOOR)
+
+
 def confidence_threshold(training: DataFrame, by: str | None = None) -> DataFrame:
     """(model, training_size, threshold) for a reloaded model."""
     return training.groupBy(*_model(by)).agg(

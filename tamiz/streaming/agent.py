@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT, TriageConfig
+from ..constants import SEED_TRAINING
 from ..functions.features import feedback_vector
 from ..operators import training as TR
 from ..plans.triage import triage
@@ -81,11 +82,8 @@ def process_batch(batch: DataFrame, batch_id: int, paths: AgentPaths,
     spark = batch.sparkSession
     whitelist = readers.read_whitelist(spark, paths.whitelist)
     training = live_training(spark, paths, batch_id, cfg)
-    size = training.count()
-    learned = size > len(TR.C.SEED_TRAINING)
-    # A fresh model keeps the configured threshold; a grown one follows its size.
-    threshold = (TR.confidence_threshold(training).first()["threshold"] if learned
-                 else cfg.knn_threshold)
+    last, seeds = training.agg(F.max("seq")).first()[0], len(SEED_TRAINING)
+    threshold = TR.threshold_after(last + 1 - seeds, seeds, cfg.knn_threshold, cfg.training_cap)
     decided = triage(batch, whitelist, training, ip_reputation, responses, cfg, threshold)
     # Written once, then read back for the other tables: the mail is not parsed again.
     _put(decided, paths.table("analyses"), batch_id)
@@ -103,7 +101,6 @@ def process_batch(batch: DataFrame, batch_id: int, paths: AgentPaths,
         "report_id", F.col("knn.classification").alias("predicted"),
         F.col("classification").alias("actual"), F.lit(False).alias("correct"))
     _put(wrong, paths.table("feedback"), batch_id)
-    last = training.agg(F.max("seq")).first()[0]
     appended = TR.append_training(training, learned_examples(gate), cfg.training_cap)
     _put(appended.where(F.col("seq") > last), paths.table("training"), batch_id)
 
