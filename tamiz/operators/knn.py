@@ -79,8 +79,14 @@ def knn_vote(vector: Column, training: DataFrame, k: int = 5, weights: str = "di
     if len(rows) > BROADCAST_ROWS:
         raise ValueError("training table too large to broadcast; use knn_classify")
     rows.sort(key=lambda r: r["seq"])
-    return _vote_udf([list(r["vector"]) for r in rows], [int(r["label"]) for r in rows],
-                     k, weights, n_classes)(vector)
+    vote = _vote_udf([list(r["vector"]) for r in rows], [int(r["label"]) for r in rows],
+                     k, weights, n_classes)
+    if not rows:
+        return vote(vector)
+    width = len(rows[0]["vector"])
+    # Naming the vector twice also keeps its expression in a projection of its own, below the UDF.
+    return vote(F.when(F.size(vector) == width, vector).otherwise(
+        F.raise_error(F.lit(f"vectors must have {width} values")).cast("array<double>")))
 
 
 def knn_neighbours(queries: DataFrame, training: DataFrame, k: int = 5, id_col: str = "id",
