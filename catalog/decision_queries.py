@@ -289,7 +289,7 @@ def risk_aligned(spark, sf):
         F.col("risk_score"), F.col("classification")).cast("int").alias("aligned"))
 
 
-_GATE = """
+GATE = """
 g0 AS (SELECT *, conf < 0.65 AS low, NOT (CASE class WHEN 'sospechoso' THEN final_risk >= 65 ELSE final_risk BETWEEN 40 AND 75 END) AS mis
   FROM tr WHERE class IN ('spam', 'sospechoso')),
 g AS (SELECT *, CASE WHEN mis THEN 'QUARANTINE' WHEN low THEN 'MANUAL_REVIEW' ELSE 'ADD' END AS action,
@@ -297,7 +297,7 @@ g AS (SELECT *, CASE WHEN mis THEN 'QUARANTINE' WHEN low THEN 'MANUAL_REVIEW' EL
 """
 
 
-@query("quality_gate", voted("i AS report_id, action, issues", "", "g", _GATE))
+@query("quality_gate", voted("i AS report_id, action, issues", "", "g", GATE))
 def quality_gate(spark, sf):
     return sinks.gated(triaged(spark, sf)).select(
         "report_id", "quality.action",
@@ -306,7 +306,7 @@ def quality_gate(spark, sf):
 
 @query("quarantine_records", voted(
     "CAST(i AS VARCHAR) AS file, class AS classification, conf AS confidence, final_risk::DOUBLE AS risk_score, issues",
-    "WHERE action = 'QUARANTINE'", "g", _GATE))
+    "WHERE action = 'QUARANTINE'", "g", GATE))
 def quarantine_records(spark, sf):
     q = sinks.quarantined(sinks.gated(triaged(spark, sf)))
     return q.select("file", "classification", "context.confidence", "context.risk_score",
@@ -315,7 +315,7 @@ def quarantine_records(spark, sf):
 
 
 @query("quarantine_summary", voted("reason, count(*) AS count", "GROUP BY 1", """(
-    SELECT unnest(string_split('total,' || issues, ',')) AS reason FROM g WHERE action = 'QUARANTINE')""", _GATE))
+    SELECT unnest(string_split('total,' || issues, ',')) AS reason FROM g WHERE action = 'QUARANTINE')""", GATE))
 def quarantine_summary(spark, sf):
     return sinks.quarantine_summary(sinks.quarantined(sinks.gated(triaged(spark, sf))))
 
@@ -331,7 +331,7 @@ def manual_review(spark, sf):
 @query("active_learning_step", voted("""
     CAST(least(1000, 15 + (SELECT count(*) FROM g WHERE action <> 'QUARANTINE')) AS BIGINT) AS total_examples,
     (SELECT count(*) FROM g WHERE action = 'QUARANTINE') AS quarantined,
-    (SELECT count(*) FROM g WHERE action = 'MANUAL_REVIEW') AS reviewed""", "", "(SELECT 1)", _GATE))
+    (SELECT count(*) FROM g WHERE action = 'MANUAL_REVIEW') AS reviewed""", "", "(SELECT 1)", GATE))
 def active_learning_step(spark, sf):
     from tamiz.streaming.agent import learned_examples
 

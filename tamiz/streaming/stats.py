@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
+def _timed(stream: DataFrame, column: str, lateness: str) -> DataFrame:
+    """Watermarks need an instant; zoneless columns are read in the session zone."""
+    return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(
+        column, lateness)
+
+
 def stream_monthly_counts(cases: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Counts per calendar month, class and source of a stream of facts (update mode).
 
     The month is part of a one-day window's key, so days older than the watermark leave the
     state; readers add the days of a month up.
     """
-    return cases.withWatermark("ts", lateness).groupBy(
+    return _timed(cases, "ts", lateness).groupBy(
         F.window("ts", "1 day").alias("day"), "classification", "source",
     ).agg(
         F.count(F.lit(1)).alias("n"),
@@ -27,7 +33,7 @@ def stream_monthly_counts(cases: DataFrame, lateness: str = "1 day") -> DataFram
 def stream_window_counts(events: DataFrame, keys: list[str], lateness: str = "10 minutes",
                          size: str = "1 hour") -> DataFrame:
     """Counts per tumbling window and key, final once the watermark has passed (append mode)."""
-    return events.withWatermark("ts", lateness).groupBy(
+    return _timed(events, "ts", lateness).groupBy(
         F.window("ts", size).alias("w"), *keys
     ).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("window_start"), *keys, "n")
@@ -35,7 +41,7 @@ def stream_window_counts(events: DataFrame, keys: list[str], lateness: str = "10
 
 def deduplicated(reports: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Reports once per id, with the memory of ids bounded by the watermark."""
-    return reports.withWatermark("arrived_at", lateness).dropDuplicatesWithinWatermark(
+    return _timed(reports, "arrived_at", lateness).dropDuplicatesWithinWatermark(
         ["report_id"])
 
 
