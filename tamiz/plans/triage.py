@@ -10,6 +10,7 @@ from ..config import DEFAULT, TriageConfig
 from ..functions import features as FX
 from ..functions import scoring as SC
 from ..operators import domains, knn, parsing
+from ..session import settle
 
 ANALYSIS_COLUMNS = [
     "mensaje_id", "classification", "confidence", "reporter_email", "original_subject",
@@ -91,7 +92,9 @@ def deep_analysis(reports: DataFrame, whitelist: DataFrame,
                   ip_reputation: DataFrame | None = None, responses: DataFrame | None = None,
                   cfg: TriageConfig = DEFAULT) -> DataFrame:
     """One analysis row per report: allow-listed, else answered, else decided by rule."""
-    signals = parsing.extract_signals(parsing.parse_reports(reports), cfg)
+    # Written once: the lookups below read the table several times, the mail only this time.
+    signals = settle(parsing.extract_signals(parsing.parse_reports(reports), cfg).drop("vector"),
+                     "signals")
     decided = _deep_decision(score_signals(signals, whitelist, ip_reputation), responses)
     listed = F.col("whitelisted")
     return _as_analysis(
@@ -177,11 +180,12 @@ def triage(reports: DataFrame, whitelist: DataFrame, training: DataFrame,
            cfg: TriageConfig = DEFAULT, threshold: float | None = None) -> DataFrame:
     """Analysis rows with their decision ``source``.
 
-    One plan: every report is parsed once, all three branches are projections of the same row.
+    Every report is parsed once into narrow signal rows, which are written out; all three
+    branches are projections of the same row of that table.
     ``source`` is ``whitelist``, ``knn``, ``llm`` (deep analysis), or ``unreported`` for mail
     without a reporter, which goes to spam unanalysed.
     """
-    signals = parsing.extract_signals(parsing.parse_reports(reports), cfg)
+    signals = settle(parsing.extract_signals(parsing.parse_reports(reports), cfg), "signals")
     return triage_signals(signals, whitelist, training, ip_reputation, responses, cfg, threshold)
 
 
@@ -206,7 +210,8 @@ def batch_evaluate(reports: DataFrame, whitelist: DataFrame, training: DataFrame
             F.round("v.confidence", 4).alias("confidence"), F.lit("knn").alias("source"),
             F.lit(None).cast("int").alias("risk_score"),
             F.array().cast("array<string>").alias("reasons"))
-    full = triage_signals(parsing.extract_signals(parsed, cfg), whitelist, training,
+    signals = settle(parsing.extract_signals(parsed, cfg), "signals")
+    full = triage_signals(signals, whitelist, training,
                           ip_reputation, responses, cfg, threshold, vote_before_whitelist=True)
     deep = F.col("source") != "knn"
     columns = [

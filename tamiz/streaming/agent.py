@@ -1,6 +1,6 @@
 """The continuous agent: report files in, decisions, outboxes and a growing model out.
 
-Each micro-batch runs the batch ``triage`` plan with the allow-list and training log as they
+Each micro-batch runs the batch triage plan with the allow-list and training log as they
 are on disk at that moment, so edits to the list and what earlier batches learned take effect
 without a restart.  Every output is written under its batch id and replaced on a retry, which
 makes a re-run of a batch harmless.
@@ -8,7 +8,7 @@ makes a re-run of a batch harmless.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,21 +18,23 @@ from ..config import DEFAULT, TriageConfig
 from ..constants import SEED_TRAINING
 from ..functions.features import feedback_vector
 from ..operators import training as TR
-from ..plans.triage import triage
+from ..operators.parsing import extract_signals, parse_reports
+from ..plans.triage import triage_signals
 from ..sources import readers, sinks
 
 
 @dataclass
 class AgentPaths:
-    """Folders of the agent; everything it writes lives below ``root``."""
+    """Folders of the agent; it writes below ``root``.
+
+    Tables: signals, analyses, cases, manual_review, quarantine, feedback, training, alerts,
+    notices, webhooks.
+    """
 
     ingress: str
     root: str
     whitelist: str
     archive: str | None = None
-    tables: tuple = field(default=(
-        "analyses", "cases", "manual_review", "quarantine", "feedback", "training",
-        "alerts", "notices", "webhooks"))
 
     def table(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,6 +45,12 @@ def _put(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def _stored(df: DataFrame, paths: AgentPaths, name: str, batch_id: int) -> DataFrame:
+    _put(df, paths.table(name), batch_id)
+    return df.sparkSession.read.schema(df.schema).parquet(
+        f"{paths.table(name)}/batch={batch_id}")
+
+
 def _log(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
     """An agent table as earlier batches left it."""
     try:
@@ -84,11 +92,11 @@ def process_batch(batch: DataFrame, batch_id: int, paths: AgentPaths,
     training = live_training(spark, paths, batch_id, cfg)
     last, seeds = training.agg(F.max("seq")).first()[0], len(SEED_TRAINING)
     threshold = TR.threshold_after(last + 1 - seeds, seeds, cfg.knn_threshold, cfg.training_cap)
-    decided = triage(batch, whitelist, training, ip_reputation, responses, cfg, threshold)
-    # Written once, then read back for the other tables: the mail is not parsed again.
-    _put(decided, paths.table("analyses"), batch_id)
-    done = spark.read.schema(decided.schema).parquet(
-        f"{paths.table('analyses')}/batch={batch_id}")
+    # Both tables are written once and read back: the mail is parsed and decided a single time.
+    signals = _stored(extract_signals(parse_reports(batch), cfg), paths, "signals", batch_id)
+    decided = triage_signals(signals, whitelist, training, ip_reputation, responses, cfg,
+                             threshold)
+    done = _stored(decided, paths, "analyses", batch_id)
     gate = sinks.gated(done, cfg)
     _put(sinks.cases_of(done), paths.table("cases"), batch_id)
     _put(sinks.manual_review(done, cfg), paths.table("manual_review"), batch_id)
