@@ -28,7 +28,10 @@ def _as_reports(files: DataFrame) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """(report_id, path, arrived_at, content): one row per ``*.txt`` file."""
+    """(report_id, path, arrived_at, content): one row per ``*.txt`` file.
+
+    Files without a single byte have no row: Spark's file sources skip them.
+    """
     files = spark.read.format("text").option("wholetext", True).option(
         "pathGlobFilter", "*.txt").load(folder)
     return _as_reports(files)
