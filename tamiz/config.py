@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from . import constants as C
 
@@ -17,9 +17,9 @@ class TriageConfig:
     # True: take the sender domain from the address part instead of the first "@".
     address_only: bool = False
 
-    keywords: list = field(default_factory=lambda: list(C.PHISHING_KEYWORDS))
-    subject_keywords: list = field(default_factory=lambda: list(C.SUBJECT_KEYWORDS))
-    heuristic_words: list = field(default_factory=lambda: list(C.HEURISTIC_WORDS))
+    keywords: tuple[str, ...] = tuple(C.PHISHING_KEYWORDS)
+    subject_keywords: tuple[str, ...] = tuple(C.SUBJECT_KEYWORDS)
+    heuristic_words: tuple[str, ...] = tuple(C.HEURISTIC_WORDS)
 
     knn_k: int = 5
     knn_threshold: float = 0.85

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,7 +107,7 @@ def occurrences(content: Column, token: str) -> Column:
     return (removed / len(token)).cast("int")
 
 
-def keyword_count(subject_lower: Column, words: list[str]) -> Column:
+def keyword_count(subject_lower: Column, words: Sequence[str]) -> Column:
     return count_contained(words, subject_lower)
 
 
@@ -128,7 +130,7 @@ def pattern_reasons(keyword: Column, from_value: Column, reply_to: Column,
 
 
 def heuristic_score(content: Column, content_lower: Column, headers: Column,
-                    words: list[str], case: str = "exact") -> Column:
+                    words: Sequence[str], case: str = "exact") -> Column:
     """Independent 0-1.2 score; the order of additions is part of the definition."""
     auth = F.lower(header(headers, "authentication-results", case))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 from html.entities import html5
 from operator import or_
@@ -35,12 +35,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def any_contains(c: Column, words: list[str]) -> Column:
+def any_contains(c: Column, words: Sequence[str]) -> Column:
     """True if any of the words occurs in ``c``."""
-    return F.exists(F.lit(words), lambda w: F.contains(c, w)) if words else F.lit(False)
+    return F.exists(F.lit(list(words)), lambda w: F.contains(c, w)) if words else F.lit(False)
 
 
-def any_word(c: Column, words: list[str]) -> Column:
+def any_word(c: Column, words: Sequence[str]) -> Column:
     """Same as ``any_contains`` in a single scan of a long text."""
     if not words:
         return F.lit(False)
@@ -53,7 +53,7 @@ def any_word(c: Column, words: list[str]) -> Column:
     return F.rlike(c, F.lit(f"(?=[{letters}])(?:{branches})"))
 
 
-def first_contained(words: list[str], *texts: Column) -> Column:
+def first_contained(words: Sequence[str], *texts: Column) -> Column:
     """The first word, in list order, found in any of the texts; NULL when none is.
 
     One scan decides whether there is a hit at all; only then the words are tried in order.
@@ -61,13 +61,13 @@ def first_contained(words: list[str], *texts: Column) -> Column:
     if not words:
         return F.lit(None).cast("string")
     possible = reduce(or_, (any_word(t, words) for t in texts))
-    hits = F.filter(F.lit(words), lambda w: reduce(or_, (F.contains(t, w) for t in texts)))
+    hits = F.filter(F.lit(list(words)), lambda w: reduce(or_, (F.contains(t, w) for t in texts)))
     return F.when(possible, F.get(hits, F.lit(0)))
 
 
-def count_contained(words: list[str], c: Column) -> Column:
+def count_contained(words: Sequence[str], c: Column) -> Column:
     """How many of the words occur in ``c``."""
-    return F.size(F.filter(F.lit(words), lambda w: F.contains(c, w)))
+    return F.size(F.filter(F.lit(list(words)), lambda w: F.contains(c, w)))
 
 
 # --- entities ---------------------------------------------------------------------------

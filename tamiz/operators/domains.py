@@ -9,6 +9,8 @@ verified on rows that share a key - no all-pairs comparison, however long the li
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,10 @@ def whitelist_index(whitelist: DataFrame) -> DataFrame:
     return entries.select("entry", F.inline(F.array(*keys)))
 
 
-def _domain_keys(domain: Column) -> Column:
+@lru_cache
+def _domain_keys() -> Column:
+    """Suffix and segment keys of ``from_domain``; none for an empty one."""
+    domain = F.col("from_domain")
     n = F.length(domain)
 
     def probes_of_segment(length, i):
@@ -65,7 +70,9 @@ def _domain_keys(domain: Column) -> Column:
 
     lengths = F.sequence(F.greatest(n - MAX_DISTANCE, F.lit(1)), n + MAX_DISTANCE)
     suffixes = F.transform(domain_suffixes(domain), lambda s: _key("suffix", s))
-    return F.concat(suffixes, F.flatten(F.transform(lengths, for_length)))
+    # Not a filter: that would be pushed below, and repeat, the parsing of the column.
+    return F.when(domain != "", F.concat(
+        suffixes, F.flatten(F.transform(lengths, for_length))))
 
 
 def sender_verdicts(domains: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -74,8 +81,8 @@ def sender_verdicts(domains: DataFrame, whitelist: DataFrame) -> DataFrame:
     ``homograph_of`` is the closest entry (ties: alphabetically first) within distance 2 that is
     not the domain itself.
     """
-    distinct = domains.select("from_domain").where(F.col("from_domain") != "").distinct()
-    probes = distinct.select("from_domain", F.inline(_domain_keys(F.col("from_domain"))))
+    distinct = domains.select("from_domain").distinct()
+    probes = distinct.select("from_domain", F.inline(_domain_keys()))
     index = whitelist_index(whitelist)
     distance = F.levenshtein(F.col("from_domain"), F.col("entry"), MAX_DISTANCE)
     is_suffix = F.col("kind") == "suffix"

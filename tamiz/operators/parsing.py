@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TriageConfig
@@ -11,86 +13,108 @@ from ..functions import mail as M
 from ..functions import signals as S
 from ..functions import text as T
 
+# The expressions below only name columns, so each set is built once per configuration and used
+# for every table; building them anew costs more than planning the query.
+
+
+@lru_cache
+def _parse_columns() -> tuple[dict[str, Column], dict[str, Column]]:
+    clean = F.col("_clean")
+    return {"_clean": M.normalize_content(F.col("content"))}, {
+        "headers": M.parse_headers(clean), "microsoft_urls": M.ms_url_verdict(clean)}
+
 
 def parse_reports(reports: DataFrame) -> DataFrame:
     """Add ``headers`` MAP<STRING,STRING> and ``microsoft_urls`` STRING to rows with ``content``."""
     reports.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    clean = reports.withColumn("_clean", M.normalize_content(F.col("content")))
-    return clean.withColumns({
-        "headers": M.parse_headers(F.col("_clean")),
-        "microsoft_urls": M.ms_url_verdict(F.col("_clean")),
-    }).drop("_clean")
+    clean, parsed = _parse_columns()
+    return reports.withColumns(clean).withColumns(parsed).drop("_clean")
 
 
-def extract_signals(parsed: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
-    """Everything later stages need from a parsed report, without its full text.
-
-    Joins and shuffles downstream move these narrow rows, never the mail bodies; columns a
-    query does not use are pruned before they are computed.
-    """
-    h, content, ms = F.col("headers"), F.col("content"), F.col("microsoft_urls")
-    case = cfg.header_case
-    staged = parsed.withColumns({
+@lru_cache
+def _text_columns(cfg: TriageConfig) -> dict[str, Column]:
+    """What several later expressions share; each is evaluated once per report."""
+    content, headers = F.col("content"), F.col("headers")
+    return {
         "_lower": F.lower(content),
         "_url_list": T.extract_url_list(content),
+        "_feature_auth": M.auth_results_features(headers, cfg.header_case),
+        "_forefront": M.forefront_fields(headers, cfg.header_case),
+    }
+
+
+@lru_cache
+def _feature_columns(cfg: TriageConfig) -> dict[str, Column]:
+    return FX.feature_columns(
+        F.col("headers"), F.col("content"), F.col("microsoft_urls"), F.col("_url_list"),
+        F.col("_feature_auth"), F.col("_forefront"), cfg, F.col("_lower"))
+
+
+@lru_cache
+def _signal_columns(cfg: TriageConfig) -> tuple[dict[str, Column], dict[str, Column],
+                                                dict[str, Column]]:
+    h, content = F.col("headers"), F.col("content")
+    case = cfg.header_case
+    first = _text_columns(cfg) | {
         "indicators": M.auth_results(h, case),
-        "_feature_auth": M.auth_results_features(h, case),
-        "_forefront": M.forefront_fields(h, case),
         "from_raw": M.header(h, "From"),
         "to_raw": M.header(h, "To"),
         "subject_raw": M.header_or_null(h, "Subject"),
-    }).withColumns({
+    }
+    second = {
         "_urls": F.array_distinct(F.col("_url_list")),
         "_keyword": T.first_contained(
             cfg.keywords, F.lower(F.coalesce(F.col("subject_raw"), F.lit(""))), F.col("_lower")),
-    })
-    feats = FX.feature_columns(h, content, ms, F.col("_url_list"), F.col("_feature_auth"),
-                               F.col("_forefront"), cfg, F.col("_lower"))
+    }
+    urls = F.col("_urls")
+    kept = {
+        "from_raw": F.col("from_raw"),
+        "from_header": M.header_or_null(h, "From"),
+        "subject_raw": F.col("subject_raw"),
+        "message_id": M.header_or_null(h, "Message-ID"),
+        "to_raw": F.col("to_raw"),
+        "reply_to": M.extract_reply_to(h),
+        "sender_ip": M.extract_sender_ip(h),
+        "from_domain": M.sender_domain(F.col("from_raw"), cfg.address_only),
+        "reporter_content": M.extract_reporter(content),
+        "reporter_header": T.extract_address(F.col("to_raw")),
+        "indicators": F.col("indicators"),
+        "headers_raw": F.to_json(h),
+        "header_count": F.size(h),
+        "suspicious_headers": M.suspicious_headers(h),
+        "body_preview": M.body_preview(content),
+        "urls_found": F.slice(urls, 1, 10),
+        "url_count": F.size(urls),
+        "url_domains": T.distinct_url_domains(urls),
+        "keyword": F.col("_keyword"),
+        "pattern_reasons": S.pattern_reasons(
+            F.col("_keyword"), F.col("from_raw"), S.reply_to_reason(h), urls),
+        "heuristic_score": S.heuristic_score(
+            content, F.col("_lower"), h, cfg.heuristic_words, case),
+        "vector": FX.features_to_vector(_feature_columns(cfg)),
+    }
+    return first, second, kept
+
+
+def extract_signals(parsed: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
+    """Everything later stages need from a parsed report, without its full text.
+
+    Joins and shuffles downstream move these narrow rows, never the mail bodies; columns a
+    query does not use are pruned before they are computed.
+    """
+    first, second, kept = _signal_columns(cfg)
     path = F.col("path") if "path" in parsed.columns else F.col("report_id").cast("string")
-    kept = [c for c in parsed.columns if c not in ("headers", "content", "path")]
-    return staged.select(
-        *kept,
-        path.alias("path"),
-        F.col("from_raw"),
-        M.header_or_null(h, "From").alias("from_header"),
-        F.col("subject_raw"),
-        M.header_or_null(h, "Message-ID").alias("message_id"),
-        F.col("to_raw"),
-        M.extract_reply_to(h).alias("reply_to"),
-        M.extract_sender_ip(h).alias("sender_ip"),
-        M.sender_domain(F.col("from_raw"), cfg.address_only).alias("from_domain"),
-        M.extract_reporter(content).alias("reporter_content"),
-        T.extract_address(F.col("to_raw")).alias("reporter_header"),
-        F.col("indicators"),
-        F.to_json(h).alias("headers_raw"),
-        F.size(h).alias("header_count"),
-        M.suspicious_headers(h).alias("suspicious_headers"),
-        M.body_preview(content).alias("body_preview"),
-        F.slice(F.col("_urls"), 1, 10).alias("urls_found"),
-        F.size(F.col("_urls")).alias("url_count"),
-        T.distinct_url_domains(F.col("_urls")).alias("url_domains"),
-        F.col("_keyword").alias("keyword"),
-        S.pattern_reasons(F.col("_keyword"), F.col("from_raw"), S.reply_to_reason(h),
-                          F.col("_urls")).alias("pattern_reasons"),
-        S.heuristic_score(content, F.col("_lower"), h, cfg.heuristic_words,
-                          case).alias("heuristic_score"),
-        FX.features_to_vector(feats).alias("vector"),
-    )
+    others = [c for c in parsed.columns if c not in ("headers", "content", "path")]
+    return parsed.withColumns(first).withColumns(second).select(
+        *others, path.alias("path"), *[c.alias(n) for n, c in kept.items()])
 
 
 def feature_table(parsed: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
     """report_id plus one DOUBLE column per feature and the ``vector`` array."""
-    staged = parsed.withColumns({
-        "_lower": F.lower(F.col("content")),
-        "_url_list": T.extract_url_list(F.col("content")),
-        "_feature_auth": M.auth_results_features(F.col("headers"), cfg.header_case),
-        "_forefront": M.forefront_fields(F.col("headers"), cfg.header_case),
-    })
-    feats = FX.feature_columns(F.col("headers"), F.col("content"), F.col("microsoft_urls"),
-                               F.col("_url_list"), F.col("_feature_auth"), F.col("_forefront"),
-                               cfg, F.col("_lower"))
-    wide = staged.select("report_id", *[c.alias(n) for n, c in feats.items()])
-    return wide.withColumn("vector", FX.features_to_vector({n: F.col(n) for n in feats}))
+    wide = parsed.withColumns(_text_columns(cfg)).select(
+        "report_id", *[c.alias(n) for n, c in _feature_columns(cfg).items()])
+    return wide.withColumn("vector", FX.features_to_vector(
+        {n: F.col(n) for n in _feature_columns(cfg)}))
 
 
 def parse_coverage(parsed: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,38 +34,46 @@ def label_id(label: Column) -> Column:
     return out
 
 
+@lru_cache
+def _score_columns() -> tuple[Column, dict[str, Column]]:
+    homograph, reasons = F.col("homograph"), F.col("_reasons")
+    # The look-alike reason is in place before scoring and counts; the verdict reason is not.
+    with_homograph = SC.prepend(SC.homograph_reason(homograph), F.col("pattern_reasons"))
+    args = (F.col("url_count"), F.col("microsoft_urls"), F.col("ip_reputation.abuse_score"),
+            homograph)
+    return with_homograph, {
+        "deep_risk": SC.risk_score(F.col("indicators"), F.size(reasons), *args),
+        # The vote branch scores the look-alike but does not list it as a reason.
+        "vote_risk": SC.risk_score(F.col("indicators"), F.size("pattern_reasons"), *args),
+        "deep_reasons": SC.prepend(SC.verdict_reason(F.col("microsoft_urls")), reasons),
+    }
+
+
 def score_signals(signals: DataFrame, whitelist: DataFrame,
                   ip_reputation: DataFrame | None = None) -> DataFrame:
     """Signal rows plus whitelist / look-alike verdict, reputation, reasons and risk."""
     looked_up = domains.ip_reputation_join(
         domains.attach_sender_verdicts(signals, whitelist), ip_reputation)
-    homograph = F.col("homograph")
-    # The look-alike reason is in place before scoring and counts; the verdict reason is not.
-    scored = looked_up.withColumn(
-        "_reasons", SC.prepend(SC.homograph_reason(homograph), F.col("pattern_reasons")))
-    abuse = F.col("ip_reputation.abuse_score")
-    args = (F.col("url_count"), F.col("microsoft_urls"), abuse, homograph)
-    return scored.withColumns({
-        "deep_risk": SC.risk_score(F.col("indicators"), F.size("_reasons"), *args),
-        # The vote branch scores the look-alike but does not list it as a reason.
-        "vote_risk": SC.risk_score(F.col("indicators"), F.size("pattern_reasons"), *args),
-        "deep_reasons": SC.prepend(SC.verdict_reason(F.col("microsoft_urls")),
-                                   F.col("_reasons")),
-    }).drop("_reasons")
+    reasons, scores = _score_columns()
+    return looked_up.withColumn("_reasons", reasons).withColumns(scores).drop("_reasons")
 
 
-def _deep_decision(scored: DataFrame, responses: DataFrame | None) -> DataFrame:
+@lru_cache
+def _deep_columns() -> tuple[Column, Column]:
     fallback = SC.fallback_classify(
         F.col("indicators"), F.col("microsoft_urls"), F.col("homograph"),
         F.col("ip_reputation.abuse_score"), F.col("deep_risk"))
+    answered = SC.parse_response(F.col("_answer"), F.col("deep_risk"), F.col("_fallback"))
+    return fallback, F.when(F.col("_answer").isNull(), F.col("_fallback")).otherwise(answered)
+
+
+def _deep_decision(scored: DataFrame, responses: DataFrame | None) -> DataFrame:
+    fallback, answered = _deep_columns()
     if responses is None:
         return scored.withColumn("deep", fallback)
     answers = responses.groupBy("report_id").agg(F.max("text").alias("_answer"))
     joined = scored.join(answers, "report_id", "left").withColumn("_fallback", fallback)
-    parsed = SC.parse_response(F.col("_answer"), F.col("deep_risk"), F.col("_fallback"))
-    return joined.withColumn(
-        "deep", F.when(F.col("_answer").isNull(), F.col("_fallback")).otherwise(parsed)
-    ).drop("_answer", "_fallback")
+    return joined.withColumn("deep", answered).drop("_answer", "_fallback")
 
 
 def _as_analysis(df: DataFrame, classification, confidence, reporter, sender, risk,
@@ -123,23 +133,28 @@ def triage_signals(signals: DataFrame, whitelist: DataFrame, training: DataFrame
                    cfg: TriageConfig = DEFAULT, threshold: float | None = None,
                    vote_before_whitelist: bool = False) -> DataFrame:
     """The cascade over signal rows (see ``triage``)."""
-    bound = F.lit(cfg.knn_threshold if threshold is None else threshold)
     scored = _deep_decision(score_signals(signals, whitelist, ip_reputation), responses)
     scored = scored.withColumn(
         "_vote", knn.knn_vote(F.col("vector"), training, cfg.knn_k))
-    voted = scored.withColumn("knn", F.struct(
-        label_name(F.col("_vote.label")).alias("classification"),
-        F.round(F.col("_vote.confidence"), 4).alias("confidence"),
-        (F.round(F.col("_vote.confidence"), 4) >= bound).alias("is_confident"),
-    ))
+    bound = cfg.knn_threshold if threshold is None else threshold
+    vote, source, analysis, extra = _cascade_columns(bound, vote_before_whitelist)
+    return _as_analysis(scored.withColumn("knn", vote).withColumn("source", source),
+                        *analysis, extra)
+
+
+@lru_cache
+def _cascade_columns(bound: float, vote_before_whitelist: bool):
+    """Vote struct, decision source, and the analysis columns that depend on it."""
+    score = F.round(F.col("_vote.confidence"), 4)
+    vote = F.struct(label_name(F.col("_vote.label")).alias("classification"),
+                    score.alias("confidence"), (score >= bound).alias("is_confident"))
     unreported = F.col("reporter_header") == ""
     listed, confident = F.col("whitelisted"), F.col("knn.is_confident")
     if vote_before_whitelist:
-        source = (F.when(confident, "knn").when(listed, "whitelist").otherwise("llm"))
+        source = F.when(confident, "knn").when(listed, "whitelist").otherwise("llm")
     else:
         source = (F.when(unreported, "unreported").when(listed, "whitelist")
                   .when(confident, "knn").otherwise("llm"))
-    routed = voted.withColumn("source", source)
     src = F.col("source")
 
     def pick(whitelist_value, knn_value, deep_value, unreported_value):
@@ -153,9 +168,7 @@ def triage_signals(signals: DataFrame, whitelist: DataFrame, training: DataFrame
         F.slice(FX.active_features(F.col("vector")), 1, 8), ", "))
     deep_reasons = F.concat(F.array(vote_text), F.col("deep_reasons"),
                             F.array(F.col("deep.reasoning")))
-    no_reasons = F.array().cast("array<string>")
-    return _as_analysis(
-        routed,
+    analysis = (
         pick(F.lit("legitimo"), F.col("knn.classification"), F.col("deep.classification"),
              F.lit("spam")),
         pick(F.lit(1.0), F.col("knn.confidence"), F.col("deep.confidence"), F.lit(0.0)),
@@ -165,14 +178,18 @@ def triage_signals(signals: DataFrame, whitelist: DataFrame, training: DataFrame
             F.col("from_raw")),
         pick(F.lit(0), F.col("vote_risk"), F.col("deep_risk"), F.lit(0)),
         pick(F.array(F.lit(C.WHITELIST_REASON)),
-             F.concat(F.col("pattern_reasons"), F.array(active)), deep_reasons, no_reasons),
+             F.concat(F.col("pattern_reasons"), F.array(active)), deep_reasons,
+             F.array().cast("array<string>")),
         F.when(src == "knn", file_stem(F.col("path"))).otherwise(F.md5(F.col("path"))),
-        [src, F.col("knn"),
-         # Only tracked where the vote itself was the decision.
-         F.when(src == "knn", F.lit(True)).alias("knn_was_correct"),
-         F.col("homograph"), F.col("url_count"), F.col("header_count"),
-         F.col("suspicious_headers"), F.col("heuristic_score"), F.col("vector")],
     )
+    extra = [
+        src, F.col("knn"),
+        # Only tracked where the vote itself was the decision.
+        F.when(src == "knn", F.lit(True)).alias("knn_was_correct"),
+        F.col("homograph"), F.col("url_count"), F.col("header_count"),
+        F.col("suspicious_headers"), F.col("heuristic_score"), F.col("vector"),
+    ]
+    return vote, source, analysis, extra
 
 
 def triage(reports: DataFrame, whitelist: DataFrame, training: DataFrame,
