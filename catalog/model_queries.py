@@ -120,8 +120,7 @@ def roc_auc(spark, sf):
 
 @query("evaluate_knn")
 def evaluate_knn(spark, sf):
-    p = settle(EV.knn_uniform(split(spark, sf), "vec_id", CLASSES), "predictions")
-    return EV.evaluate("KNN (k=5)", p, CLASSES)
+    return EV.evaluate("KNN (k=5)", EV.knn_uniform(split(spark, sf), "vec_id", CLASSES), CLASSES)
 
 
 @query("standard_scale", """
@@ -221,9 +220,8 @@ def feature_importance_top10(spark, sf):
 @query("compare_models")
 def compare_models(spark, sf):
     s = split(spark, sf)
-    near = settle(EV.knn_uniform(s, "vec_id", CLASSES), "knn-predictions")
+    near = EV.knn_uniform(s, "vec_id", CLASSES)
     _, forest = EV.random_forest(s, "vec_id", CLASSES, trees=20, depth=8)
-    forest = settle(forest, "forest-predictions")
     return EV.compare_models([EV.evaluate("KNN (k=5)", near, CLASSES),
                               EV.evaluate("Random Forest", forest, CLASSES)])
 

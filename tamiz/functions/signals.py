@@ -78,7 +78,7 @@ def shortener_url_count(urls: Column) -> Column:
 
 
 def shortener_in_text(content: Column) -> Column:
-    return any_contains(content, C.HEURISTIC_SHORTENERS)
+    return any_word(content, C.HEURISTIC_SHORTENERS)
 
 
 def high_risk_country(country: Column) -> Column:

@@ -40,23 +40,24 @@ def any_contains(c: Column, words: Sequence[str]) -> Column:
     return F.exists(F.lit(list(words)), lambda w: F.contains(c, w)) if words else F.lit(False)
 
 
+def text_has(c: Column, literal: str) -> Column:
+    """True if a long text holds the literal.
+
+    As a pattern without operators it is searched by skipping ahead, which on whole mails is
+    several times faster than comparing at every position.
+    """
+    return F.rlike(c, F.lit(re.escape(literal)))
+
+
 def any_word(c: Column, words: Sequence[str]) -> Column:
-    """Same as ``any_contains`` in a single scan of a long text."""
-    if not words:
-        return F.lit(False)
-    by_letter: dict[str, list[str]] = {}
-    for w in words:
-        by_letter.setdefault(w[0], []).append(re.escape(w[1:]))
-    branches = "|".join(
-        f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in by_letter.items())
-    letters = "".join(re.escape(first) for first in by_letter)
-    return F.rlike(c, F.lit(f"(?=[{letters}])(?:{branches})"))
+    """Same as ``any_contains``, for long texts."""
+    return reduce(or_, (text_has(c, w) for w in words), F.lit(False))
 
 
 def first_contained(words: Sequence[str], *texts: Column) -> Column:
     """The first word, in list order, found in any of the texts; NULL when none is.
 
-    One scan decides whether there is a hit at all; only then the words are tried in order.
+    A fast search decides whether there is a hit at all; only then the words are tried in order.
     """
     if not words:
         return F.lit(None).cast("string")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import settle
 from .knn import knn_classify
 
 
@@ -142,6 +143,7 @@ def roc_auc_ovr(scored: DataFrame, n_classes: int, y: str = "y", proba: str = "p
 
 def evaluate(name: str, predictions: DataFrame, n_classes: int) -> DataFrame:
     """(model, accuracy, precision, recall, f1, roc_auc) of rows (y, pred, proba)."""
+    predictions = settle(predictions, "predictions")  # read twice below, computed once
     metrics = classification_metrics(predictions).withColumn("model", F.lit(name))
     auc = roc_auc_ovr(predictions, n_classes).withColumn("model", F.lit(name))
     return metrics.join(auc, "model").select(

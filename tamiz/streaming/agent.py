@@ -27,8 +27,8 @@ from ..sources import readers, sinks
 class AgentPaths:
     """Folders of the agent; it writes below ``root``.
 
-    Tables: signals, analyses, cases, manual_review, quarantine, feedback, training, alerts,
-    notices, webhooks.
+    Tables: signals, analyses, cases, manual_review, quarantine, feedback, alerts, notices,
+    webhooks, training (rows learned per batch) and model (the live rows after each batch).
     """
 
     ingress: str
@@ -51,26 +51,12 @@ def _stored(df: DataFrame, paths: AgentPaths, name: str, batch_id: int) -> DataF
         f"{paths.table(name)}/batch={batch_id}")
 
 
-def _log(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    """An agent table as earlier batches left it."""
-    try:
-        stored = spark.read.schema(schema + ", batch int").parquet(path)
-        return stored.where(F.col("batch") < before)
-    except Exception as exc:  # the first batch finds no folder yet
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return spark.createDataFrame([], schema + ", batch int")
-
-
-TRAINING_LOG = "seq bigint, vector array<double>, label int"
-
-
-def live_training(spark: SparkSession, paths: AgentPaths, batch_id: int,
-                  cfg: TriageConfig = DEFAULT) -> DataFrame:
-    """Seed rows plus what was learned before this batch, newest rows only."""
-    learned = _log(spark, paths.table("training"), TRAINING_LOG, batch_id)
-    rows = TR.seed_training(spark).unionByName(learned.select("seq", "vector", "label"))
-    return TR.keep_last(rows, cfg.training_cap)
+def live_training(spark: SparkSession, paths: AgentPaths, batch_id: int) -> DataFrame:
+    """The model as the batch before left it: one small folder, however long the agent has run."""
+    if batch_id == 0:
+        return TR.seed_training(spark)
+    return spark.read.schema(TR.TRAINING_SCHEMA).parquet(
+        f"{paths.table('model')}/batch={batch_id - 1}")
 
 
 def learned_examples(gated_rows: DataFrame) -> DataFrame:
@@ -89,7 +75,7 @@ def process_batch(batch: DataFrame, batch_id: int, paths: AgentPaths,
     """Triage one micro-batch and write all its tables."""
     spark = batch.sparkSession
     whitelist = readers.read_whitelist(spark, paths.whitelist)
-    training = live_training(spark, paths, batch_id, cfg)
+    training = live_training(spark, paths, batch_id)
     last, seeds = training.agg(F.max("seq")).first()[0], len(SEED_TRAINING)
     threshold = TR.threshold_after(last + 1 - seeds, seeds, cfg.knn_threshold, cfg.training_cap)
     # Both tables are written once and read back: the mail is parsed and decided a single time.
@@ -109,8 +95,9 @@ def process_batch(batch: DataFrame, batch_id: int, paths: AgentPaths,
         "report_id", F.col("knn.classification").alias("predicted"),
         F.col("classification").alias("actual"), F.lit(False).alias("correct"))
     _put(wrong, paths.table("feedback"), batch_id)
-    appended = TR.append_training(training, learned_examples(gate), cfg.training_cap)
-    _put(appended.where(F.col("seq") > last), paths.table("training"), batch_id)
+    grown = _stored(TR.append_training(training, learned_examples(gate), cfg.training_cap),
+                    paths, "model", batch_id)
+    _put(grown.where(F.col("seq") > last), paths.table("training"), batch_id)
 
 
 def start_agent(spark: SparkSession, paths: AgentPaths, cfg: TriageConfig = DEFAULT,
