@@ -33,8 +33,7 @@ def whitelist(spark: SparkSession) -> DataFrame:
 def reputation(spark: SparkSession, sf: str) -> DataFrame:
     """Reputation dimension: one row per sender address that occurs."""
     k = F.col("doc_id") % 250
-    return D.table(spark, sf, "documents").select(k.alias("k")).distinct().where(
-        "k % 5 <> 4").select(
+    return D.table(spark, sf, "documents").select(k.alias("k")).distinct().select(
         F.concat(F.lit("203.0.113."), F.col("k").cast("string")).alias("ip"),
         (F.col("k") % 101).cast("int").alias("abuse_score"),
         F.lit("AR").alias("country"), F.lit("isp").alias("isp"))
@@ -472,8 +471,7 @@ def normalize_homograph(spark, sf):
 
 
 @query("ip_reputation_join", derived("""i AS report_id, ip AS sender_ip,
-    CAST(CASE WHEN i % 250 % 5 = 4 THEN -1 ELSE i % 250 % 101 END AS INT) AS abuse_score,
-    CAST((i % 250 % 5 <> 4) AS INT) AS checked"""))
+    CAST(i % 250 % 101 AS INT) AS abuse_score, 1 AS checked"""))
 def ip_reputation_join(spark, sf):
     s = signals(spark, sf).select("report_id", "sender_ip")
     joined = domains.ip_reputation_join(s, reputation(spark, sf))
@@ -515,7 +513,7 @@ def risk_score(spark, sf):
 
 
 @query("risk_score_with_reputation", derived("""i AS report_id, CAST(least(points + least(nreasons * 7, 25)
-    + CASE WHEN i % 250 % 5 = 4 THEN 0 WHEN i % 250 % 101 >= 80 THEN 20 WHEN i % 250 % 101 >= 50 THEN 10
+    + CASE WHEN i % 250 % 101 >= 80 THEN 20 WHEN i % 250 % 101 >= 50 THEN 10
       WHEN i % 250 % 101 >= 20 THEN 5 ELSE 0 END, 100) AS INT) AS risk"""))
 def risk_score_with_reputation(spark, sf):
     return scored(spark, sf, reputation(spark, sf)).select(

@@ -19,6 +19,7 @@ from . import derived as D
 from .closed_form import derived, voted
 from .decision_queries import GATE
 from .registry import query
+from .report_queries import whitelist
 
 YEAR, MONTH = 1997, 5
 
@@ -210,9 +211,7 @@ def report_files(spark, sf):
 
 def run_agent(spark, sf) -> agent.AgentPaths:
     root = new_path(spark, "agent")
-    lines = D.table(spark, sf, "documents").limit(1).select(
-        F.explode(F.lit(D.WHITELIST)).alias("value"))
-    lines.write.text(f"{root}/whitelist")
+    whitelist(spark).write.text(f"{root}/whitelist")
     paths = agent.AgentPaths(report_folder(spark, sf), root, f"{root}/whitelist")
     agent.start_agent(spark, paths, available_now=True).awaitTermination()
     return paths
