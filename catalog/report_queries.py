@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz import constants as C
@@ -39,7 +39,13 @@ def reputation(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("AR").alias("country"), F.lit("isp").alias("isp"))
 
 
-H, CONTENT = F.col("headers"), F.col("content")
+def header_map() -> Column:
+    return F.col("headers")
+
+
+def content() -> Column:
+    return F.col("content")
+
 
 # --- parsing -------------------------------------------------------------------------------
 
@@ -62,13 +68,13 @@ def normalize_content(spark, sf):
     CASE WHEN i % 6 = 0 THEN 'yes' ELSE 'no' END AS attach, CAST(nheaders AS INT) AS header_count"""))
 def parse_headers(spark, sf):
     def h(name):
-        return M.header_or_null(H, name)
+        return M.header_or_null(header_map(), name)
 
     return parsed(spark, sf).select(
         "report_id", h("From").alias("from_header"), h("Subject").alias("subject"),
         h("Message-ID").alias("message_id"), h("Reply-To").alias("reply_to"),
         h("To").alias("to_header"), h("authentication-results").alias("auth_header"),
-        h("X-MS-Has-Attach").alias("attach"), F.size(H).alias("header_count"))
+        h("X-MS-Has-Attach").alias("attach"), F.size(header_map()).alias("header_count"))
 
 
 @query("ms_url_verdict", derived("i AS report_id, ms AS microsoft_urls"))
@@ -88,7 +94,7 @@ def unescape_headers(spark, sf):
 @query("extract_urls", derived("i AS report_id, nurl AS url_count"))
 def extract_urls(spark, sf):
     return D.reports(spark, sf).select(
-        "report_id", F.size(T.extract_urls(CONTENT)).alias("url_count"))
+        "report_id", F.size(T.extract_urls(content())).alias("url_count"))
 
 
 @query("extract_url_list", r"""
@@ -110,14 +116,14 @@ def url_host(spark, sf):
 
 @query("extract_reporter", derived("i AS report_id, reporter"))
 def extract_reporter(spark, sf):
-    return D.reports(spark, sf).select("report_id", M.extract_reporter(CONTENT).alias("reporter"))
+    return D.reports(spark, sf).select("report_id", M.extract_reporter(content()).alias("reporter"))
 
 
 @query("extract_address", derived("i AS report_id, reporter AS recipient, 'user@' || dom AS sender"))
 def extract_address(spark, sf):
     return parsed(spark, sf).select(
-        "report_id", T.extract_address(M.header(H, "To")).alias("recipient"),
-        T.extract_address(M.header(H, "From")).alias("sender"))
+        "report_id", T.extract_address(M.header(header_map(), "To")).alias("recipient"),
+        T.extract_address(M.header(header_map(), "From")).alias("sender"))
 
 
 @query("extract_emails", r"""
@@ -131,18 +137,18 @@ def extract_emails(spark, sf):
 @query("extract_domain", derived("i AS report_id, fd AS from_domain, rd AS reply_domain"))
 def extract_domain(spark, sf):
     return parsed(spark, sf).select(
-        "report_id", T.extract_domain(M.header(H, "From")).alias("from_domain"),
-        T.extract_domain(M.header(H, "Reply-To")).alias("reply_domain"))
+        "report_id", T.extract_domain(M.header(header_map(), "From")).alias("from_domain"),
+        T.extract_domain(M.header(header_map(), "Reply-To")).alias("reply_domain"))
 
 
 @query("extract_sender_ip", derived("i AS report_id, ip AS sender_ip"))
 def extract_sender_ip(spark, sf):
-    return parsed(spark, sf).select("report_id", M.extract_sender_ip(H).alias("sender_ip"))
+    return parsed(spark, sf).select("report_id", M.extract_sender_ip(header_map()).alias("sender_ip"))
 
 
 @query("extract_reply_to", derived("i AS report_id, reply_to"))
 def extract_reply_to(spark, sf):
-    return parsed(spark, sf).select("report_id", M.extract_reply_to(H).alias("reply_to"))
+    return parsed(spark, sf).select("report_id", M.extract_reply_to(header_map()).alias("reply_to"))
 
 
 def forefront_reports(spark, sf):
@@ -176,7 +182,7 @@ _FOREFRONT_CTE = """WITH f AS (SELECT doc_id AS i, doc_id % 11 - 1 AS scl,
 @query("forefront_fields", _FOREFRONT_CTE + """
     SELECT i AS report_id, CAST(scl AS INT) AS scl, sfv, cat, cip, ctry, CAST(nli AS INT) AS ipv_nli FROM f""")
 def forefront_fields(spark, sf):
-    ff = forefront_reports(spark, sf).select("report_id", M.forefront_fields(H).alias("f"))
+    ff = forefront_reports(spark, sf).select("report_id", M.forefront_fields(header_map()).alias("f"))
     return ff.select("report_id", F.col("f.scl").cast("int").alias("scl"), "f.sfv", "f.cat",
                      "f.cip", "f.ctry", F.col("f.ipv_nli").cast("int").alias("ipv_nli"))
 
@@ -229,13 +235,13 @@ def _predicate(name, sql, fn):
         return parsed(spark, sf).select("report_id", fn().cast("int").alias("hit"))
 
 
-_predicate("reply_to_mismatch", "rt", lambda: S.reply_to_mismatch(H))
-_predicate("display_name_mismatch", "disp", lambda: S.display_name_mismatch(M.header(H, "From")))
+_predicate("reply_to_mismatch", "rt", lambda: S.reply_to_mismatch(header_map()))
+_predicate("display_name_mismatch", "disp", lambda: S.display_name_mismatch(M.header(header_map(), "From")))
 _predicate("display_name_mismatch_strict", "disp",
-           lambda: S.display_name_mismatch_feature(M.header(H, "From")))
+           lambda: S.display_name_mismatch_feature(M.header(header_map(), "From")))
 _predicate("shortener_in_text", "i % 9 = 0 OR " + " OR ".join(
     f"contains(text, '{w}')" for w in C.HEURISTIC_SHORTENERS),
-    lambda: S.shortener_in_text(CONTENT))
+    lambda: S.shortener_in_text(content()))
 
 
 def crossed_headers(spark, sf):
@@ -268,21 +274,21 @@ _CROSSED = """WITH x AS (SELECT doc_id AS i, doc_id % 2 AS f, (doc_id // 2) % 2
 @query("return_path_mismatch", _CROSSED + "SELECT i AS report_id, (rp <> f)::INT AS hit FROM x")
 def return_path_mismatch(spark, sf):
     return crossed_headers(spark, sf).select(
-        "report_id", S.return_path_mismatch(H).cast("int").alias("hit"))
+        "report_id", S.return_path_mismatch(header_map()).cast("int").alias("hit"))
 
 
 @query("thread_hijack", _CROSSED
        + "SELECT i AS report_id, (i % 3 <> 0 AND irt <> f)::INT AS hit FROM x")
 def thread_hijack(spark, sf):
     return crossed_headers(spark, sf).select(
-        "report_id", S.thread_hijack(H).cast("int").alias("hit"))
+        "report_id", S.thread_hijack(header_map()).cast("int").alias("hit"))
 
 
 @query("originating_ip_mismatch", _CROSSED
        + "SELECT i AS report_id, (i % 5 <> 0 AND xo <> f)::INT AS hit FROM x")
 def originating_ip_mismatch(spark, sf):
     return crossed_headers(spark, sf).select(
-        "report_id", S.originating_ip_mismatch(H).cast("int").alias("hit"))
+        "report_id", S.originating_ip_mismatch(header_map()).cast("int").alias("hit"))
 
 
 @query("feature_sender_identity", _CROSSED + """
@@ -300,7 +306,7 @@ def feature_sender_identity(spark, sf):
 @query("auth_received_spf_fallback", _CROSSED + "SELECT i AS report_id, 'fail' AS spf, 1 AS suspicious, 'unknown' AS feature_spf FROM x")
 def auth_received_spf_fallback(spark, sf):
     rows = crossed_headers(spark, sf).select(
-        "report_id", M.auth_results(H).alias("a"), M.auth_results_features(H).alias("f"))
+        "report_id", M.auth_results(header_map()).alias("a"), M.auth_results_features(header_map()).alias("f"))
     return rows.select("report_id", "a.spf", F.col("a.suspicious").cast("int").alias("suspicious"),
                        F.col("f.spf").alias("feature_spf"))
 
@@ -319,13 +325,13 @@ def shortener_match(spark, sf):
 @query("shortener_reasons", derived("i AS report_id, CASE WHEN i % 9 = 0 THEN 'bit.ly' ELSE '' END AS services"))
 def shortener_reasons(spark, sf):
     return D.reports(spark, sf).select("report_id", F.array_join(
-        S.shortener_hits(T.extract_urls(CONTENT)), ",").alias("services"))
+        S.shortener_hits(T.extract_urls(content())), ",").alias("services"))
 
 
 @query("shortener_url_count", derived("i AS report_id, CAST((i % 9 = 0) AS INT) AS n"))
 def shortener_url_count(spark, sf):
     return D.reports(spark, sf).select(
-        "report_id", S.shortener_url_count(T.extract_url_list(CONTENT)).alias("n"))
+        "report_id", S.shortener_url_count(T.extract_url_list(content())).alias("n"))
 
 
 _WORDS = ["ting", "the", "que", "der", "with", "para"]
@@ -358,7 +364,7 @@ def keyword_any(spark, sf):
        + "SELECT i AS report_id, (ctry IN ('RU','CN','UA'))::INT AS hit FROM f")
 def high_risk_country(spark, sf):
     return forefront_reports(spark, sf).select("report_id", S.high_risk_country(
-        M.forefront_fields(H)["ctry"]).cast("int").alias("hit"))
+        M.forefront_fields(header_map())["ctry"]).cast("int").alias("hit"))
 
 
 @query("html_form_present", """
@@ -381,7 +387,7 @@ def html_obfuscation(spark, sf):
 @query("distinct_url_domains", derived("i AS report_id, nurl AS domains"))
 def distinct_url_domains(spark, sf):
     return D.reports(spark, sf).select(
-        "report_id", T.distinct_url_domains(T.extract_urls(CONTENT)).alias("domains"))
+        "report_id", T.distinct_url_domains(T.extract_urls(content())).alias("domains"))
 
 
 @query("url_domain_table", r"""
@@ -484,7 +490,7 @@ def ip_reputation_join(spark, sf):
 @query("auth_results", derived("""i AS report_id, spf, dkim, dmarc,
     CAST(spf IN ('fail','softfail') OR dkim = 'fail' OR dmarc = 'fail' AS INT) AS suspicious"""))
 def auth_results(spark, sf):
-    a = parsed(spark, sf).select("report_id", M.auth_results(H).alias("a"))
+    a = parsed(spark, sf).select("report_id", M.auth_results(header_map()).alias("a"))
     return a.select("report_id", "a.spf", "a.dkim", "a.dmarc",
                     F.col("a.suspicious").cast("int").alias("suspicious"))
 
@@ -492,7 +498,7 @@ def auth_results(spark, sf):
 @query("auth_results_features", derived("i AS report_id, spf, dkim, dmarc"))
 def auth_results_features(spark, sf):
     return parsed(spark, sf).select(
-        "report_id", M.auth_results_features(H).alias("a")).select("report_id", "a.*")
+        "report_id", M.auth_results_features(header_map()).alias("a")).select("report_id", "a.*")
 
 
 @query("suspicious_reasons", derived("i AS report_id, base_reasons AS reasons"))
