@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,24 +17,43 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private local one only where none is configured."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
+
+    Without one, a single-process master (``local``, ``local[n]``) uses a folder below ``/tmp``;
+    any other master is refused, because its executors would not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tamiz-")
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"/tmp/tamiz-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables; ``release`` deletes it."""
+    return f"{shared_dir(spark)}/tamiz/{spark.conf.get('spark.app.id')}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one."""
-    return f"{shared_dir(spark)}/tamiz/{name}-{uuid.uuid4().hex}"
+    """A fresh folder of this application below the shared one."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that read them must be written before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage in a way that survives lost executors, and the file size then tells the
-    planner whether the table is small enough to broadcast; no hint is given.
+    planner whether the table is small enough to broadcast; no hint is given. The files belong
+    to the application: ``release`` deletes them, also those a lost driver would leave behind.
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
