@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from tamiz.llm import source_mixing, warc_revisits
+from tamiz.llm import (
+    adaptive_rules, disclosure, order_minhash, source_mixing, spaced_seeds, sparse_suffixes, toxicity_chain, warc_revisits, weak_quality,
+)
 from tamiz.session import configure
 
 _QUERIES = {
+    "op1_spaced_seeds": spaced_seeds,
+    "op2_toxicity_chain": toxicity_chain,
     "op3_warc_revisits": warc_revisits,
+    "op5_weak_quality": weak_quality,
+    "op6_adaptive_rules": adaptive_rules,
+    "op7_order_minhash": order_minhash,
+    "op8_disclosure": disclosure,
     "op9_source_mixing": source_mixing,
+    "op10_sparse_suffixes": sparse_suffixes,
 }
 
 
