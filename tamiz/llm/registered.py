@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tamiz.llm import (
-    adaptive_rules, disclosure, order_minhash, source_mixing, spaced_seeds, sparse_suffixes, toxicity_chain, warc_revisits, weak_quality,
+    adaptive_rules, disclosure, license_scan, order_minhash, source_mixing, spaced_seeds, sparse_suffixes, toxicity_chain, warc_revisits, weak_quality,
 )
 from tamiz.session import configure
 
@@ -11,6 +11,7 @@ _QUERIES = {
     "op1_spaced_seeds": spaced_seeds,
     "op2_toxicity_chain": toxicity_chain,
     "op3_warc_revisits": warc_revisits,
+    "op4_license_scan": license_scan,
     "op5_weak_quality": weak_quality,
     "op6_adaptive_rules": adaptive_rules,
     "op7_order_minhash": order_minhash,
@@ -27,8 +28,10 @@ def _pipeline(spark, sf_dir):
 
 
 def queries():
-    runs = {name: (lambda spark, sf_dir, module=module: module.query(configure(spark), sf_dir)) for name, module in _QUERIES.items()}
-    return runs
+    def run(module):
+        return lambda spark, sf_dir: module.query(configure(spark), sf_dir)
+
+    return {name: run(module) for name, module in _QUERIES.items()} | {"pipeline": _pipeline}
 
 
 def oracle_sql():

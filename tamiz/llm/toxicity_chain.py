@@ -19,7 +19,7 @@ from tamiz.llm.common import body, table
 from tamiz.session import settle
 
 #: Labelled documents used for training, about; chosen by hash where there are more.
-MAX_LABELLED = 6000
+MAX_LABELLED = 10_000
 #: Features to the vocabulary at most, and training documents that must hold one.
 VOCABULARY, LEAST_DOCS = 1 << 16, 3
 FOLDS = 3
@@ -98,7 +98,7 @@ def _fit(df: DataFrame, name: str, earlier: list[str]):
     weighted = df.withColumn("_weight", F.when(F.col(name) > 0, weight).otherwise(1.0))
     model = LogisticRegression(
         featuresCol="_inputs", labelCol=name, weightCol="_weight", probabilityCol="_probability", rawPredictionCol="_raw",
-        predictionCol="_class", elasticNetParam=1.0, regParam=0.002, maxIter=30, standardization=False,
+        predictionCol="_class", elasticNetParam=1.0, regParam=0.002, maxIter=25, standardization=False,
     )
     return model.fit(_joined(earlier).transform(weighted))
 
