@@ -24,6 +24,8 @@ LEAST = 50
 SEED, WINDOW = 11, 40
 #: Words of content that a suffix carries to each side; longer matches are chains of such pieces.
 REACH = LEAST
+#: Runs of other texts on each side that a suffix is compared with.
+NEAR = 8
 #: Suffixes to a task when neighbours are compared.
 ROWS = 40_000
 
@@ -94,7 +96,11 @@ def _codes(column: list[bytes]) -> np.ndarray:
 
 
 def _matches(rows: list[tuple]) -> list[tuple]:
-    """(tid, begin, end) of the matches of sorted rows (tid, place, right, left) with the nearest rows of other texts."""
+    """(tid, begin, end) of the matches of sorted rows (tid, place, right, left) with the nearest rows of other texts.
+
+    The neighbour that goes on longest to the right need not be the one that does to the left, so the last rows of the
+    NEAR runs before and the first rows of the NEAR runs after a row are compared with it.
+    """
     if not rows:
         return []
     n = len(rows)
@@ -103,29 +109,29 @@ def _matches(rows: list[tuple]) -> list[tuple]:
     right, left = _codes([r[2] for r in rows]), _codes([r[3] for r in rows])
     starts = np.flatnonzero(np.r_[True, tids[1:] != tids[:-1]])  # where another text's run begins
     run = np.searchsorted(starts, np.arange(n), side="right") - 1
-    before = starts[run] - 1
-    after = np.r_[starts[1:], n][run]
-    out = []
-    for other in (before, after):
-        mine = np.flatnonzero((other >= 0) & (other < n))
-        forward = _common(right[mine], right[other[mine]])
-        backward = _common(left[mine], left[other[mine]])
-        long = forward + backward >= LEAST
-        for row, f, b in zip(mine[long], forward[long], backward[long]):
-            out.append((rows[row][0], int(places[row] - b), int(places[row] + f)))
-    return out
+    ends = np.r_[starts[1:] - 1, n - 1]
+    out = set()
+    for step in range(1, NEAR + 1):
+        for other_run, face in ((run - step, ends), (run + step, starts)):
+            mine = np.flatnonzero((other_run >= 0) & (other_run < len(starts)))
+            other = face[other_run[mine]]
+            differs = tids[mine] != tids[other]
+            mine, other = mine[differs], other[differs]
+            forward = _common(right[mine], right[other])
+            backward = _common(left[mine], left[other])
+            long = forward + backward >= LEAST
+            out.update((rows[m][0], int(places[m] - b), int(places[m] + f)) for m, f, b in zip(mine[long], forward[long], backward[long]))
+    return sorted(out)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches inside a sorted task; its first and last run of one text each, with a neighbour, go on as edges."""
+    """Matches inside a sorted task; its first and last runs of one text each go on as edges."""
     rows = [tuple(r) for batch in batches for r in zip(*(batch[c].to_pylist() for c in ("tid", "place", "right", "left")))]
     found = _matches(rows)
-    first, last = 0, len(rows) - 1
-    while first < len(rows) - 1 and rows[first + 1][0] == rows[0][0]:
-        first += 1
-    while last > 0 and rows[last - 1][0] == rows[-1][0]:
-        last -= 1
-    kept = sorted({*range(0, min(first + 2, len(rows))), *range(max(last - 1, 0), len(rows))}) if rows else []
+    starts = [k for k in range(len(rows)) if not k or rows[k][0] != rows[k - 1][0]]
+    head = starts[NEAR] if len(starts) > NEAR else len(rows)
+    tail = starts[-NEAR] if len(starts) > NEAR else 0
+    kept = sorted({*range(head), *range(tail, len(rows))})
     part = TaskContext.get().partitionId()
     edges = [(*rows[k], part, k) for k in kept]
     yield pa.RecordBatch.from_arrays([
