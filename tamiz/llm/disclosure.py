@@ -118,20 +118,26 @@ def disclosing_terms(
 
     A pair needs ``support`` distinct contexts: with fewer, every rare word beside an entity would seem to reveal it.
     """
+    n = F.lit(float(max(1, found.select("tid").distinct().count())))
+
+    def share(of_term: str) -> Column:
+        return F.round(F.log2(n * F.col("both") / (F.col("of_entity") * F.col(of_term))) / F.log2(n / F.col("of_entity")), 9)
+
     pairs = near.groupBy("entity", "term").agg(
         F.countDistinct("context").alias("contexts"), F.countDistinct("tid").alias("both")
     ).where(F.col("contexts") >= support)
     held = near.select("entity", "tid").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    pairs = settle(pairs.join(held, "entity"), "pii-pairs")
+    # A term is in at least as many texts as it is beside entities, which already rules out most words.
+    beside = near.select("term", "tid").distinct().groupBy("term").agg(F.count("*").alias("beside"))
+    pairs = pairs.join(held, "entity").join(beside, "term")
+    pairs = settle(pairs.where(share("beside") >= threshold).drop("beside"), "pii-pairs")
     terms = settle(pairs.select("term").distinct(), "pii-terms")
     words = found.select("tid", F.explode(F.array_distinct(plain_words(F.col("_text")))).alias("term"))
     places = settle(words.join(_bounded(terms), "term", "left_semi").distinct(), "pii-places")
     of_term = places.groupBy("term").agg(F.count("*").alias("of_term"))
-    texts = found.agg(F.approx_count_distinct("tid", 0.01).alias("texts"))
-    n = F.greatest(F.col("texts"), F.col("of_entity"), F.col("of_term")).cast("double")
-    share = F.log2(n * F.col("both") / (F.col("of_entity") * F.col("of_term"))) / F.log2(n / F.col("of_entity"))
-    scored = pairs.join(of_term, "term").join(F.broadcast(texts), how="cross").select("term", F.round(share, 9).alias("disclosure"))
-    return settle(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= threshold), "pii-revealing"), places
+    scored = pairs.join(of_term, "term").select("term", share("of_term").alias("disclosure"))
+    revealing = scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= threshold)
+    return settle(revealing, "pii-revealing"), places
 
 
 def find_disclosures(docs: DataFrame, threshold: float = 0.9, removal: float = 0.999, support: int = 3) -> DataFrame:
