@@ -54,11 +54,11 @@ def tilts(cells: DataFrame, targets: DataFrame, most: float, rounds: int = 60) -
     an infinite tilt (null). The state is a table of one row per source; it is written after each step.
     """
     limit = F.lit(float(most))
-    ratio = F.col("target") / F.col("source_size")
-    state = targets.withColumn("mean", F.col("source_size") / F.col("n_docs"))
+    ratio = F.try_divide("target", "source_size")
+    state = targets.withColumn("mean", F.try_divide("source_size", "n_docs"))
     solvable = (F.col("source_size") > 0) & (ratio < limit * (1 - 1e-12))
     flat = F.log(ratio)
-    reach = F.col("mean") / F.col("least")
+    reach = F.try_divide("mean", "least")
     state = state.select(
         "*", F.when(solvable, flat).alias("tilt"),
         F.when(flat < 0, flat * reach).otherwise(F.lit(0.0)).alias("low"),
@@ -79,7 +79,7 @@ def tilts(cells: DataFrame, targets: DataFrame, most: float, rounds: int = 60) -
         gap = F.col("got") - F.col("target")
         low = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
-        newton = F.col("tilt") - gap / F.col("slope")
+        newton = F.col("tilt") - F.try_divide(gap, F.col("slope"))
         inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
         wide = F.abs(gap) > 0.25 + 1e-6 * F.col("target")
         moved = F.col("got").isNotNull() & wide & (high - low > 1e-10)
@@ -133,7 +133,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     state = tilts(cells.where("size > 0"), source_targets(totals, weights, most), most).join(rows, "key")
     limit = F.lit(float(most))
     rate = F.when(F.col("tilt").isNull(), F.when(F.col("source_size") > 0, limit).otherwise(1.0)).otherwise(
-        F.least(limit, F.exp(F.col("tilt") * F.col("size") / F.col("mean"))))
+        F.least(limit, F.exp(F.try_divide(F.col("tilt") * F.col("size"), F.col("mean")))))
     blocks = F.ceil(F.col("n_rows") / BLOCK)
     rated = sized.drop("source").join(state, "key").select(
         "doc_id", "source", "key", "size", "source_size", "target", rate.alias("rate"),

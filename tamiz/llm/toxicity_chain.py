@@ -73,10 +73,11 @@ class Chain:
         """(columns of docs, p_<category>...) with the probabilities of all categories."""
         df = docs
         if self.vocabulary is not None:
-            df = self.vocabulary.transform(_tokenised(docs)).drop("_tokens")
+            df = self.vocabulary.transform(_tokenised(docs))
         for k, (name, model) in enumerate(self.models):
             df = _apply(df, name, model, [n for n, _ in self.models[:k]])
-        return df.select(*docs.columns, *[f"p_{n}" for n, _ in self.models])
+        known = F.size("_tokens") > 0 if self.vocabulary is not None else F.lit(True)
+        return df.select(*docs.columns, *[F.when(known, F.col(f"p_{n}")).otherwise(0.0).alias(f"p_{n}") for n, _ in self.models])
 
 
 def _joined(earlier: list[str]) -> VectorAssembler:
@@ -135,8 +136,8 @@ def fit_chain(rows: DataFrame, categories: list[str]) -> Chain:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, p_insult, p_contempt, p_toxic, toxic) for each row of docs(doc_id, text); toxic: p_toxic >= threshold.
 
-    labels(doc_id, toxic) covers some documents. Null and empty texts have no features and get the intercepts'
-    probabilities. Without labels, or with one class only, probabilities are that class's. Repeated rows are scored alike; empty
+    labels(doc_id, toxic) covers some documents. Texts without words, null and empty included, get
+    probability 0. Without labels, or with one class only, probabilities are that class's. Repeated rows are scored alike; empty
     table: no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
