@@ -200,9 +200,10 @@ def run_summary(spark, sf):
 
 
 @query("knn_label_feedback", voted(
-    "i AS report_id, vclass AS predicted, class AS actual", "WHERE vclass <> class"))
+    "i AS report_id, vclass AS predicted, class AS actual", "WHERE vclass <> class AND source <> 'whitelist'"))
 def knn_label_feedback(spark, sf):
-    t = settle(triaged(spark, sf).select("report_id", "knn", "classification"), "triaged")
+    t = settle(triaged(spark, sf).select("report_id", "knn", "classification", "source"), "triaged")
+    t = t.where("source <> 'whitelist'")  # no vote is handed on for allow-listed mail
     return training.label_feedback(
         t.select("report_id", F.col("knn.classification").alias("classification")),
         t.select("report_id", "classification")).select("report_id", "predicted", "actual")

@@ -289,18 +289,18 @@ z AS (SELECT model, seq, row_number() OVER (PARTITION BY model ORDER BY seq) AS
 zz AS (SELECT *, least(added + 15, 1000) AS size FROM z)"""
 
 
-@query("training_size_log", f"WITH {_SIZES} SELECT model, seq, CAST(added AS INT) AS added, CAST(size AS INT) AS training_size FROM zz WHERE added <= 1000")
+@query("training_size_log", f"WITH {_SIZES} SELECT model, seq, added, CAST(size AS BIGINT) AS training_size FROM zz")
 def training_size_log(spark, sf):
-    return TR.training_size_log(log(spark, sf), by="model", seeds=15)
+    return TR.training_size_log(log(spark, sf), by="model", seeds=15, bucket_rows=1000)
 
 
 @query("threshold_log", f"""WITH {_SIZES},
     t AS (SELECT model, seq, size, CASE WHEN size < 50 THEN 0.95::DOUBLE WHEN size < 200 THEN 0.85::DOUBLE WHEN size < 500 THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END AS "to"
       FROM zz WHERE added % 10 = 0),
     f AS (SELECT *, coalesce(lag("to") OVER (PARTITION BY model ORDER BY seq), 0.85::DOUBLE) AS "from" FROM t)
-    SELECT model, seq, CAST(size AS INT) AS training_size, "from", "to" FROM f WHERE "from" <> "to" """)
+    SELECT model, seq, CAST(size AS BIGINT) AS training_size, "from", "to" FROM f WHERE "from" <> "to" """)
 def threshold_log(spark, sf):
-    return TR.threshold_log(log(spark, sf), by="model", seeds=15)
+    return TR.threshold_log(log(spark, sf), by="model", seeds=15, bucket_rows=1000)
 
 
 @query("training_summary", f"""WITH {_LOG} SELECT CAST(least(count(*), 1000) AS BIGINT) AS total_examples,
@@ -313,8 +313,8 @@ def training_summary(spark, sf):
 
 
 @query("append_training", f"""WITH {_LOG},
-    n AS (SELECT seq AS o, label FROM l ORDER BY seq DESC LIMIT 1000)
-    SELECT 14 + row_number() OVER (ORDER BY o) AS seq, label FROM n""")
+    n AS (SELECT 14 + row_number() OVER (ORDER BY seq) AS seq, label FROM l)
+    SELECT seq, label FROM n ORDER BY seq DESC LIMIT 1000""")
 def append_training(spark, sf):
     """Event rows as examples appended to the seeds; the newest 1000 rows stay."""
     examples = log(spark, sf).select(

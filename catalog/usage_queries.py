@@ -138,27 +138,6 @@ def current_summary(spark, sf):
 
 # --- streams -------------------------------------------------------------------------------
 
-def _latest_per_key(path: str, spark, keys: list[str]) -> DataFrame:
-    """Update-mode output: the newest batch's value of every key."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = F.max_by(F.struct(*values), "batch")
-    return rows.groupBy(*keys).agg(newest.alias("v")).select(*keys, "v.*")
-
-
-def _drain(stream: DataFrame, spark, mode: str) -> str:
-    """Run a stream over everything that is there now; every batch replaces its own folder."""
-    out = new_path(spark, "stream")
-
-    def put(batch, i):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
-
-    stream.writeStream.outputMode(mode).foreachBatch(put).option(
-        "checkpointLocation", new_path(spark, "stream-state")).trigger(
-        availableNow=True).start().awaitTermination()
-    return out
-
-
 def event_cases(spark, sf) -> DataFrame:
     events = D.table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).option(
@@ -171,6 +150,12 @@ def event_cases(spark, sf) -> DataFrame:
         (F.col("value") > 10).alias("knn_was_correct"))
 
 
+def _daily(spark, sf) -> DataFrame:
+    out = new_path(spark, "stream")
+    SS.write_daily_counts(event_cases(spark, sf), out, new_path(spark, "stream-state"), availableNow=True).awaitTermination()
+    return SS.read_daily_counts(spark, out)
+
+
 _EVENT_CASES = """e AS (SELECT ts, CASE event_type WHEN 'view' THEN 'legitimo' WHEN 'click' THEN 'spam' WHEN 'signup' THEN 'spam' ELSE 'sospechoso' END AS classification,
   CASE WHEN user_id % 2 = 0 THEN 'knn' ELSE 'llm' END AS source, value > 10 AS ok FROM events)"""
 
@@ -178,9 +163,7 @@ _EVENT_CASES = """e AS (SELECT ts, CASE event_type WHEN 'view' THEN 'legitimo' W
 @query("stream_usage_counts", f"""WITH {_EVENT_CASES} SELECT strftime(ts, '%Y-%m-%d') AS day, classification, source, count(*) AS n,
     count(*) FILTER (WHERE ok) AS knn_correct, count(*) FILTER (WHERE NOT ok) AS knn_incorrect FROM e GROUP BY 1, 2, 3""")
 def stream_usage_counts(spark, sf):
-    path = _drain(SS.stream_monthly_counts(event_cases(spark, sf)), spark, "update")
-    days = _latest_per_key(path, spark, ["day", "classification", "source"])
-    return days.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return _daily(spark, sf).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("stream_monthly_totals", f"""WITH {_EVENT_CASES} SELECT CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, count(*) AS total,
@@ -188,8 +171,7 @@ def stream_usage_counts(spark, sf):
     count(*) FILTER (WHERE classification = 'sospechoso') AS sospechoso, CAST(0 AS BIGINT) AS whitelist,
     count(*) FILTER (WHERE source = 'knn') AS knn, count(*) FILTER (WHERE source = 'llm') AS llm FROM e GROUP BY 1, 2""")
 def stream_monthly_totals(spark, sf):
-    path = _drain(SS.stream_monthly_counts(event_cases(spark, sf)), spark, "update")
-    return SS.monthly(_latest_per_key(path, spark, ["day", "classification", "source"]))
+    return SS.monthly(_daily(spark, sf))
 
 
 def report_folder(spark, sf) -> str:
@@ -226,7 +208,7 @@ def stream_agent(spark, sf):
 
 
 @query("stream_agent_tables", voted("""(SELECT count(*) FROM tr) AS cases, (SELECT count(*) FROM g WHERE action = 'QUARANTINE') AS quarantine,
-    least(1000, (SELECT count(*) FROM g WHERE action <> 'QUARANTINE')) AS training,
+    (SELECT count(*) FROM g WHERE action <> 'QUARANTINE') AS training,
     (SELECT count(*) FROM tr WHERE class = 'sospechoso') AS alerts, (SELECT count(*) FROM tr) AS notices,
     (SELECT count(*) FROM tr WHERE class <> 'sospechoso') AS webhooks,
     (SELECT count(*) FROM tr WHERE source = 'llm' AND vclass <> class) AS feedback""", "", "(SELECT 1)", GATE))

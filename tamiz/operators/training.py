@@ -1,8 +1,8 @@
 """The training table and the model's bookkeeping.
 
 A model is its append-only training log ``(model, seq, vector, label)``; the live table is the
-newest rows of it.  ``model`` may be left out for a single model.  All per-model orderings are
-windows with a row limit, which Spark applies before the shuffle.
+newest rows of it.  ``model`` may be left out for a single model.  Retention uses windows with a row
+limit, which Spark applies before the shuffle; numberings split a model's rows into ranges.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..config import DEFAULT, TriageConfig
 from ..functions.scoring import knn_threshold
+from ..session import settle
 
 TRAINING_SCHEMA = "seq bigint, vector array<double>, label int"
-_GROW_LIMIT = C.THRESHOLD_STEPS[-1][0] + 10  # no threshold changes after this many rows
+_PARTS = 64
 
 
 def seed_training(spark: SparkSession) -> DataFrame:
@@ -29,73 +30,107 @@ def _model(by: str | None):
 
 
 def keep_last(log: DataFrame, n: int, order: str = "seq", by: str | None = None) -> DataFrame:
-    """The newest ``n`` rows (per model)."""
-    if not by:
-        return log.orderBy(F.desc(order)).limit(n)
-    newest = Window.partitionBy(by).orderBy(F.desc(order))
-    return log.withColumn("_rn", F.row_number().over(newest)).where(
-        F.col("_rn") <= n).drop("_rn")
+    """The newest ``n`` rows (per model).
 
+    Reduced per hash of the order first, so that the last step sees ``n`` rows of each hash and not of each input
+    partition, however many there are.
+    """
+    keys = _model(by)
+    part = F.pmod(F.hash(order), F.lit(_PARTS))
+    within = Window.partitionBy(*keys, "_part").orderBy(F.desc(order))
+    newest = Window.partitionBy(*keys).orderBy(F.desc(order))
+    few = log.withColumn("_part", part).withColumn("_rn", F.row_number().over(within)).where(F.col("_rn") <= n)
+    return few.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= n).drop("_rn", "_part")
 
-def append_training(training: DataFrame, examples: DataFrame,
-                    cap: int = DEFAULT.training_cap) -> DataFrame:
-    """Training rows after appending labelled examples ``(order, vector, classification)``.
 
-    Examples with an unknown label are ignored, ones with a vector of the wrong length are
-    refused, and only the newest ``cap`` rows survive.  Only ``cap`` examples ever leave their
-    partitions, so the numbering below runs over a bounded set.
+def known_examples(examples: DataFrame) -> DataFrame:
+    """(order, vector, label) of examples ``(order, vector, classification)`` with a known label.
+
+    A vector of the wrong length is refused.
     """
     width = len(C.FEATURE_NAMES)
     label = F.array_position(F.array(*[F.lit(x) for x in C.LABELS]), F.col("classification"))
-    known = examples.where(F.col("classification").isin(*C.LABELS)).select(
+    return examples.where(F.col("classification").isin(*C.LABELS)).select(
         "order",
         F.when(F.size("vector") == width, F.col("vector").cast("array<double>")).otherwise(
             F.raise_error(F.lit(f"vectors must have {width} values"))).alias("vector"),
         (label - 1).cast("int").alias("label"))
-    newest = known.orderBy(F.desc("order")).limit(cap)
+
+
+def number_examples(training: DataFrame, examples: DataFrame) -> DataFrame:
+    """(seq, vector, label): *every* known example, numbered in arrival order after the training rows.
+
+    Examples are dealt out by ranges of their order; a range's rows are numbered in one task and
+    shifted by the counts of the ranges before it.
+    """
     last = training.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("m")).first()["m"]
-    arrival = Window.orderBy("order")
-    numbered = newest.select(
-        (F.lit(last) + F.row_number().over(arrival)).cast("bigint").alias("seq"),
-        "vector", "label")
-    merged = training.select("seq", "vector", "label").unionByName(numbered)
+    ranged = settle(known_examples(examples).repartitionByRange("order").withColumn("_range", F.spark_partition_id()), "examples")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select(
+        "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    within = Window.partitionBy("_range").orderBy("order")
+    return ranged.withColumn("_rn", F.row_number().over(within)).join(shifts, "_range").select(
+        (F.lit(last) + F.col("shift") + F.col("_rn")).cast("bigint").alias("seq"), "vector", "label")
+
+
+def append_training(training: DataFrame, examples: DataFrame,
+                    cap: int = DEFAULT.training_cap) -> DataFrame:
+    """The live rows after appending labelled examples ``(order, vector, classification)``.
+
+    Every example is numbered; then the newest ``cap`` rows are kept.
+    """
+    merged = training.select("seq", "vector", "label").unionByName(number_examples(training, examples))
     return keep_last(merged, cap)
 
 
 def training_size_log(log: DataFrame, by: str | None = None, seeds: int = 0,
-                      cap: int = DEFAULT.training_cap) -> DataFrame:
-    """(model, seq, added, training_size) after each append, as far as it can still matter."""
-    arrival = Window.partitionBy(*_model(by)).orderBy("seq")
-    numbered = log.select(*_model(by), "seq")
-    if not by:
-        numbered = numbered.orderBy("seq").limit(cap)
-    added = numbered.withColumn("added", F.row_number().over(arrival))
-    return added.where(F.col("added") <= cap).withColumn(
-        "training_size", F.least(F.col("added") + seeds, F.lit(cap)))
+                      cap: int = DEFAULT.training_cap, bucket_rows: int = 1_000_000) -> DataFrame:
+    """(model, seq, added, training_size) after each append.
+
+    A busy model is not numbered in one task: its rows are split into ranges of ``seq``, numbered
+    there and shifted by the counts of the ranges before.
+    """
+    keys = _model(by)
+    ranged = log.select(*keys, "seq").withColumn("_b", F.floor(F.col("seq") / bucket_rows))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy(*keys, "_b").orderBy("seq")
+    added = (F.row_number().over(within) + F.col("_shift")).cast("bigint")
+    return ranged.join(shifts, [*keys, "_b"]).withColumn("added", added).select(
+        *keys, "seq", "added", F.least(F.col("added") + seeds, F.lit(cap)).cast("bigint").alias("training_size"))
 
 
 def threshold_log(log: DataFrame, by: str | None = None, seeds: int = 0,
-                  start: float = DEFAULT.knn_threshold, every: int = 10) -> DataFrame:
+                  start: float = DEFAULT.knn_threshold, every: int = 10,
+                  cap: int = DEFAULT.training_cap, bucket_rows: int = 1_000_000) -> DataFrame:
     """(model, seq, training_size, from, to): every change of the confidence threshold.
 
-    The threshold is looked at on every ``every``-th append and is fixed once the last size step
-    has been passed, so only the first few hundred rows of each model are ordered.
+    The threshold is looked at on every ``every``-th append. It only falls as the table grows, so each of its
+    values begins once: at the first look that gives it. One row per model and value is compared.
     """
-    sizes = training_size_log(log, by, seeds, cap=_GROW_LIMIT)
-    checked = sizes.where(F.col("added") % every == 0).withColumn(
-        "to", knn_threshold(F.col("training_size")))
-    arrival = Window.partitionBy(*_model(by)).orderBy("seq")
+    keys = _model(by)
+    sizes = training_size_log(log, by, seeds, cap, bucket_rows)
+    checked = sizes.where(F.col("added") % every == 0).withColumn("to", knn_threshold(F.col("training_size")))
+    first = checked.groupBy(*keys, "to").agg(F.min(F.struct("added", "seq", "training_size")).alias("_at"))
+    arrival = Window.partitionBy(*keys).orderBy("_at.added")
     previous = F.coalesce(F.lag("to").over(arrival), F.lit(start))
-    return checked.withColumn("from", previous).where(F.col("from") != F.col("to")).select(
-        *_model(by), "seq", "training_size", "from", "to")
+    return first.withColumn("from", previous).where(F.col("from") != F.col("to")).select(
+        *keys, "_at.seq", "_at.training_size", "from", "to")
 
 
 def threshold_after(appended: int, seeds: int, start: float = DEFAULT.knn_threshold,
-                    cap: int = DEFAULT.training_cap, every: int = 10) -> float:
-    """The threshold in force once ``appended`` rows have joined the ``seeds``."""
-    if appended < every:
+                    cap: int = DEFAULT.training_cap, every: int = 10, reloaded: int | None = None) -> float:
+    """The threshold in force once ``appended`` rows have joined the ``seeds``.
+
+    A fresh model has ``start`` until the first look. Reloading a model, here after ``reloaded`` appends, is a look too.
+    """
+    looked = appended // every * every
+    if reloaded is not None and looked <= reloaded:
+        looked = reloaded
+    elif appended < every:
         return start
-    size = min(seeds + appended // every * every, cap)
+    size = min(seeds + looked, cap)
     return next((t for n, t in C.THRESHOLD_STEPS if size < n), C.THRESHOLD_FLOOR)
 
 

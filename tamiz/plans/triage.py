@@ -71,15 +71,18 @@ def _deep_decision(scored: DataFrame, responses: DataFrame | None) -> DataFrame:
     fallback, answered = _deep_columns()
     if responses is None:
         return scored.withColumn("deep", fallback)
-    answers = responses.groupBy("report_id").agg(F.max("text").alias("_answer"))
-    joined = scored.join(answers, "report_id", "left").withColumn("_fallback", fallback)
+    # Files of one name in two folders are two reports, so answers that carry the path are joined by it.
+    key = "path" if "path" in responses.columns else "report_id"
+    answers = responses.groupBy(key).agg(F.max("text").alias("_answer"))
+    joined = scored.join(answers, key, "left").withColumn("_fallback", fallback)
     return joined.withColumn("deep", answered).drop("_answer", "_fallback")
 
 
 def _as_analysis(df: DataFrame, classification, confidence, reporter, sender, risk,
                  reasons, message_default, extra: list[Column]) -> DataFrame:
-    analysed_at = (F.col("arrived_at") if "arrived_at" in df.columns
-                   else F.lit(None).cast("timestamp_ntz"))
+    analysed_at = F.current_timestamp().cast("timestamp_ntz")
+    arrived_at = (F.col("arrived_at") if "arrived_at" in df.columns
+                  else F.lit(None).cast("timestamp_ntz").alias("arrived_at"))
     return df.select(
         "report_id", "path",
         F.coalesce("message_id", message_default).alias("mensaje_id"),
@@ -94,7 +97,7 @@ def _as_analysis(df: DataFrame, classification, confidence, reporter, sender, ri
         F.col("microsoft_urls").alias("microsoft_url_check"),
         risk.cast("int").alias("risk_score"),
         reasons.alias("reasons"),
-        *extra,
+        *extra, arrived_at,
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.mail import normalize_newlines
@@ -17,8 +17,13 @@ HISTORY_SCHEMA = ("features map<string,double>, classification string, confidenc
                   "risk_score double")
 
 
+def _plain_path(uri: Column) -> Column:
+    """Spark names files by URI; names are wanted as they are on disk (a plus sign is no blank there)."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def _as_reports(files: DataFrame) -> DataFrame:
-    path = F.col("_metadata.file_path")
+    path = _plain_path(F.col("_metadata.file_path"))
     return files.select(
         file_stem(path).alias("report_id"),
         path.alias("path"),
@@ -28,18 +33,32 @@ def _as_reports(files: DataFrame) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """(report_id, path, arrived_at, content): one row per ``*.txt`` file.
-
-    Files without a single byte have no row: Spark's file sources skip them.
-    """
+    """(report_id, path, arrived_at, content): one row per ``*.txt`` file, empty ones included."""
     files = spark.read.format("text").option("wholetext", True).option(
         "pathGlobFilter", "*.txt").load(folder)
-    return _as_reports(files)
+    return _as_reports(files).unionByName(empty_reports(spark, folder))
+
+
+def empty_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of ``*.txt`` files without a byte, which Spark's file sources skip.
+
+    They come from the folder's listing, names and times only, as Spark's own planning does it.
+    """
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.txt")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    rows = [(f.getPath().toUri().toString(), f.getModificationTime()) for f in found if f.isFile() and not f.getLen()]
+    path = _plain_path(F.col("uri"))
+    return spark.createDataFrame(rows, "uri string, at bigint").select(
+        file_stem(path).alias("report_id"), path.alias("path"),
+        F.timestamp_millis("at").cast("timestamp_ntz").alias("arrived_at"), F.lit("").alias("content"))
 
 
 def stream_reports(spark: SparkSession, folder: str, max_files: int | None = None,
                    archive: str | None = None) -> DataFrame:
-    """The same as a stream of new files, oldest first; ``archive`` moves what was read."""
+    """The same as a stream of new files, oldest first; ``archive`` moves what was read.
+
+    Empty files start a batch but have no row in it; the agent adds them.
+    """
     reader = spark.readStream.format("text").schema("value string").option(
         "wholetext", True).option("pathGlobFilter", "*.txt").option("latestFirst", False)
     if max_files:
@@ -79,11 +98,11 @@ def read_analyses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_quarantine_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Quarantine records of JSON lines; malformed lines are dropped."""
+    """Quarantine records of JSON lines: every object, whatever it lacks; other lines are dropped."""
     record = F.from_json(F.col(column), QUARANTINE_SCHEMA + ", _bad string",
                          {"columnNameOfCorruptRecord": "_bad"})
-    return lines.select(record.alias("r")).where(
-        "r IS NOT NULL AND r._bad IS NULL AND r.file IS NOT NULL").select("r.*").drop("_bad")
+    return lines.where(F.startswith(F.ltrim(column), F.lit("{"))).select(record.alias("r")).where(
+        "r IS NOT NULL AND r._bad IS NULL").select("r.*").drop("_bad")
 
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:

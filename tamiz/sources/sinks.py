@@ -28,7 +28,7 @@ def write_analyses(analyses: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def routed(analyses: DataFrame) -> DataFrame:
-    """(classification, name, content_path): where each processed file goes."""
+    """(classification, name, source_path): where each processed file goes."""
     stamp = F.date_format(F.coalesce("analysis_date", F.current_timestamp()),
                           "yyyyMMdd_HHmmss")
     name = F.element_at(F.split("path", "/"), -1)
@@ -95,11 +95,15 @@ def write_quarantine(gated_rows: DataFrame, path: str) -> None:
 
 
 def quarantine_summary(records: DataFrame) -> DataFrame:
-    """(reason, count) plus a row ``total`` with the number of records; one pass."""
-    keys = F.concat(F.array(F.lit("total")),
-                    F.transform("quarantine_reasons", lambda r: r["type"]))
-    return records.select(F.explode(keys).alias("reason")).groupBy("reason").agg(
-        F.count(F.lit(1)).alias("count"))
+    """(reason, count) plus a row ``total`` with the number of records, 0 for none; one pass.
+
+    Records without reasons count in the total only.
+    """
+    reasons = F.coalesce(F.transform("quarantine_reasons", lambda r: r["type"]), F.array().cast("array<string>"))
+    keys = F.filter(F.concat(F.array(F.lit("total")), reasons), lambda r: r.isNotNull())
+    counted = records.select(F.explode(keys).alias("reason"), F.lit(1).alias("n"))
+    nothing = records.sparkSession.range(1).select(F.lit("total").alias("reason"), F.lit(0).alias("n"))
+    return counted.unionByName(nothing).groupBy("reason").agg(F.sum("n").alias("count"))
 
 
 # --- outboxes ------------------------------------------------------------------------------

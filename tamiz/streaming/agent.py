@@ -59,9 +59,32 @@ def live_training(spark: SparkSession, paths: AgentPaths, batch_id: int) -> Data
         f"{paths.table('model')}/batch={batch_id - 1}")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def newest_model(spark: SparkSession, paths: AgentPaths) -> int | None:
+    """Number of the last batch that left a model; None before the first."""
+    if not _exists(spark, paths.table("model")):
+        return None
+    folder = spark._jvm.org.apache.hadoop.fs.Path(paths.table("model"))
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    batches = [int(f.getPath().getName().removeprefix("batch=")) for f in found if f.getPath().getName().startswith("batch=")]
+    return max(batches, default=None)
+
+
+def _earlier_empty(spark: SparkSession, paths: AgentPaths, batch_id: int) -> DataFrame | None:
+    """Paths of the empty files that batches before this one have handled."""
+    if not batch_id or not _exists(spark, paths.table("empty")):
+        return None
+    stored = spark.read.schema("path string, batch bigint").parquet(paths.table("empty"))
+    return stored.where(F.col("batch") < batch_id).select("path").distinct()
+
+
 def learned_examples(gated_rows: DataFrame) -> DataFrame:
     """(order, vector, classification) of the rows that may enter the model."""
-    order = F.struct(F.col("analysis_date").alias("at"), F.col("path"))
+    order = F.struct(F.col("arrived_at").alias("at"), F.col("path"))
     return gated_rows.where("quality.action IN ('ADD', 'MANUAL_REVIEW')").select(
         order.alias("order"),
         feedback_vector(F.col("indicators"), F.col("microsoft_url_check"),
@@ -71,13 +94,18 @@ def learned_examples(gated_rows: DataFrame) -> DataFrame:
 
 def process_batch(batch: DataFrame, batch_id: int, paths: AgentPaths,
                   cfg: TriageConfig = DEFAULT, ip_reputation: DataFrame | None = None,
-                  responses: DataFrame | None = None) -> None:
+                  responses: DataFrame | None = None, reloaded: int | None = None) -> None:
     """Triage one micro-batch and write all its tables."""
     spark = batch.sparkSession
+    # Spark's sources skip files without a byte; the folder is asked for those not yet seen.
+    empty = readers.empty_reports(spark, paths.ingress)
+    earlier = _earlier_empty(spark, paths, batch_id)
+    empty = _stored(empty if earlier is None else empty.join(earlier, "path", "left_anti"), paths, "empty", batch_id)
+    batch = batch.unionByName(empty.join(batch.select("path"), "path", "left_anti").select(*batch.columns))
     whitelist = readers.read_whitelist(spark, paths.whitelist)
     training = live_training(spark, paths, batch_id)
     last, seeds = training.agg(F.max("seq")).first()[0], len(SEED_TRAINING)
-    threshold = TR.threshold_after(last + 1 - seeds, seeds, cfg.knn_threshold, cfg.training_cap)
+    threshold = TR.threshold_after(last + 1 - seeds, seeds, cfg.knn_threshold, cfg.training_cap, reloaded=reloaded)
     # Both tables are written once and read back: the mail is parsed and decided a single time.
     signals = _stored(extract_signals(parse_reports(batch), cfg), paths, "signals", batch_id)
     decided = triage_signals(signals, whitelist, training, ip_reputation, responses, cfg,
@@ -95,9 +123,9 @@ def process_batch(batch: DataFrame, batch_id: int, paths: AgentPaths,
         "report_id", F.col("knn.classification").alias("predicted"),
         F.col("classification").alias("actual"), F.lit(False).alias("correct"))
     _put(wrong, paths.table("feedback"), batch_id)
-    grown = _stored(TR.append_training(training, learned_examples(gate), cfg.training_cap),
-                    paths, "model", batch_id)
-    _put(grown.where(F.col("seq") > last), paths.table("training"), batch_id)
+    # The log gets every example; only the live model forgets.
+    added = _stored(TR.number_examples(training, learned_examples(gate)), paths, "training", batch_id)
+    _put(TR.keep_last(training.unionByName(added), cfg.training_cap), paths.table("model"), batch_id)
 
 
 def start_agent(spark: SparkSession, paths: AgentPaths, cfg: TriageConfig = DEFAULT,
@@ -105,10 +133,17 @@ def start_agent(spark: SparkSession, paths: AgentPaths, cfg: TriageConfig = DEFA
                 available_now: bool = False, ip_reputation: DataFrame | None = None,
                 responses: DataFrame | None = None) -> StreamingQuery:
     """Start the agent.  ``max_files=1`` learns after every mail; larger batches run faster."""
+    checkpoint = checkpoint or f"{paths.root}/_checkpoint"
+    newest = newest_model(spark, paths)
+    if newest is not None and not _exists(spark, f"{checkpoint}/commits"):
+        # Batch numbers would begin anew and replace what is stored.
+        raise ValueError(f"{paths.root} holds the tables of another checkpoint; give that one, or another root")
+    reloaded = None
+    if newest is not None:
+        reloaded = live_training(spark, paths, newest + 1).agg(F.max("seq")).first()[0] + 1 - len(SEED_TRAINING)
     stream = readers.stream_reports(spark, paths.ingress, max_files, paths.archive)
-    writer = stream.writeStream.option(
-        "checkpointLocation", checkpoint or f"{paths.root}/_checkpoint").foreachBatch(
-        lambda batch, i: process_batch(batch, i, paths, cfg, ip_reputation, responses))
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, i: process_batch(batch, i, paths, cfg, ip_reputation, responses, reloaded))
     trigger = {"availableNow": True} if available_now else {"processingTime": "5 seconds"}
     return writer.trigger(**trigger).start()
 

@@ -1,9 +1,10 @@
-"""Streaming usage counters with bounded state."""
+"""Streaming usage counters."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as C
 
@@ -14,20 +15,31 @@ def _timed(stream: DataFrame, column: str, lateness: str) -> DataFrame:
         column, lateness)
 
 
-def stream_monthly_counts(cases: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Counts per calendar month, class and source of a stream of facts (update mode).
-
-    The month is part of a one-day window's key, so days older than the watermark leave the
-    state; readers add the days of a month up.
-    """
-    return _timed(cases, "ts", lateness).groupBy(
-        F.window("ts", "1 day").alias("day"), "classification", "source",
-    ).agg(
+def daily_counts(cases: DataFrame) -> DataFrame:
+    """Counts per day, class and source of facts."""
+    return cases.groupBy(F.to_date("ts").alias("day"), "classification", "source").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("knn_was_correct").alias("knn_correct"),
-        F.count_if(~F.col("knn_was_correct")).alias("knn_incorrect"),
-    ).select(F.col("day.start").alias("day"), "classification", "source", "n",
-             "knn_correct", "knn_incorrect")
+        F.count_if(~F.col("knn_was_correct")).alias("knn_incorrect"))
+
+
+def write_daily_counts(cases: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start a query that keeps each micro-batch's own daily counts below ``path``.
+
+    There is no state and no watermark, so a fact counts however late it comes; a repeated batch
+    replaces its own folder. ``read_daily_counts`` adds the batches up.
+    """
+    def put(batch: DataFrame, number: int) -> None:
+        daily_counts(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return cases.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"processingTime": "5 seconds"})).start()
+
+
+def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(day, classification, source, n, knn_correct, knn_incorrect) over all stored batches."""
+    return spark.read.parquet(path).groupBy("day", "classification", "source").agg(
+        *[F.sum(c).alias(c) for c in ("n", "knn_correct", "knn_incorrect")])
 
 
 def stream_window_counts(events: DataFrame, keys: list[str], lateness: str = "10 minutes",
@@ -46,7 +58,7 @@ def deduplicated(reports: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def monthly(days: DataFrame) -> DataFrame:
-    """Month totals of ``stream_monthly_counts`` rows."""
+    """Month totals of ``read_daily_counts`` rows."""
     return days.groupBy(F.year("day").alias("year"), F.month("day").alias("month")).agg(
         F.sum("n").alias("total"),
         *[F.sum(F.when(F.col("classification") == c, F.col("n")).otherwise(0)).alias(c)

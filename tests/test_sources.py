@@ -14,8 +14,12 @@ def test_read_reports(spark, tmp_path):
     (tmp_path / "b.two.txt").write_bytes(b"Subject: caf\xc3\xa9\r\nX: \xff\xfebad\rlast\xe2\x82\n")
     (tmp_path / "a.txt").write_bytes("ok � kept\n".encode())
     (tmp_path / "skip.eml").write_text("no")
+    (tmp_path / "mi correo ñ+1%20.txt").write_text("x")
+    (tmp_path / "nada de nada.txt").write_text("")
     got = {r["report_id"]: r["content"] for r in readers.read_reports(spark, str(tmp_path)).collect()}
-    assert got == {"b.two": "Subject: café\nX: bad\nlast\n", "a": "ok � kept\n"}
+    assert got == {"b.two": "Subject: café\nX: bad\nlast\n", "a": "ok � kept\n", "mi correo ñ+1%20": "x", "nada de nada": ""}
+    rows = readers.read_reports(spark, str(tmp_path)).where("report_id LIKE '% %'").collect()
+    assert all(r["path"].endswith(f"{r['report_id']}.txt") and r["arrived_at"] for r in rows) and len(rows) == 2
 
 
 def test_whitelist_file(spark, tmp_path):
@@ -48,9 +52,10 @@ def test_quarantine_round_trip(spark, tmp_path):
     gate = sinks.gated(done)
     path = str(tmp_path / "q")
     sinks.write_quarantine(gate, path)
-    (tmp_path / "q" / "extra.json").write_text('{"file": "cut\nnot json\n')
+    (tmp_path / "q" / "extra.json").write_text('{"file": "cut\nnot json\n\n[1]\n"x"\n{}\n {"classification": "spam"}\n')
     back = readers.read_quarantine(spark, path)
-    assert back.count() == gate.where("quality.action = 'QUARANTINE'").count() > 0
+    assert back.count() == gate.where("quality.action = 'QUARANTINE'").count() + 2 > 2
+    assert [tuple(r) for r in sinks.quarantine_summary(back.limit(0)).collect()] == [("total", 0)]
     summary = {r["reason"]: r["count"] for r in sinks.quarantine_summary(back).collect()}
     assert summary["total"] == back.count() and summary["RISK_MISALIGNED"] >= 1
 

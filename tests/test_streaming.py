@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tamiz.plans.triage import triage
@@ -10,6 +11,7 @@ from .test_decisions import mails
 
 def drop_mails(spark, folder):
     folder.mkdir(exist_ok=True)
+    (folder / "empty.txt").write_text("")
     for r in mails(spark).collect():
         (folder / f"{r['report_id']}.txt").write_text(r["content"])
 
@@ -32,8 +34,12 @@ def test_agent_equals_batch_and_reloads_the_list(spark, tmp_path):
     agent.start_agent(spark, paths, available_now=True).awaitTermination()
     later = spark.read.parquet(paths.table("analyses")).where("report_id = 'later'").collect()
     assert [(r["source"], r["classification"]) for r in later] == [("whitelist", "legitimo")]
-    # Spark's file sources skip the zero-byte file, so it has no row.
-    assert spark.read.parquet(paths.table("analyses")).count() == 5
+    # The zero-byte file has its row once, though every batch sees it.
+    rows = spark.read.parquet(paths.table("analyses"))
+    assert rows.count() == 6 and [(r["source"], r["classification"]) for r in rows.where("report_id = 'empty'").collect()] == [("unreported", "spam")]
+    assert rows.where("analysis_date IS NULL").count() == 0
+    with pytest.raises(ValueError, match="another checkpoint"):
+        agent.start_agent(spark, paths, checkpoint=str(tmp_path / "fresh"), available_now=True)
 
 
 def test_agent_learns_between_batches_and_retries_are_harmless(spark, tmp_path):
@@ -69,6 +75,17 @@ def test_window_counts_close_with_the_watermark(spark, tmp_path):
     assert got[("2026-01-01 00:00:00", "a")] == 2 and ("2026-01-01 03:00:00", "c") not in got
 
 
+def test_late_facts_count(spark, tmp_path):
+    days = ["2026-05-01", "2026-05-02", "2026-05-03", "2026-03-01", "2026-05-03"]
+    for day in days:
+        spark.createDataFrame([(f"{day} 10:00:00", "spam", "knn", True)], "t string, classification string, source string, knn_was_correct boolean").select(
+            F.col("t").cast("timestamp").alias("ts"), "classification", "source", "knn_was_correct").coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "c")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "c"))
+    SS.write_daily_counts(stream, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True).awaitTermination()
+    got = {str(r["day"]): r["n"] for r in SS.read_daily_counts(spark, str(tmp_path / "out")).collect()}
+    assert got == {"2026-05-01": 1, "2026-05-02": 1, "2026-05-03": 2, "2026-03-01": 1}
+
+
 def test_dedup(spark, tmp_path):
     df = spark.createDataFrame([("r1", "2026-01-01 00:00:00"), ("r1", "2026-01-01 00:05:00"), ("r2", "2026-01-01 00:00:00")],
                                "report_id string, t string").select(

@@ -37,6 +37,26 @@ def test_append_keeps_newest_and_refuses_wrong_width(spark):
         TR.append_training(TR.seed_training(spark), examples(1, 24)).collect()
 
 
+def test_every_example_is_numbered(spark):
+    examples = spark.range(3000).repartition(5).select(
+        F.struct(F.col("id").alias("at")).alias("order"), F.array_repeat(F.col("id").cast("double"), 33).alias("vector"), F.lit("spam").alias("classification"))
+    numbered = TR.number_examples(TR.seed_training(spark), examples)
+    assert [(r["seq"], r["v"]) for r in numbered.select("seq", F.col("vector")[0].alias("v")).orderBy("seq").collect()] == [
+        (15 + i, float(i)) for i in range(3000)]
+    live = TR.append_training(TR.seed_training(spark), examples)
+    assert sorted(r["seq"] for r in live.collect()) == list(range(2015, 3015))
+
+
+def test_sizes_and_late_thresholds(spark):
+    log = spark.range(1, 3001).select(F.col("id").alias("seq"), (F.col("id") % 2).alias("m"))
+    sizes = TR.training_size_log(log, "m", seeds=15, bucket_rows=100).orderBy("m", "seq").collect()
+    assert [(r["added"], r["training_size"]) for r in sizes] == [(i, min(i + 15, 1000)) for i in range(1, 1501)] * 2
+    late = TR.threshold_log(log.drop("m"), seeds=15, every=300, bucket_rows=100).orderBy("seq").collect()
+    assert [(r["seq"], r["from"], r["to"]) for r in late] == [(300, .85, .75), (600, .75, .65)]
+    assert TR.threshold_after(0, 15, reloaded=0) == .95 and TR.threshold_after(5, 15, reloaded=3) == .95
+    assert TR.threshold_after(47, 15, reloaded=45) == .85 and TR.threshold_after(190, 15, reloaded=3) == .75
+
+
 def test_threshold_changes(spark):
     log = spark.range(15, 15 + 700).select(F.col("id").alias("seq"))
     got = [(r["training_size"], r["from"], r["to"]) for r in TR.threshold_log(log, seeds=15).orderBy("seq").collect()]
