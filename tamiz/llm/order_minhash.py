@@ -23,7 +23,8 @@ from tamiz.session import settle
 SHINGLE = 5
 #: Sketches to a document, and labels to a sketch. Two texts of similarity 0.8 share one of them but once in 10^5 cases.
 SKETCHES, LENGTH = 16, 3
-#: Groups whose members differ are split by a further sketch this often; then they are worked off member by member.
+#: Groups whose members differ are split by a further sketch this often; then they are worked off member by member. Two texts of
+#: similarity 0.8 that both differ from a hub have a second sketch in common but in 2 of 10^4 cases.
 DEPTH = 4
 #: Largest table, in rows, that is sent to every task; a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -72,7 +73,7 @@ def order_sketches(labels: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         for j in range(SKETCHES):
             seed = np.uint64((0x9E3779B97F4A7C15 * (j + 1)) & 0xFFFFFFFFFFFFFFFF)
-            mixed = _mix(labels ^ seed)
+            mixed = (labels ^ seed) * (seed | np.uint64(1))  # the labels are mixed already
             least = np.sort(np.argpartition(mixed, take - 1)[:take])
             key = seed
             for label in labels[least]:
@@ -82,14 +83,12 @@ def order_sketches(labels: np.ndarray) -> np.ndarray:
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> tuple[float, float]:
-    """(similarity, upper bound): of two label sequences; the first is only worked out if the second reaches ``least``."""
+    """(similarity, upper bound) of two label sequences; a similarity below ``least`` may come out lower still."""
     total = len(a) + len(b)
     if not total:
         return 1.0, 1.0
     _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     bound = len(at_a) / (total - len(at_a))
-    if bound < least:
-        return 0.0, bound
     band = int(total * (1 - least) / (1 + least)) + 1
     inside = np.abs(at_a - at_b) <= band
     chain = at_b[inside][np.argsort(at_a[inside])]
@@ -167,47 +166,61 @@ def _verify(pairs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """members(key, tid, size, failed) of groups that still need work, each with its hub, the least tid."""
-    hubs = members.groupBy("key").agg(F.min(F.struct("tid", "size")).alias("hub"), F.count("*").alias("n"), F.max("failed").alias("any"))
-    hubs = hubs.where("n > 1 and any").select("key", F.col("hub.tid").alias("hub"), F.col("hub.size").alias("hub_size"))
+    """members(key, last, tid, size, root) of groups of more than one root, each but the hub with its hub, the least tid."""
+    hubs = members.groupBy("key").agg(F.min(F.struct("tid", "size")).alias("hub"), F.min("root").alias("a"), F.max("root").alias("b"))
+    hubs = hubs.where("a <> b").select("key", F.col("hub.tid").alias("hub"), F.col("hub.size").alias("hub_size"))
     return members.join(hubs, "key").where("tid <> hub")
 
 
-def near_links(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame:
-    """(hub, tid, similarity): links that join all pairs of at least ``similarity`` among texts(tid, size, keys) into one component.
+def _rooted(df: DataFrame, roots: DataFrame, tid: str, root: str) -> DataFrame:
+    named = _few(roots.select(F.col("tid").alias(tid), F.col("root").alias("_root")))
+    return df.join(named, tid, "left").withColumn(root, F.coalesce("_root", tid)).drop("_root")
 
-    Texts with an equal sketch form a group. Each member is compared with the group's hub, never all with all. What is
-    linked to the hub needs no further comparison, unless by the triangle inequality it may be similar to a member that
-    failed; these and the failed ones go on, split by a further shared sketch (``DEPTH`` times, then unsplit), until
-    no group has a failed member. ``labels`` makes (tid, labels) of (tid) rows; it is called once.
+
+def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame:
+    """(tid, root): the linked texts among texts(tid, size, keys) and the least tid of their component.
+
+    Two texts of at least ``similarity`` are linked. Texts with an equal sketch form a group, and each member is compared with the
+    group's hub, never all with all. A group is done once all its members have one root. What else may be
+    linked goes on without the hub: members of another root than the hub, and those that by the triangle inequality may be similar to
+    one of these. They are split by a further shared sketch, ``DEPTH`` times, then left unsplit. ``labels`` makes
+    (tid, labels) of (tid) rows; it is called once.
     """
+    spark = texts.sparkSession
     keys = F.posexplode("keys").alias("j", "sketch")
     members = texts.where("keys is not null").select("tid", "size", keys).select(
-        F.xxhash64("j", "sketch").alias("key"), "tid", "size", F.lit(True).alias("failed"))
+        F.xxhash64("j", "sketch").alias("key"), F.col("j").alias("last"), "tid", "size", F.col("tid").alias("root"))
     members = settle(_stars(members), "omh-group")
-    involved = members.select("tid").unionByName(members.select(F.col("hub").alias("tid"))).distinct()
-    content = labels(settle(involved, "omh-involved"))
+    involved = settle(members.select("tid").unionByName(members.select(F.col("hub").alias("tid"))).distinct(), "omh-involved")
+    content = labels(involved)
     sketches = texts.select("tid", "keys").join(_few(involved), "tid", "left_semi")
-    done, round_ = None, 0
+    roots = spark.createDataFrame([], "tid binary, root binary")
+    done, depth = None, 0
     while True:
         pairs = members.select("hub", "tid", "hub_size", "size").distinct()
-        fresh = _verify(pairs, content, similarity) if done is None else _verify(
-            pairs.join(done, ["hub", "tid"], "left_anti"), content, similarity)
-        fresh = settle(fresh, "omh-compared")
-        done = fresh if done is None else settle(done.unionByName(fresh), "omh-done")
-        judged = members.join(done, ["hub", "tid"])
-        failed = F.col("similarity") < similarity
-        closest = judged.where(failed).groupBy("key").agg(F.min(1 - F.col("bound")).alias("closest"))
+        if done is not None:
+            pairs = pairs.join(done, ["hub", "tid"], "left_anti")
+        fresh = settle(_verify(pairs, content, similarity), "omh-compared")
+        done = fresh if done is None else done.unionByName(fresh)
+        links = fresh.where(F.col("similarity") >= similarity)
+        links = _rooted(_rooted(links, roots, "hub", "a"), roots, "tid", "b").select("a", "b")
+        joined = components(links, "omh").select(F.col("node").alias("at"), F.col("root").alias("to"))
+        moved = roots.join(joined, F.col("root") == F.col("at"), "left").select("tid", F.coalesce("to", "root").alias("root"))
+        added = joined.select(F.col("at").alias("tid"), F.col("to").alias("root"))
+        roots = settle(moved.unionByName(added.join(roots.select("tid"), "tid", "left_anti")), "omh-roots")
+        judged = _rooted(_rooted(members.drop("root").join(done, ["hub", "tid"]), roots, "tid", "root"), roots, "hub", "hub_root")
+        apart = F.col("root") != F.col("hub_root")
+        closest = judged.where(apart).groupBy("key").agg(F.min(1 - F.col("bound")).alias("closest"))
         active = judged.join(closest, "key").where(
-            failed | ((1 - F.col("similarity")) >= F.col("closest") - (1 - similarity) - 1e-9)
-        ).select("key", "tid", "size", failed.alias("failed"))
-        round_ += 1
-        if round_ <= DEPTH:
-            active = active.join(sketches, "tid").select("key", "tid", "size", "failed", keys).select(
-                F.xxhash64("key", "j", "sketch").alias("key"), "tid", "size", "failed").distinct()
+            apart | ((1 - F.col("similarity")) >= F.col("closest") - (1 - similarity) - 1e-9)
+        ).select("key", "last", "tid", "size", "root")
+        depth += 1
+        if depth <= DEPTH:
+            active = active.join(sketches, "tid").select("key", "last", "tid", "size", "root", keys).where("j > last").select(
+                F.xxhash64("key", "j", "sketch").alias("key"), F.col("j").alias("last"), "tid", "size", "root")
         members = settle(_stars(active), "omh-group")
         if not members.limit(1).count():
-            return done.where(F.col("similarity") >= similarity).select("hub", "tid", "similarity")
+            return roots
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -228,9 +241,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         chosen = _tokens(picked).join(_few(settle(firsts.select("want").distinct(), "omh-wants")), F.col("tid") == F.col("want"), "left_semi")
         return settle(chosen.select("tid", "words").mapInArrow(_label, "tid binary, labels binary").dropDuplicates(["tid"]), "omh-labels")
 
-    links = settle(near_links(texts, labels, similarity), "omh-links")
-    roots = components(links.select(F.col("hub").alias("a"), F.col("tid").alias("b")), "omh")
-    roots = settle(roots.select(F.col("node").alias("tid"), "root"), "omh-roots")
+    roots = near_classes(texts, labels, similarity)
     named = texts.select("tid", "first").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     least = named.groupBy("root").agg(F.min("first").alias("class_id"))
     classes = settle(named.join(least, "root").select("tid", "root", "class_id"), "omh-classes")
