@@ -209,6 +209,14 @@ def knn_label_feedback(spark, sf):
         t.select("report_id", "classification")).select("report_id", "predicted", "actual")
 
 
+@query("train_summary", voted("""CAST(15 AS BIGINT) AS examples_before, CAST(least(1000, 15 + (SELECT count(*) FROM tr)) AS BIGINT) AS examples_after,
+    (SELECT count(*) FROM tr) AS added, CAST(0 AS BIGINT) AS failed""", "", "(SELECT 1)"))
+def train_summary(spark, sf):
+    """Mode train end to end: evaluated mail becomes training rows."""
+    rows = TG.batch_evaluate(D.reports(spark, sf), whitelist(spark), seeds(spark), "train")
+    return TG.train_on_evaluated(rows, seeds(spark))[1]
+
+
 @query("batch_evaluate_quick", voted("vclass AS classification, count(*) AS n", "GROUP BY 1"))
 def batch_evaluate_quick(spark, sf):
     return TG.batch_evaluate(D.reports(spark, sf), whitelist(spark), seeds(spark), "quick"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz import constants as C
@@ -107,20 +107,24 @@ def classification_metrics(spark, sf):
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
-@query("roc_auc", f"""WITH {_UNIFORM},
-  a0 AS (SELECT i.id, i.y, c.c, coalesce(v.votes, 0) / 5.0::DOUBLE AS s, (i.y = c.c)::INT AS pos
-    FROM (SELECT DISTINCT id, y FROM n) i CROSS JOIN (SELECT unnest(range(10)) AS c) c LEFT JOIN u0 v ON v.id = i.id AND v.label = c.c),
-  a1 AS (SELECT *, rank() OVER (PARTITION BY c ORDER BY s) + (count(*) OVER (PARTITION BY c, s) - 1) / 2.0::DOUBLE AS rk FROM a0),
-  a2 AS (SELECT c, (sum(rk * pos) - sum(pos) * (sum(pos) + 1) / 2.0::DOUBLE) / (sum(pos) * (count(*) - sum(pos))) AS auc FROM a1 GROUP BY c)
-  SELECT round(avg(auc), 6) AS roc_auc FROM a2""")
+_AUC = """
+a0 AS (SELECT i.id, i.y, c.c, coalesce(v.votes, 0) / 5.0::DOUBLE AS s, (i.y = c.c)::INT AS pos
+  FROM (SELECT DISTINCT id, y FROM n) i CROSS JOIN (SELECT unnest(range(10)) AS c) c LEFT JOIN u0 v ON v.id = i.id AND v.label = c.c),
+a1 AS (SELECT *, rank() OVER (PARTITION BY c ORDER BY s) + (count(*) OVER (PARTITION BY c, s) - 1) / 2.0::DOUBLE AS rk FROM a0),
+a2 AS (SELECT c, (sum(rk * pos) - sum(pos) * (sum(pos) + 1) / 2.0::DOUBLE) / (sum(pos) * (count(*) - sum(pos))) AS auc FROM a1 GROUP BY c),
+auc AS (SELECT round(avg(auc), 6) AS roc_auc FROM a2)"""
+
+
+@query("roc_auc", f"WITH {_UNIFORM},{_AUC} SELECT roc_auc FROM auc")
 def roc_auc(spark, sf):
     p = EV.knn_uniform(split(spark, sf), "vec_id", CLASSES)
     return EV.roc_auc_ovr(p, CLASSES).select(F.round("roc_auc", 6).alias("roc_auc"))
 
 
-@query("evaluate_knn")
+@query("evaluate_knn", f"WITH {_UNIFORM},{_METRICS},{_AUC} SELECT 'KNN (k=5)' AS model, m.*, roc_auc FROM m, auc")
 def evaluate_knn(spark, sf):
-    return EV.evaluate("KNN (k=5)", EV.knn_uniform(split(spark, sf), "vec_id", CLASSES), CLASSES)
+    rows = EV.evaluate("KNN (k=5)", EV.knn_uniform(split(spark, sf), "vec_id", CLASSES), CLASSES)
+    return rows.select("model", *[F.round(c, 6).alias(c) for c in rows.columns if c != "model"])
 
 
 @query("standard_scale", """
@@ -200,30 +204,56 @@ def weighted_f1_of_labels(spark, sf):
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
-def _forest(spark, sf):
-    s = split(spark, sf)
-    # Fewer, shallower trees than the default: the registered query shows the operator.
-    return EV.random_forest(s, "vec_id", CLASSES, trees=20, depth=8)
-
-
-@query("random_forest")
+@query("random_forest", f"""WITH {_SPLIT} SELECT y, count(*) AS rows, count(*) AS valid_labels, count(*) AS whole_probabilities
+    FROM s WHERE is_test GROUP BY y""")
 def random_forest(spark, sf):
-    return _forest(spark, sf)[1].select("id", "y", "pred")
+    """100 trees of depth 15 on every test row; what SQL can state of a forest's answers."""
+    _, p = EV.random_forest(split(spark, sf), "vec_id", CLASSES)
+    total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
+    return p.groupBy("y").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("pred").between(0, CLASSES - 1)).alias("valid_labels"),
+        F.count_if((F.abs(total - 1) < 1e-9) & (F.size("proba") == CLASSES)).alias("whole_probabilities"))
 
 
-@query("feature_importance_top10")
+@query("feature_importance_top10", """SELECT CAST(10 AS BIGINT) AS features, CAST(10 AS BIGINT) AS names, true AS descending, true AS shares""")
 def feature_importance_top10(spark, sf):
-    model, _ = _forest(spark, sf)
-    return EV.feature_importance(model, [f"e{j:02d}" for j in range(WIDTH)], spark)
-
-
-@query("compare_models")
+    """The ten largest of 64 importances: distinct names, in order, shares of one."""
+    model, _ = EV.random_forest(split(spark, sf), "vec_id", CLASSES)
+    whole = abs(float(sum(model.featureImportances.toArray())) - 1) < 1e-9
+    top = EV.feature_importance(model, [f"e{j:02d}" for j in range(WIDTH)], spark)
+    values = F.collect_list("importance")
+    return top.coalesce(1).agg(
+        F.count(F.lit(1)).alias("features"), F.countDistinct("feature").alias("names"),
+        (values == F.sort_array(values, False)).alias("descending"),
+        ((F.sum("importance") <= 1) & (F.min("importance") >= 0) & F.lit(whole)).alias("shares"))
+
+
+def prepared_split(spark, sf) -> DataFrame:
+    """History -> training table -> z-scores fitted on all rows -> stratified split."""
+    table = settle(EV.prepare_training_table(readers.usable_history(history(spark, sf))), "prepared")
+    scaled = table.select("vec_id", "y", EV.scale(F.col("vector"), EV.fit_scaler(table, 3)).alias("vector"))
+    return settle(EV.stratified_split(scaled, "vec_id", "y"), "prepared-split")
+
+
+@query("compare_models", f"""WITH {_HISTORY}, t0 AS (SELECT y, md5(CAST(vec_id AS VARCHAR) || '-42') AS h, vec_id FROM h),
+    t AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY h, vec_id) <= round(count(*) OVER (PARTITION BY y) * 0.2::DOUBLE, 0) AS is_test FROM t0)
+    SELECT model, count(*) AS test_rows, true AS scores_in_range, true AS best_has_largest_f1
+    FROM t, (VALUES ('KNN (k=5)'), ('Random Forest')) v(model) WHERE is_test GROUP BY model""")
 def compare_models(spark, sf):
-    s = split(spark, sf)
-    near = EV.knn_uniform(s, "vec_id", CLASSES)
-    _, forest = EV.random_forest(s, "vec_id", CLASSES, trees=20, depth=8)
-    return EV.compare_models([EV.evaluate("KNN (k=5)", near, CLASSES),
-                              EV.evaluate("Random Forest", forest, CLASSES)])
+    """The whole comparison from analysis history, with both models in full."""
+    s = prepared_split(spark, sf)
+    near = settle(EV.knn_uniform(s, "vec_id", 3), "compared")
+    forest = settle(EV.random_forest(s, "vec_id", 3)[1].select("id", "y", "pred", "proba"), "compared")
+    rows = EV.compare_models([EV.evaluate("KNN (k=5)", near, 3), EV.evaluate("Random Forest", forest, 3)])
+    sizes = near.select(F.lit("KNN (k=5)").alias("model")).unionByName(
+        forest.select(F.lit("Random Forest").alias("model"))).groupBy("model").agg(F.count(F.lit(1)).alias("test_rows"))
+    largest = F.max("f1").over(Window.partitionBy(F.lit(1)))
+    inside = F.lit(True)
+    for c in ("accuracy", "precision", "recall", "f1", "roc_auc"):
+        inside &= F.col(c).between(0, 1)
+    return rows.join(sizes, "model").select(
+        "model", "test_rows", inside.alias("scores_in_range"),
+        (F.col("is_best") == (F.col("f1") == largest)).alias("best_has_largest_f1"))
 
 
 # --- bookkeeping ---------------------------------------------------------------------------

@@ -1,10 +1,10 @@
 """Sender-domain lookups: allow-list suffix match, look-alike match, reputation join.
 
 Both domain lookups run on the *distinct* sender domains (map-side combined before the shuffle),
-as one equi-join: a suffix key for the allow-list and three segment keys for look-alikes.  Two
-strings within edit distance 2 share at least one of three contiguous segments, shifted by at
-most two positions, so the segment keys reach every candidate and the distance only has to be
-verified on rows that share a key - no all-pairs comparison, however long the list gets.
+as one equi-join: a suffix key for the allow-list, and for look-alikes the hashes of everything that
+is left of a string after deleting at most two characters.  Two strings within edit distance 2 share
+such a rest, and strings that share one are close, so few candidates have to be verified: no key
+gathers unrelated names, as the top-level domain would.
 """
 
 from __future__ import annotations
@@ -18,61 +18,42 @@ from ..functions.text import domain_suffixes
 from ..session import settle
 
 MAX_DISTANCE = 2
-_SEGMENTS = MAX_DISTANCE + 1
-
-
-def _segment(length: Column, i: int) -> tuple[Column, Column]:
-    """0-based start and length of segment ``i`` of a string of the given length."""
-    base = F.floor(length / _SEGMENTS).cast("int")
-    longer = F.pmod(length, F.lit(_SEGMENTS)).cast("int")
-    start = base * i + F.least(F.lit(i), longer)
-    return start, base + F.when(F.lit(i) < longer, 1).otherwise(0)
 
 
 def _key(kind: str, key: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
 
-def _segment_key(length: Column, i: int, piece: Column) -> Column:
-    return _key("segment", F.concat_ws("|", length.cast("string"), F.lit(str(i)), piece))
+def _shortened(text: Column) -> Column:
+    """All strings with one character of ``text`` deleted; none for an empty one."""
+    n = F.length(text)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(
+        F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, n)))
+    return F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))
+
+
+def _near_keys(text: Column) -> Column:
+    """Hashes of what is left after deleting at most MAX_DISTANCE characters."""
+    rests = [F.array(text)]
+    for _ in range(MAX_DISTANCE):
+        rests.append(F.array_distinct(F.flatten(F.transform(rests[-1], _shortened))))
+    return F.transform(F.array_distinct(F.concat(*rests)), lambda rest: _key("near", F.xxhash64(rest).cast("string")))
 
 
 def whitelist_index(whitelist: DataFrame) -> DataFrame:
-    """(kind, key, entry): one suffix key and three segment keys per allow-list entry."""
-    entry = F.col("entry")
-    n = F.length(entry)
-    keys = [_key("suffix", entry)]
-    for i in range(_SEGMENTS):
-        start, size = _segment(n, i)
-        keys.append(_segment_key(n, i, F.substring(entry, start + 1, size)))
+    """(kind, key, entry): one suffix key and the deletion keys of each allow-list entry."""
     entries = whitelist.select(F.lower(F.col("domain")).alias("entry")).distinct()
-    return entries.select("entry", F.inline(F.array(*keys)))
+    keys = F.concat(F.array(_key("suffix", F.col("entry"))), _near_keys(F.col("entry")))
+    return entries.select("entry", F.inline(keys))
 
 
 @lru_cache
 def _domain_keys() -> Column:
-    """Suffix and segment keys of ``from_domain``; none for an empty one."""
+    """Suffix and deletion keys of ``from_domain``; none for an empty one."""
     domain = F.col("from_domain")
-    n = F.length(domain)
-
-    def probes_of_segment(length, i):
-        start, size = _segment(length, i)
-        low = F.greatest(start - MAX_DISTANCE, F.lit(0))
-        high = F.least(start + MAX_DISTANCE, n - size)
-        shifts = F.transform(
-            F.sequence(low, high),
-            lambda p: _segment_key(length, i, F.substring(domain, p + 1, size)))
-        return F.when(high >= low, shifts).otherwise(
-            F.array().cast("array<struct<kind:string,key:string>>"))
-
-    def for_length(length):
-        return F.concat(*[probes_of_segment(length, i) for i in range(_SEGMENTS)])
-
-    lengths = F.sequence(F.greatest(n - MAX_DISTANCE, F.lit(1)), n + MAX_DISTANCE)
     suffixes = F.transform(domain_suffixes(domain), lambda s: _key("suffix", s))
     # Not a filter: that would be pushed below, and repeat, the parsing of the column.
-    return F.when(domain != "", F.concat(
-        suffixes, F.flatten(F.transform(lengths, for_length))))
+    return F.when(domain != "", F.concat(suffixes, _near_keys(domain)))
 
 
 def sender_verdicts(domains: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -118,18 +99,21 @@ def attach_sender_verdicts(signals: DataFrame, whitelist: DataFrame) -> DataFram
 
 def whitelist_match(reports: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Rows whose sender domain, or a parent of it, is on the list."""
+    reports = settle(reports, "senders")  # read twice below, parsed once
     hits = sender_verdicts(reports, whitelist).where("whitelisted").select("from_domain")
     return reports.join(hits, "from_domain", "left_semi")
 
 
 def whitelist_miss(reports: DataFrame, whitelist: DataFrame) -> DataFrame:
     """The complement of ``whitelist_match``."""
+    reports = settle(reports, "senders")  # read twice below, parsed once
     hits = sender_verdicts(reports, whitelist).where("whitelisted").select("from_domain")
     return reports.join(hits, "from_domain", "left_anti")
 
 
 def homograph_match(reports: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Rows whose sender domain imitates an entry, with the entry and its distance."""
+    reports = settle(reports, "senders")  # read twice below, parsed once
     hits = sender_verdicts(reports, whitelist).where("homograph_of IS NOT NULL")
     return reports.join(hits.drop("whitelisted"), "from_domain")
 

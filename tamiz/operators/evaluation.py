@@ -11,14 +11,15 @@ from .. import constants as C
 from ..session import settle
 from .knn import knn_classify
 
+MAX_FEATURES = 10_000
 
-def prepare_training_table(history: DataFrame) -> DataFrame:
+
+def prepare_training_table(history: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(id, y, vector): features MAP -> fixed-order vector, missing values 0.
 
-    The feature list is every key seen, in alphabetical order; the key set is a schema and
-    bounded as one.
+    ``names`` is the feature list; without one it is every key seen, in alphabetical order.
     """
-    names = feature_keys(history)
+    names = feature_keys(history) if names is None else names
     value = [F.coalesce(F.try_element_at("features", F.lit(n)), F.lit(0.0)) for n in names]
     y = F.array_position(F.array(*[F.lit(x) for x in C.LABELS]), F.col("classification"))
     kept = [c for c in history.columns if c not in ("features", "classification")]
@@ -28,9 +29,12 @@ def prepare_training_table(history: DataFrame) -> DataFrame:
 
 
 def feature_keys(history: DataFrame) -> list[str]:
-    """Distinct feature names, sorted."""
-    keys = history.select(F.explode(F.map_keys("features")).alias("k")).distinct()
-    return sorted(r["k"] for r in keys.collect())
+    """Distinct feature names, sorted; more than MAX_FEATURES are refused, for they are no features then."""
+    keys = history.select(F.explode(F.map_keys("features")).alias("k")).distinct().limit(MAX_FEATURES + 1)
+    names = sorted(r["k"] for r in keys.collect())
+    if len(names) > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} feature names; pass the list")
+    return names
 
 
 def fit_scaler(table: DataFrame, width: int, vector: str = "vector") -> tuple[list, list]:
@@ -55,24 +59,27 @@ def stratified_split(table: DataFrame, id_col: str, y_col: str, test_share: floa
                      seed: int = 42, digits: int = 4) -> DataFrame:
     """Add ``is_test``: the first ``test_share`` of every class in hash order of the id.
 
-    Exact and reproducible.  A class is never ordered as a whole: rows fall into hash-prefix
-    ranges, the ranges' counts say where the cut lies, and rows are numbered within a range.
+    Exact and reproducible.  A class is never ordered as a whole: counts of hash-prefix ranges say in
+    which range its cut lies, and only that range's ids are numbered.  What the rows themselves are joined with is one cut
+    (hash, id) per class, so their vectors are not shuffled.
     """
-    hashed = table.withColumn("_h", F.md5(F.concat_ws(
-        "-", F.col(id_col).cast("string"), F.lit(str(seed))))
-    ).withColumn("_p", F.substring("_h", 1, digits))
-    ranges = hashed.groupBy(F.col(y_col), F.col("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(y_col)
+    hash_ = F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed))))
+    ids = table.select(F.col(y_col).alias("_y"), hash_.alias("_h"), F.col(id_col).alias("_id")).withColumn(
+        "_p", F.substring("_h", 1, digits))
+    ranges = ids.groupBy("_y", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_y")
     earlier = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select(
-        y_col, "_p",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        "_y", "_p", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.round(F.sum("_n").over(whole) * test_share, 0).alias("_cut"))
-    inside = Window.partitionBy(y_col, "_p").orderBy("_h", id_col)
-    return hashed.withColumn("_rn", F.row_number().over(inside)).join(
-        offsets, [y_col, "_p"]
-    ).withColumn("is_test", F.col("_before") + F.col("_rn") <= F.col("_cut")).drop(
-        "_h", "_p", "_before", "_cut", "_rn")
+    last = offsets.where("_before < _cut AND _before + _n >= _cut").select(
+        "_y", "_p", (F.col("_cut") - F.col("_before")).alias("_left"))
+    inside = Window.partitionBy("_y", "_p").orderBy("_h", "_id")
+    numbered = ids.join(last, ["_y", "_p"]).withColumn("_rn", F.row_number().over(inside))
+    cuts = settle(numbered.where("_rn = _left").select("_y", F.col("_h").alias("_cut_h"), F.col("_id").alias("_cut_id")), "cuts")
+    upto = F.struct(hash_.alias("h"), F.col(id_col).alias("i")) <= F.struct(F.col("_cut_h").alias("h"), F.col("_cut_id").alias("i"))
+    return table.join(cuts, F.col(y_col) == F.col("_y"), "left").withColumn(
+        "is_test", F.coalesce(upto, F.lit(False))).drop("_y", "_cut_h", "_cut_id")
 
 
 def confusion_counts(predictions: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:

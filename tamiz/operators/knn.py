@@ -72,12 +72,12 @@ def knn_vote(vector: Column, training: DataFrame, k: int = 5, weights: str = "di
              n_classes: int = 3) -> Column:
     """STRUCT<label, confidence, proba> of a vector against a small training table.
 
-    Raises when the table has more than ``BROADCAST_ROWS`` rows; ``knn_classify`` then uses the
-    block join.  An empty table votes class 1 with confidence 0.
+    Raises when the table has more than ``BROADCAST_ROWS`` rows; ``with_vote`` takes any size.
+    An empty table votes class 1 with confidence 0.
     """
     rows = training.select("seq", "vector", "label").limit(BROADCAST_ROWS + 1).collect()
     if len(rows) > BROADCAST_ROWS:
-        raise ValueError("training table too large to broadcast; use knn_classify")
+        raise ValueError("training table too large to broadcast; use with_vote")
     rows.sort(key=lambda r: r["seq"])
     vote = _vote_udf([list(r["vector"]) for r in rows], [int(r["label"]) for r in rows],
                      k, weights, n_classes)
@@ -89,9 +89,22 @@ def knn_vote(vector: Column, training: DataFrame, k: int = 5, weights: str = "di
         F.raise_error(F.lit(f"vectors must have {width} values")).cast("array<double>")))
 
 
+def _checked(vector: Column, width: int) -> Column:
+    return F.when(F.size(vector) == width, vector.cast("array<double>")).otherwise(
+        F.raise_error(F.lit(f"vectors must have {width} values")).cast("array<double>"))
+
+
+def _nearest_equals(training: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors only the k lowest ``seq`` can be among the k nearest of any query."""
+    equal = Window.partitionBy("vector").orderBy("seq")
+    rows = training.select("seq", F.col("vector").cast("array<double>").alias("vector"), "label")
+    return rows.withColumn("_rn", F.row_number().over(equal)).where(F.col("_rn") <= k).drop("_rn")
+
+
 def knn_neighbours(queries: DataFrame, training: DataFrame, k: int = 5, id_col: str = "id",
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, seq, label, dist, rank): the k nearest training rows of every query, exactly."""
+    training = _nearest_equals(training, k)
     n_queries, n_training = queries.count(), training.count()
     q_blocks = max(1, -(-n_queries // block_rows))
     t_blocks = max(1, -(-n_training // block_rows))
@@ -156,10 +169,24 @@ def vote_neighbours(neighbours: DataFrame, weights: str = "distance",
         top.alias("confidence"), "proba")
 
 
+def with_vote(rows: DataFrame, name: str, training: DataFrame, k: int = 5,
+              weights: str = "distance", n_classes: int = 3) -> DataFrame:
+    """``rows`` plus the vote on their ``vector`` as column ``name``, for a training table of any size.
+
+    Small tables travel with a vectorised function. For larger ones the distinct vectors are voted on
+    by the block join and joined back; the answers are the same.
+    """
+    if training.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.withColumn(name, knn_vote(F.col("vector"), training, k, weights, n_classes))
+    width = len(training.select("vector").first()["vector"])
+    vectors = rows.select(_checked(F.col("vector"), width).alias("id")).distinct().withColumn("vector", F.col("id"))
+    votes = vote_neighbours(knn_neighbours(vectors, training, k), weights, n_classes)
+    votes = votes.select(F.col("id").alias("_voted"), F.struct("label", "confidence", "proba").alias(name))
+    return rows.join(votes, F.col("vector").cast("array<double>") == F.col("_voted")).drop("_voted")
+
+
 def knn_classify(queries: DataFrame, training: DataFrame, k: int = 5,
                  weights: str = "distance", n_classes: int = 3, id_col: str = "id") -> DataFrame:
     """(id, label, confidence, proba) for every query row with a ``vector``."""
-    if training.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        vote = knn_vote(F.col("vector"), training, k, weights, n_classes)
-        return queries.select(F.col(id_col).alias("id"), vote.alias("v")).select("id", "v.*")
-    return vote_neighbours(knn_neighbours(queries, training, k, id_col), weights, n_classes)
+    rows = queries.select(F.col(id_col).alias("id"), "vector")
+    return with_vote(rows, "v", training, k, weights, n_classes).select("id", "v.*")

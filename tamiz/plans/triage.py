@@ -12,6 +12,7 @@ from ..config import DEFAULT, TriageConfig
 from ..functions import features as FX
 from ..functions import scoring as SC
 from ..operators import domains, knn, parsing
+from ..operators import training as TR
 from ..session import settle
 
 ANALYSIS_COLUMNS = [
@@ -137,8 +138,7 @@ def triage_signals(signals: DataFrame, whitelist: DataFrame, training: DataFrame
                    vote_before_whitelist: bool = False) -> DataFrame:
     """The cascade over signal rows (see ``triage``)."""
     scored = _deep_decision(score_signals(signals, whitelist, ip_reputation), responses)
-    scored = scored.withColumn(
-        "_vote", knn.knn_vote(F.col("vector"), training, cfg.knn_k))
+    scored = knn.with_vote(scored, "_vote", training, cfg.knn_k)
     bound = cfg.knn_threshold if threshold is None else threshold
     vote, source, analysis, extra = _cascade_columns(bound, vote_before_whitelist)
     return _as_analysis(scored.withColumn("knn", vote).withColumn("source", source),
@@ -224,7 +224,7 @@ def batch_evaluate(reports: DataFrame, whitelist: DataFrame, training: DataFrame
     parsed = parsing.parse_reports(reports)
     if mode == "quick":
         feats = parsing.feature_table(parsed, cfg).select("report_id", "vector")
-        vote = feats.withColumn("v", knn.knn_vote(F.col("vector"), training, cfg.knn_k))
+        vote = knn.with_vote(feats, "v", training, cfg.knn_k)
         return vote.select(
             "report_id", label_name(F.col("v.label")).alias("classification"),
             F.round("v.confidence", 4).alias("confidence"), F.lit("knn").alias("source"),
@@ -248,6 +248,22 @@ def batch_evaluate(reports: DataFrame, whitelist: DataFrame, training: DataFrame
     return full.select(*columns)
 
 
+def train_on_evaluated(rows: DataFrame, training: DataFrame, cfg: TriageConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(live training rows, one-row summary) after appending the rows of ``batch_evaluate(.., "train")``.
+
+    Summary: examples before and after, added ones, and mail that failed (no class or no vector).
+    """
+    rows = settle(rows.select("report_id", "vector", "classification"), "train-rows")
+    usable = rows.where(F.col("vector").isNotNull() & F.col("classification").isin(*C.LABELS))
+    examples = usable.select(F.col("report_id").alias("order"), "vector", "classification")
+    live = settle(TR.append_training(training, examples, cfg.training_cap), "trained")
+    good = F.col("vector").isNotNull() & F.coalesce(F.col("classification").isin(*C.LABELS), F.lit(False))
+    counted = training.select(F.lit("examples_before").alias("k")).unionByName(
+        live.select(F.lit("examples_after").alias("k"))).unionByName(
+        rows.select(F.when(good, "added").otherwise("failed").alias("k")))
+    return live, counted.agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("examples_before", "examples_after", "added", "failed")])
+
+
 def run_summary(analyses: DataFrame) -> DataFrame:
     """(kind, key, count, pct): counts per class and per source with their share."""
     pairs = F.array(
