@@ -96,7 +96,7 @@ def _codes(column: list[bytes]) -> np.ndarray:
 
 
 def _matches(rows: list[tuple]) -> list[tuple]:
-    """(tid, begin, end) of the matches of sorted rows (tid, place, right, left) with the nearest rows of other texts.
+    """(tid, begin, end) of sorted rows (tid, place, right, left): all that any match with a near row of another text covers.
 
     The neighbour that goes on longest to the right need not be the one that does to the left, so the last rows of the
     NEAR runs before and the first rows of the NEAR runs after a row are compared with it.
@@ -108,9 +108,9 @@ def _matches(rows: list[tuple]) -> list[tuple]:
     places = np.array([r[1] for r in rows], np.int64)
     right, left = _codes([r[2] for r in rows]), _codes([r[3] for r in rows])
     starts = np.flatnonzero(np.r_[True, tids[1:] != tids[:-1]])  # where another text's run begins
+    low, high = places.copy(), places.copy()  # matches of a row all touch its place, so they are one stretch
     run = np.searchsorted(starts, np.arange(n), side="right") - 1
     ends = np.r_[starts[1:] - 1, n - 1]
-    out = set()
     for step in range(1, NEAR + 1):
         for other_run, face in ((run - step, ends), (run + step, starts)):
             mine = np.flatnonzero((other_run >= 0) & (other_run < len(starts)))
@@ -120,8 +120,10 @@ def _matches(rows: list[tuple]) -> list[tuple]:
             forward = _common(right[mine], right[other])
             backward = _common(left[mine], left[other])
             long = forward + backward >= LEAST
-            out.update((rows[m][0], int(places[m] - b), int(places[m] + f)) for m, f, b in zip(mine[long], forward[long], backward[long]))
-    return sorted(out)
+            mine = mine[long]
+            low[mine] = np.minimum(low[mine], places[mine] - backward[long])
+            high[mine] = np.maximum(high[mine], places[mine] + forward[long])
+    return [(rows[k][0], int(low[k]), int(high[k])) for k in np.flatnonzero(low < high)]
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +168,7 @@ def repeated_stretches(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     places = settle(_hashes(texts).select("tid", "words").mapInArrow(_select, "tid binary, place int, seed long"), "suffix-places")
     who = F.xxhash64("tid")
     seeds = places.groupBy("seed").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("seed")
+    seeds = settle(seeds, "suffix-seeds")  # a table of its own: only then can the join split a frequent seed's places
     kept = places.join(seeds, "seed", "left_semi").groupBy("tid").agg(F.collect_set("place").alias("places"))
     kept = settle(kept.join(firsts, "tid"), "suffix-kept")
     content = _hashes(texts.join(kept, ["tid", "row"])).select("tid", "words", "places")
