@@ -10,7 +10,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +20,8 @@ from tamiz.session import settle
 
 #: Labelled documents used for training, about; chosen by hash where there are more.
 MAX_LABELLED = 10_000
-#: Features to the vocabulary at most, and training documents that must hold one.
-VOCABULARY, LEAST_DOCS = 1 << 16, 3
+#: Features to the vocabulary at most, and positive training documents that must hold one.
+VOCABULARY, LEAST_DOCS = 1 << 15, 3
 FOLDS = 3
 #: Words that make a toxic document one of a category. Abuse of a person, and contempt.
 CATEGORY_WORDS = {
@@ -107,21 +107,19 @@ def _fit(df: DataFrame, name: str, earlier: list[str]):
 def fit_chain(rows: DataFrame, categories: list[str]) -> Chain:
     """Fits a chain to rows(doc_id, text, <categories> 0.0 or 1.0), a bounded table. No rows: all probabilities are 0."""
     rows = settle(_tokenised(rows).withColumn("_fold", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS))).drop("text"), "tox-rows")
-    if not rows.where(F.size("_tokens") > 0).limit(1).count():
+    # Only what several positive documents hold can raise a probability, and the list is bounded by VOCABULARY.
+    found = rows.where(F.greatest(*categories) > 0).select(F.explode("_tokens").alias("token")).groupBy("token").count()
+    found = found.where(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "token").limit(VOCABULARY)
+    listed = [r["token"] for r in found.collect()]
+    if not listed:
         return Chain(None, [(c, 0.0) for c in categories])
-    least = min(LEAST_DOCS, rows.count())
-    try:
-        vocabulary = CountVectorizer(inputCol="_tokens", outputCol="_counts", minDF=least, vocabSize=VOCABULARY, binary=True).fit(rows)
-    except Exception as error:
-        if "vocabulary size" not in str(error):
-            raise
-        return Chain(None, [(c, 0.0) for c in categories])  # no feature occurs often enough
+    vocabulary = CountVectorizerModel.from_vocabulary(listed, inputCol="_tokens", outputCol="_counts").setBinary(True)
     df = settle(vocabulary.transform(rows).drop("_tokens").coalesce(4), "tox-counts")
     models: list[tuple[str, object]] = []
     for k, name in enumerate(categories):
         earlier, last = categories[:k], k == len(categories) - 1
         parts = [df] + ([] if last else [df.where(F.col("_fold") != f) for f in range(FOLDS)])
-        with ThreadPoolExecutor(len(parts)) as pool:
+        with ThreadPoolExecutor(2) as pool:
             fitted = list(pool.map(lambda part: _fit(part, name, earlier), parts))
         models.append((name, fitted[0]))
         if not last:
