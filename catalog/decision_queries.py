@@ -40,7 +40,7 @@ _DEEP_RISK = "CASE WHEN wl THEN 0 ELSE risk END"
     f"{_DEEP_CLASS} AS classification, count(*) AS reports, "
     f"round(avg({_DEEP_RISK}), 6) AS avg_risk, max({_DEEP_RISK}) AS max_risk", "GROUP BY 1"))
 def deep_analysis_summary(spark, sf):
-    return deep(spark, sf).groupBy("classification").agg(
+    return deep(spark, sf, columns=["classification", "risk_score"]).groupBy("classification").agg(
         F.count(F.lit(1)).alias("reports"), F.round(F.avg("risk_score"), 6).alias("avg_risk"),
         F.max("risk_score").alias("max_risk"))
 
@@ -117,7 +117,7 @@ def deep_analysis_with_answers(spark, sf):
 
 @query("response_requests", derived("""i AS report_id,
     CAST(length('From: ' || from_raw || chr(10) || 'Reply-To: ' || reply_to || chr(10) || 'Subject: ' || subject) AS BIGINT) AS head_chars,
-    nurl AS urls, coalesce(homo, 'None') AS homograph, coalesce(nullif(deep_reasons, ''), 'Ninguno') AS indicators, risk""",
+    spf, dkim, dmarc, ip, true AS five_rules, nurl AS urls, coalesce(homo, 'None') AS homograph, coalesce(nullif(deep_reasons, ''), 'Ninguno') AS indicators, risk""",
     "WHERE NOT wl"))
 def response_requests(spark, sf):
     p = F.col("prompt")
@@ -128,6 +128,9 @@ def response_requests(spark, sf):
     head = F.regexp_extract(p, r"(?s)(From: .*?)\nSPF:", 1)
     return sinks.response_requests(scored(spark, sf)).select(
         "report_id", F.length(head).cast("long").alias("head_chars"),
+        *[F.regexp_extract(p, rf"{name}: (\w+)", 1).alias(name.lower()) for name in ("SPF", "DKIM", "DMARC")],
+        F.regexp_extract(p, r"IP origen: (\S+) \(AbuseScore", 1).alias("ip"),
+        F.regexp_like(p, F.lit(r"(?s)\n1\. .*\n2\. .*\n3\. .*\n4\. .*\n5\. ")).alias("five_rules"),
         line("URLs totales").cast("int").alias("urls"),
         line("Homógrafo detectado").alias("homograph"),
         F.regexp_replace(line("Indicadores"), ", ", "; ").alias("indicators"),
@@ -147,7 +150,7 @@ def knn_classify_reports(spark, sf):
 @query("confidence_gate", voted(
     "CAST(vconf >= 0.85 AS INT) AS is_confident, count(*) AS reports", "GROUP BY 1"))
 def confidence_gate(spark, sf):
-    return triaged(spark, sf).groupBy(
+    return triaged(spark, sf, columns=["knn"]).groupBy(
         F.col("knn.is_confident").cast("int").alias("is_confident")).agg(
         F.count(F.lit(1)).alias("reports"))
 
@@ -196,13 +199,13 @@ def first_reasons(spark, sf):
     "", """(SELECT 'classification' AS kind, class AS key, count(*) AS count FROM tr GROUP BY class
       UNION ALL SELECT 'source', source, count(*) FROM tr GROUP BY source)"""))
 def run_summary(spark, sf):
-    return TG.run_summary(triaged(spark, sf))
+    return TG.run_summary(triaged(spark, sf, columns=["classification", "source"]))
 
 
 @query("knn_label_feedback", voted(
     "i AS report_id, vclass AS predicted, class AS actual", "WHERE vclass <> class AND source <> 'whitelist'"))
 def knn_label_feedback(spark, sf):
-    t = settle(triaged(spark, sf).select("report_id", "knn", "classification", "source"), "triaged")
+    t = settle(triaged(spark, sf, columns=["report_id", "knn", "classification", "source"]), "triaged")
     t = t.where("source <> 'whitelist'")  # no vote is handed on for allow-listed mail
     return training.label_feedback(
         t.select("report_id", F.col("knn.classification").alias("classification")),
@@ -427,10 +430,10 @@ def write_analyses(spark, sf):
         F.count(F.lit(1)).alias("rows"), F.sum("risk_score").cast("long").alias("risk"))
 
 
-@query("write_cases", voted("class AS classification, source, count(*) AS cases", "GROUP BY 1, 2"))
+@query("write_cases", voted("class AS classification, source, count(*) AS cases, count(*) AS stamped", "GROUP BY 1, 2"))
 def write_cases(spark, sf):
     path = new_path(spark, "cases")
     sinks.write_cases(triaged(spark, sf), path)
     return spark.read.parquet(path).groupBy("classification", "source").agg(
-        F.count(F.lit(1)).alias("cases"))
+        F.count(F.lit(1)).alias("cases"), F.count("ts").alias("stamped"))
 

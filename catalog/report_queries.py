@@ -12,6 +12,7 @@ from tamiz.functions import scoring as SC
 from tamiz.functions import signals as S
 from tamiz.functions import text as T
 from tamiz.operators import domains, parsing
+from tamiz.session import settle
 
 from . import derived as D
 from .closed_form import FEATURE_SQL, derived
@@ -510,7 +511,8 @@ def suspicious_reasons(spark, sf):
 def scored(spark, sf, ip=None):
     from tamiz.plans.triage import score_signals
 
-    return score_signals(signals(spark, sf), whitelist(spark), ip)
+    # Stored once, so that the lookups do not parse the mail again.
+    return score_signals(settle(signals(spark, sf).drop("vector", "headers_raw", "body_preview"), "scored"), whitelist(spark), ip)
 
 
 @query("risk_score", derived("i AS report_id, risk AS deep_risk, vote_risk"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,16 +103,31 @@ def _as_analysis(df: DataFrame, classification, confidence, reporter, sender, ri
     )
 
 
+def _stored_signals(reports: DataFrame, cfg: TriageConfig, columns: Sequence[str] | None, *unused: str) -> DataFrame:
+    """Signal rows, written once: the lookups read the table several times, the mail only this time.
+
+    What takes most room is left empty unless it is among the wanted result ``columns``.
+    """
+    signals = parsing.extract_signals(parsing.parse_reports(reports), cfg).drop(*unused)
+    spare = [] if columns is None else [c for c in ("headers_raw", "body_preview", "urls_found") if c not in columns]
+    return settle(signals.withColumns({c: F.lit(None).cast(signals.schema[c].dataType) for c in spare}), "signals")
+
+
+def _wanted(analyses: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    return analyses if columns is None else analyses.select(*columns)
+
+
 def deep_analysis(reports: DataFrame, whitelist: DataFrame,
                   ip_reputation: DataFrame | None = None, responses: DataFrame | None = None,
-                  cfg: TriageConfig = DEFAULT) -> DataFrame:
-    """One analysis row per report: allow-listed, else answered, else decided by rule."""
-    # Written once: the lookups below read the table several times, the mail only this time.
-    signals = settle(parsing.extract_signals(parsing.parse_reports(reports), cfg).drop("vector"),
-                     "signals")
+                  cfg: TriageConfig = DEFAULT, columns: Sequence[str] | None = None) -> DataFrame:
+    """One analysis row per report: allow-listed, else answered, else decided by rule.
+
+    With ``columns`` the result has only these, and less is written on the way.
+    """
+    signals = _stored_signals(reports, cfg, columns, "vector")
     decided = _deep_decision(score_signals(signals, whitelist, ip_reputation), responses)
     listed = F.col("whitelisted")
-    return _as_analysis(
+    return _wanted(_as_analysis(
         decided,
         F.when(listed, F.lit("legitimo")).otherwise(F.col("deep.classification")),
         F.when(listed, F.lit(1.0)).otherwise(F.col("deep.confidence")),
@@ -122,7 +138,7 @@ def deep_analysis(reports: DataFrame, whitelist: DataFrame,
         F.md5(F.col("path")),
         [F.col("homograph"), F.col("url_count"), F.col("header_count"),
          F.col("suspicious_headers"), F.col("heuristic_score")],
-    )
+    ), columns)
 
 
 def file_stem(path: Column) -> Column:
@@ -197,16 +213,17 @@ def _cascade_columns(bound: float, vote_before_whitelist: bool):
 
 def triage(reports: DataFrame, whitelist: DataFrame, training: DataFrame,
            ip_reputation: DataFrame | None = None, responses: DataFrame | None = None,
-           cfg: TriageConfig = DEFAULT, threshold: float | None = None) -> DataFrame:
-    """Analysis rows with their decision ``source``.
+           cfg: TriageConfig = DEFAULT, threshold: float | None = None,
+           columns: Sequence[str] | None = None) -> DataFrame:
+    """Analysis rows with their decision ``source``; with ``columns`` only these.
 
     Every report is parsed once into narrow signal rows, which are written out; all three
     branches are projections of the same row of that table.
     ``source`` is ``whitelist``, ``knn``, ``llm`` (deep analysis), or ``unreported`` for mail
     without a reporter, which goes to spam unanalysed.
     """
-    signals = settle(parsing.extract_signals(parsing.parse_reports(reports), cfg), "signals")
-    return triage_signals(signals, whitelist, training, ip_reputation, responses, cfg, threshold)
+    signals = _stored_signals(reports, cfg, columns)
+    return _wanted(triage_signals(signals, whitelist, training, ip_reputation, responses, cfg, threshold), columns)
 
 
 def batch_evaluate(reports: DataFrame, whitelist: DataFrame, training: DataFrame,

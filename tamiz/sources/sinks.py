@@ -206,8 +206,14 @@ def webhook_payloads(analyses: DataFrame) -> DataFrame:
 
 
 PROMPT_INTRO = (
-    "Clasifica el siguiente email reportado como \"spam\" o \"sospechoso\". "
-    "Usa \"sospechoso\" solo con evidencia clara; en caso de duda responde \"spam\".")
+    "Clasifica el siguiente email reportado con una de dos etiquetas: \"spam\" (correo no deseado sin peligro) o "
+    "\"sospechoso\" (posible phishing que una persona debe revisar). Criterios:\n"
+    "1. Si SPF, DKIM y DMARC pasan y el riesgo es menor que 30, responde \"spam\".\n"
+    "2. Si Microsoft no marca ninguna URL y el riesgo es menor que 30, responde \"spam\".\n"
+    "3. Responde \"sospechoso\" solo ante pruebas claras: falla de autenticación, URL maliciosa, dominio "
+    "homógrafo, Reply-To de otro dominio o IP con muchos reportes de abuso.\n"
+    "4. Un boletín enviado con Mailchimp o SendGrid y bien autenticado es \"spam\".\n"
+    "5. Si hay duda, responde \"spam\", para no dar falsas alarmas.")
 PROMPT_ANSWER = ("Responde solo con JSON: {\"classification\": \"spam\", "
                  "\"confidence\": 0.85, \"reasoning\": \"breve\"}")
 

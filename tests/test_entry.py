@@ -17,7 +17,7 @@ CHECKED = [
     "cross_validate", "quality_gate", "batch_evaluate_full", "quarantine_summary", "stratified_split",
     "knn_neighbours", "knn_classify", "classification_metrics", "evaluate_knn", "random_forest",
     "feature_importance_top10", "compare_models", "whitelist_match", "homograph_match", "knn_label_feedback", "train_summary",
-    "stream_agent_tables", "training_size_log", "active_learning_step", "roc_auc", "standard_scale", "rolling_accuracy",
+    "stream_agent_tables", "training_size_log", "active_learning_step", "response_requests", "write_cases", "confidence_gate", "run_summary", "risk_score", "roc_auc", "standard_scale", "rolling_accuracy",
     "threshold_log", "append_training", "monthly_summary", "stats_report", "year_month_rollup",
     "stream_usage_counts", "whitelist_entries", "quarantine_lines", "new_files",
 ]
