@@ -108,14 +108,19 @@ def _page(urn: str | None) -> int | None:
 
 
 def _parse(batches: Iterator[pa.RecordBatch], keep_payload: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of the records of whole files; of those at ``wanted`` only, where the batch has that column."""
     names = ["path", "ordinal", "page_id", "url", "record_type", "refers_to", "claimed", "payload_bytes", "payload_digest"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
     if keep_payload:
         names, kinds = [*names, "payload"], [*kinds, pa.string()]
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        chosen = batch["wanted"].to_pylist() if "wanted" in batch.schema.names else [None] * batch.num_rows
+        for path, content, wanted in zip(batch["path"], batch["content"], chosen):
             rows = []
+            only = None if wanted is None else set(wanted)
             for ordinal, (headers, block) in enumerate(_records(content.as_py())):
+                if only is not None and ordinal not in only:
+                    continue
                 payload = block.partition(b"\r\n\r\n")[2]
                 whole = headers["warc-type"] == "response"
                 rows.append((
@@ -129,10 +134,16 @@ def _parse(batches: Iterator[pa.RecordBatch], keep_payload: bool) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
-def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """One row per record, in file order (path, ordinal); payload columns are null for revisits."""
+def read_archive(spark: SparkSession, path: str, payloads: bool = False, wanted: DataFrame | None = None) -> DataFrame:
+    """One row per record, in file order (path, ordinal); payload columns are null for revisits.
+
+    ``wanted(path, ordinal)`` restricts the records. Its ordinals, RECORDS_PER_FILE a file at most, go to the files, so that
+    compressed files are shuffled at most, and no payloads.
+    """
     with_small_batches(spark, 1)  # one file at a time
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if wanted is not None:
+        files = files.join(wanted.groupBy("path").agg(F.collect_list("ordinal").alias("wanted")), "path")
     return files.mapInArrow(lambda b: _parse(b, payloads), _RECORD + (", payload string" if payloads else ""))
 
 
@@ -162,7 +173,7 @@ def rewrite_deduplicated(spark: SparkSession, source: str, target: str, date: st
     heads = settle(read_archive(spark, source), "warc-heads")
     decided = settle(resolve_revisits(heads, min_bytes), "warc-decided")
     kept = decided.where("is_response").select("path", "ordinal")
-    responses = read_archive(spark, source, payloads=True).join(kept, ["path", "ordinal"], "left_semi")
+    responses = read_archive(spark, source, payloads=True, wanted=kept)
     revisits = decided.where("not is_response").withColumn("digest", F.col("payload_digest"))
     return write_archive(
         response_records(responses.select("page_id", "url", F.col("payload").alias("html")), date)
