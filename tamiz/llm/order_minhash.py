@@ -26,6 +26,8 @@ SKETCHES, LENGTH = 16, 3
 #: Groups whose members differ are split by a further sketch this often; then they are worked off member by member. Two texts of
 #: similarity 0.8 that both differ from a hub have a second sketch in common but in 2 of 10^4 cases.
 DEPTH = 4
+#: Members of a group that are left after its hub and compared in pairs at most.
+SMALL = 48
 #: Largest table, in rows, that is sent to every task; a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -177,13 +179,24 @@ def _rooted(df: DataFrame, roots: DataFrame, tid: str, root: str) -> DataFrame:
     return df.join(named, tid, "left").withColumn(root, F.coalesce("_root", tid)).drop("_root")
 
 
+def _close(active: DataFrame, reach: float) -> DataFrame:
+    """Distinct pairs (hub, tid, hub_size, size) of different roots in small groups that the triangle inequality leaves open."""
+    few = active.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL).select("key")
+    rows = active.join(few, "key")
+    left = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in ("tid", "size", "root", "far", "near")])
+    open_ = (F.col("a_near") - F.col("far") <= reach) & (F.col("near") - F.col("a_far") <= reach)
+    return left.join(rows, "key").where((F.col("a_tid") < F.col("tid")) & (F.col("a_root") != F.col("root")) & open_).select(
+        F.col("a_tid").alias("hub"), "tid", F.col("a_size").alias("hub_size"), "size").distinct()
+
+
 def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame:
     """(tid, root): the linked texts among texts(tid, size, keys) and the least tid of their component.
 
     Two texts of at least ``similarity`` are linked. Texts with an equal sketch form a group, and each member is compared with the
     group's hub, never all with all. A group is done once all its members have one root. What else may be
     linked goes on without the hub: members of another root than the hub, and those that by the triangle inequality may be similar to
-    one of these. They are split by a further shared sketch, ``DEPTH`` times, then left unsplit. ``labels`` makes
+    one of these. Up to SMALL of them are compared in pairs, as far as that inequality and their roots leave them open; more are
+    split by a further shared sketch, ``DEPTH`` times, and then go on with the next hub. ``labels`` makes
     (tid, labels) of (tid) rows; it is called once.
     """
     spark = texts.sparkSession
@@ -195,25 +208,32 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
     content = labels(involved)
     sketches = texts.select("tid", "keys").join(_few(involved), "tid", "left_semi")
     roots = spark.createDataFrame([], "tid binary, root binary")
-    done, depth = None, 0
-    while True:
-        pairs = members.select("hub", "tid", "hub_size", "size").distinct()
+    done, depth, reach = None, 0, 1 - similarity + 1e-9
+
+    def compared(pairs: DataFrame, roots: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Everything compared so far, and the roots with the new links."""
         if done is not None:
             pairs = pairs.join(done, ["hub", "tid"], "left_anti")
         fresh = settle(_verify(pairs, content, similarity), "omh-compared")
-        done = fresh if done is None else done.unionByName(fresh)
         links = fresh.where(F.col("similarity") >= similarity)
         links = _rooted(_rooted(links, roots, "hub", "a"), roots, "tid", "b").select("a", "b")
         joined = components(links, "omh").select(F.col("node").alias("at"), F.col("root").alias("to"))
         moved = roots.join(joined, F.col("root") == F.col("at"), "left").select("tid", F.coalesce("to", "root").alias("root"))
         added = joined.select(F.col("at").alias("tid"), F.col("to").alias("root"))
         roots = settle(moved.unionByName(added.join(roots.select("tid"), "tid", "left_anti")), "omh-roots")
+        return fresh if done is None else done.unionByName(fresh), roots
+
+    while True:
+        done, roots = compared(members.select("hub", "tid", "hub_size", "size").distinct(), roots, done)
         judged = _rooted(_rooted(members.drop("root").join(done, ["hub", "tid"]), roots, "tid", "root"), roots, "hub", "hub_root")
+        judged = judged.withColumns({"near": 1 - F.col("bound"), "far": 1 - F.col("similarity")})  # the distance to the hub lies between
         apart = F.col("root") != F.col("hub_root")
-        closest = judged.where(apart).groupBy("key").agg(F.min(1 - F.col("bound")).alias("closest"))
-        active = judged.join(closest, "key").where(
-            apart | ((1 - F.col("similarity")) >= F.col("closest") - (1 - similarity) - 1e-9)
-        ).select("key", "last", "tid", "size", "root")
+        closest = judged.where(apart).groupBy("key").agg(F.min("near").alias("closest"))
+        active = settle(judged.join(closest, "key").where(apart | (F.col("closest") - F.col("far") <= reach)).select(
+            "key", "last", "tid", "size", "root", "near", "far"), "omh-active")
+        done, roots = compared(_close(active, reach), roots, done)
+        many = active.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key")
+        active = _rooted(active.join(many, "key").drop("root", "near", "far"), roots, "tid", "root")
         depth += 1
         if depth <= DEPTH:
             active = active.join(sketches, "tid").select("key", "last", "tid", "size", "root", keys).where("j > last").select(

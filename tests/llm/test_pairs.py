@@ -47,7 +47,8 @@ def test_alignment_is_order_sensitive_and_counts_occurrences():
     assert len(order_minhash.labelled(np.arange(4, dtype=np.uint64))) == 0
 
 
-def test_members_that_differ_from_the_hub_are_still_linked(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 4, 100])
+def test_members_that_differ_from_the_hub_are_still_linked(spark, monkeypatch, small):
     """All texts in one group: every link has to come from the rounds after the first."""
     rng = random.Random(5)
     texts = []
@@ -55,6 +56,7 @@ def test_members_that_differ_from_the_hub_are_still_linked(spark, monkeypatch):
         base = prose(rng, 80)
         texts += [" ".join(base), " ".join(base[:40] + ["other"] + base[41:])]
     monkeypatch.setattr(order_minhash, "DEPTH", 0)
+    monkeypatch.setattr(order_minhash, "SMALL", small)
     monkeypatch.setattr(order_minhash, "SKETCHES", 1)
     rows = order_minhash.sketched(documents(spark, texts)).selectExpr("doc_id", "tid", "size", "array(1L) as keys")
     texts_df = rows.selectExpr("tid", "size", "keys")
