@@ -174,6 +174,35 @@ def stream_monthly_totals(spark, sf):
     return SS.monthly(_daily(spark, sf))
 
 
+def _appended(stream: DataFrame, spark) -> DataFrame:
+    """Everything an append-mode stream gives for the files that are there now."""
+    out = new_path(spark, "stream")
+    stream.writeStream.outputMode("append").option("checkpointLocation", new_path(spark, "stream-state")).trigger(
+        availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    events = D.table(spark, sf, "events")
+    return spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query("stream_window_counts", """WITH w AS (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY 1, 2),
+    m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+    SELECT strftime(h, '%Y-%m-%d %H:%M') AS window_start, event_type, n FROM w, m WHERE h + INTERVAL 1 HOUR <= mark""")
+def stream_window_counts(spark, sf):
+    """The windows the watermark has closed."""
+    closed = _appended(SS.stream_window_counts(_event_stream(spark, sf), ["event_type"]), spark)
+    return closed.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
+@query("stream_deduplicated", "SELECT DISTINCT CAST(user_id AS BIGINT) AS report_id FROM events")
+def stream_deduplicated(spark, sf):
+    """Each id once; the whole table is one batch, inside one watermark."""
+    reports = _event_stream(spark, sf).select(F.col("user_id").alias("report_id"), F.col("ts").alias("arrived_at"))
+    return _appended(SS.deduplicated(reports), spark).select("report_id")
+
+
 def report_folder(spark, sf) -> str:
     """The derived reports as files, one per mail, the way they arrive."""
     folder = new_path(spark, "ingress")

@@ -19,7 +19,7 @@ CHECKED = [
     "feature_importance_top10", "compare_models", "whitelist_match", "homograph_match", "knn_label_feedback", "train_summary",
     "stream_agent_tables", "training_size_log", "active_learning_step", "response_requests", "write_cases", "confidence_gate", "run_summary", "risk_score", "roc_auc", "standard_scale", "rolling_accuracy",
     "threshold_log", "append_training", "monthly_summary", "stats_report", "year_month_rollup",
-    "stream_usage_counts", "whitelist_entries", "quarantine_lines", "new_files",
+    "stream_usage_counts", "stream_window_counts", "stream_deduplicated", "whitelist_entries", "quarantine_lines", "new_files",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="tables not present")
 
