@@ -26,7 +26,7 @@ SKETCHES, LENGTH = 16, 3
 #: Groups whose members differ are split by a further sketch this often; then they are worked off member by member. Two texts of
 #: similarity 0.8 that both differ from a hub have a second sketch in common but in 2 of 10^4 cases.
 DEPTH = 4
-#: Members of a group that are left after its hub and compared in pairs at most.
+#: Members of a group, beside those that are linked already, that are compared with all its members at most.
 SMALL = 48
 #: Largest table, in rows, that is sent to every task; a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -179,13 +179,23 @@ def _rooted(df: DataFrame, roots: DataFrame, tid: str, root: str) -> DataFrame:
     return df.join(named, tid, "left").withColumn(root, F.coalesce("_root", tid)).drop("_root")
 
 
-def _close(active: DataFrame, reach: float) -> DataFrame:
-    """Distinct pairs (hub, tid, hub_size, size) of different roots in small groups that the triangle inequality leaves open."""
-    few = active.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL).select("key")
-    rows = active.join(few, "key")
-    left = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in ("tid", "size", "root", "far", "near")])
+def _almost_settled(active: DataFrame) -> DataFrame:
+    """(key, major): groups in which at most SMALL members have another root than most have, and that root."""
+    counts = active.groupBy("key", "root").agg(F.count("*").alias("n"))
+    most = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
+    return most.where(F.col("n") - F.col("most.n") <= SMALL).select("key", F.col("most.root").alias("major"))
+
+
+def _close(active: DataFrame, groups: DataFrame, reach: float) -> DataFrame:
+    """Distinct pairs (hub, tid, hub_size, size) of a member outside its group's major root and one of another root.
+
+    The triangle inequality over the distances to the former hub leaves out those that cannot be near.
+    """
+    rows = active.join(groups, "key")
+    left = rows.where("root <> major").select("key", *[F.col(c).alias(f"a_{c}") for c in ("tid", "size", "root", "far", "near")])
     open_ = (F.col("a_near") - F.col("far") <= reach) & (F.col("near") - F.col("a_far") <= reach)
-    return left.join(rows, "key").where((F.col("a_tid") < F.col("tid")) & (F.col("a_root") != F.col("root")) & open_).select(
+    once = (F.col("root") == F.col("major")) | (F.col("a_tid") < F.col("tid"))
+    return left.join(rows, "key").where((F.col("a_root") != F.col("root")) & once & open_).select(
         F.col("a_tid").alias("hub"), "tid", F.col("a_size").alias("hub_size"), "size").distinct()
 
 
@@ -195,8 +205,8 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
     Two texts of at least ``similarity`` are linked. Texts with an equal sketch form a group, and each member is compared with the
     group's hub, never all with all. A group is done once all its members have one root. What else may be
     linked goes on without the hub: members of another root than the hub, and those that by the triangle inequality may be similar to
-    one of these. Up to SMALL of them are compared in pairs, as far as that inequality and their roots leave them open; more are
-    split by a further shared sketch, ``DEPTH`` times, and then go on with the next hub. ``labels`` makes
+    one of these. Where at most SMALL are of another root than most, these few are compared with the others, as far as that
+    inequality and the roots leave them open; other groups are split by a further shared sketch, ``DEPTH`` times, and then go on with the next hub. ``labels`` makes
     (tid, labels) of (tid) rows; it is called once.
     """
     spark = texts.sparkSession
@@ -231,9 +241,9 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
         closest = judged.where(apart).groupBy("key").agg(F.min("near").alias("closest"))
         active = settle(judged.join(closest, "key").where(apart | (F.col("closest") - F.col("far") <= reach)).select(
             "key", "last", "tid", "size", "root", "near", "far"), "omh-active")
-        done, roots = compared(_close(active, reach), roots, done)
-        many = active.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("key")
-        active = _rooted(active.join(many, "key").drop("root", "near", "far"), roots, "tid", "root")
+        groups = settle(_almost_settled(active), "omh-settled")
+        done, roots = compared(_close(active, groups, reach), roots, done)
+        active = _rooted(active.join(groups, "key", "left_anti").drop("root", "near", "far"), roots, "tid", "root")
         depth += 1
         if depth <= DEPTH:
             active = active.join(sketches, "tid").select("key", "last", "tid", "size", "root", keys).where("j > last").select(
