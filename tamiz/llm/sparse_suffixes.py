@@ -1,9 +1,9 @@
-"""Repeated passages from a sparse suffix array.
+"""Repeated passages from sparse suffixes.
 
 Only suffixes that begin at a minimiser are kept: of every ``WINDOW`` neighbouring seeds of ``SEED`` words the one of least hash.
-Two equal passages of WINDOW + SEED - 1 words choose the same place, so each shares a kept suffix. Suffixes whose seed occurs
-once are dropped by count; the rest are sorted by content across the cluster, neighbours from different texts are
-compared, and each match is extended to the left and to the right.
+A passage of LEAST = WINDOW + SEED - 1 words has one minimiser and chooses it by its own words alone, so equal passages are
+found at the same kept suffix. Suffixes whose seed only one text holds are dropped by count; for the rest, each passage of LEAST words that chooses
+them is hashed, and passages that two texts hold are counted across the cluster and joined back. No neighbour is left out.
 """
 
 from __future__ import annotations
@@ -12,21 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamiz.llm.common import WORD, body, spaced_words, table, with_small_batches
 from tamiz.session import settle
 
-#: Words of a repeated passage at least; seeds and windows fit into it.
+#: Words of a repeated passage at least; a window of seeds fills it: LEAST = SEED + WINDOW - 1.
 LEAST = 50
 SEED, WINDOW = 11, 40
-#: Words of content that a suffix carries to each side; longer matches are chains of such pieces.
-REACH = LEAST
-#: Runs of other texts on each side that a suffix is compared with.
-NEAR = 8
-#: Suffixes to a task when neighbours are compared.
+#: Windows to an Arrow batch that a task hands back.
 ROWS = 40_000
 
 
@@ -37,20 +32,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, seed hashes) of the minimisers of one text's word hashes; a shorter text than a window has none."""
+def owners(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(seed hash at each place, place of the minimiser of each LEAST words) of one text's word hashes; a shorter text has none."""
     n = len(words) - SEED + 1
     if n < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     seeds = words[:n].copy()
     with np.errstate(over="ignore"):
         for k in range(1, SEED):
             seeds = _mix(seeds * np.uint64(3) + words[k:k + n])
     windows = np.lib.stride_tricks.sliding_window_view(_mix(seeds ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)
-    places = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    return seeds, windows.argmin(axis=1) + np.arange(len(windows))
+
+
+def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, seed hashes) of the minimisers of one text's word hashes; a shorter text than a window has none."""
+    seeds, owner = owners(words)
+    places = np.unique(owner)
     return places, seeds[places]
 
 
+def passages(words: np.ndarray) -> np.ndarray:
+    """Hash of each LEAST words in a row, made of hashes of twice as many words at each step."""
+    with np.errstate(over="ignore"):
+        powers, size = {1: _mix(words)}, 1
+        while size * 2 <= LEAST:
+            half = powers[size]
+            powers[size * 2] = _mix(half[:-size] * np.uint64(3) + half[size:])
+            size *= 2
+        n, out, at = len(words) - LEAST + 1, np.zeros(max(0, len(words) - LEAST + 1), np.uint64), 0
+        for size in sorted(powers, reverse=True):
+            if LEAST & size:
+                out, at = _mix(out * np.uint64(3) + powers[size][at:at + n]), at + size
+    return out
+
+
 def _lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
     column = batch[name]
     flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
@@ -69,90 +85,20 @@ def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["tid", "place", "seed"])
 
 
-def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each kept place the next REACH word codes and, reversed, those before it, as bytes that sort like the codes."""
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, place, start, seed, hash) of each LEAST words from start on whose minimiser is one of the places."""
     for batch in batches:
         for tid, words, places in zip(batch["tid"], _lists(batch, "words"), _lists(batch, "places")):
-            codes = (words.view(np.uint64) >> np.uint64(32)).astype(">u4")
-            right = [codes[p:p + REACH].tobytes() for p in places]
-            left = [codes[max(0, p - REACH):p][::-1].tobytes() for p in places]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([tid.as_py()] * len(places), pa.binary()), pa.array(places, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary())],
-                ["tid", "place", "right", "left"])
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common beginning of each pair of rows; 0 marks what is not there."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
-
-
-def _codes(column: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(column), REACH), np.uint32)
-    for row, value in enumerate(column):
-        codes = np.frombuffer(value, ">u4")
-        out[row, :len(codes)] = codes | np.uint32(1)
-    return out
-
-
-def _matches(rows: list[tuple]) -> list[tuple]:
-    """(tid, begin, end) of sorted rows (tid, place, right, left): all that any match with a near row of another text covers.
-
-    The neighbour that goes on longest to the right need not be the one that does to the left, so the last rows of the
-    NEAR runs before and the first rows of the NEAR runs after a row are compared with it.
-    """
-    if not rows:
-        return []
-    n = len(rows)
-    tids = np.array([r[0] for r in rows], dtype=object)
-    places = np.array([r[1] for r in rows], np.int64)
-    right, left = _codes([r[2] for r in rows]), _codes([r[3] for r in rows])
-    starts = np.flatnonzero(np.r_[True, tids[1:] != tids[:-1]])  # where another text's run begins
-    low, high = places.copy(), places.copy()  # matches of a row all touch its place, so they are one stretch
-    run = np.searchsorted(starts, np.arange(n), side="right") - 1
-    ends = np.r_[starts[1:] - 1, n - 1]
-    for step in range(1, NEAR + 1):
-        for other_run, face in ((run - step, ends), (run + step, starts)):
-            mine = np.flatnonzero((other_run >= 0) & (other_run < len(starts)))
-            other = face[other_run[mine]]
-            differs = tids[mine] != tids[other]
-            mine, other = mine[differs], other[differs]
-            forward = _common(right[mine], right[other])
-            backward = _common(left[mine], left[other])
-            long = forward + backward >= LEAST
-            mine = mine[long]
-            low[mine] = np.minimum(low[mine], places[mine] - backward[long])
-            high[mine] = np.maximum(high[mine], places[mine] + forward[long])
-    return [(rows[k][0], int(low[k]), int(high[k])) for k in np.flatnonzero(low < high)]
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches inside a sorted task; its first and last runs of one text each go on as edges."""
-    rows = [tuple(r) for batch in batches for r in zip(*(batch[c].to_pylist() for c in ("tid", "place", "right", "left")))]
-    found = _matches(rows)
-    starts = [k for k in range(len(rows)) if not k or rows[k][0] != rows[k - 1][0]]
-    head = starts[NEAR] if len(starts) > NEAR else len(rows)
-    tail = starts[-NEAR] if len(starts) > NEAR else 0
-    kept = sorted({*range(head), *range(tail, len(rows))})
-    part = TaskContext.get().partitionId()
-    edges = [(*rows[k], part, k) for k in kept]
-    yield pa.RecordBatch.from_arrays([
-        pa.array([m[0] for m in found] + [e[0] for e in edges], pa.binary()),
-        pa.array([m[1] for m in found] + [e[1] for e in edges], pa.int64()),
-        pa.array([m[2] for m in found] + [None] * len(edges), pa.int64()),
-        pa.array([None] * len(found) + [e[2] for e in edges], pa.binary()),
-        pa.array([None] * len(found) + [e[3] for e in edges], pa.binary()),
-        pa.array([None] * len(found) + [e[4] for e in edges], pa.int64()),
-        pa.array([None] * len(found) + [e[5] for e in edges], pa.int64()),
-    ], ["tid", "begin", "stop", "right", "left", "part", "row"])
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [tuple(r) for batch in batches for r in zip(*(batch[c].to_pylist() for c in ("tid", "begin", "right", "left")))]
-    found = _matches(rows)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([m[0] for m in found], pa.binary()), pa.array([m[1] for m in found], pa.int64()), pa.array([m[2] for m in found], pa.int64())],
-        ["tid", "begin", "stop"])
+            words = words.view(np.uint64)
+            seeds, owner = owners(words)
+            starts = np.flatnonzero(np.isin(owner, places))
+            hashes = passages(words)[starts].view(np.int64)
+            for k in range(0, len(starts), ROWS):
+                some, place = starts[k:k + ROWS], owner[starts[k:k + ROWS]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([tid.as_py()] * len(some), pa.binary()), pa.array(place, pa.int32()), pa.array(some, pa.int32()),
+                     pa.array(seeds[place].view(np.int64)), pa.array(hashes[k:k + ROWS])],
+                    ["tid", "place", "start", "seed", "hash"])
 
 
 def _hashes(texts: DataFrame) -> DataFrame:
@@ -172,14 +118,12 @@ def repeated_stretches(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     kept = places.join(seeds, "seed", "left_semi").groupBy("tid").agg(F.collect_set("place").alias("places"))
     kept = settle(kept.join(firsts, "tid"), "suffix-kept")
     content = _hashes(texts.join(kept, ["tid", "row"])).select("tid", "words", "places")
-    content = settle(content.mapInArrow(_content, "tid binary, place int, right binary, left binary").distinct(), "suffix-content")
-    tasks = max(1, -(-content.count() // ROWS))
-    ordered = content.repartitionByRange(tasks, "right", "left", "tid", "place").sortWithinPartitions("right", "left", "tid", "place")
-    found = settle(ordered.mapInArrow(
-        _neighbours, "tid binary, begin long, stop long, right binary, left binary, part long, row long"), "suffix-matches")
-    edges = found.where("stop is null").repartition(1).sortWithinPartitions("part", "row")  # a few rows to each task above
-    across = edges.mapInArrow(_edges, "tid binary, begin long, stop long")
-    return found.where("stop is not null").select("tid", "begin", "stop").unionByName(across)
+    content = settle(content.mapInArrow(_passages, "tid binary, place int, start int, seed long, hash long"), "suffix-passages")
+    repeated = content.groupBy("seed", "hash").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b")
+    repeated = settle(repeated.select("seed", "hash"), "suffix-repeated")
+    found = content.join(repeated, ["seed", "hash"], "left_semi").groupBy("tid", "place").agg(  # all of a place's passages hold its seed
+        F.min("start").cast("long").alias("begin"), (F.max("start").cast("long") + LEAST).alias("stop"))
+    return found.select("tid", "begin", "stop")
 
 
 def merged(stretches: DataFrame) -> DataFrame:

@@ -124,6 +124,19 @@ def test_suffix_tasks_do_not_change_the_result(spark, monkeypatch):
     assert got == want
 
 
+def test_passages_before_a_line_that_all_texts_hold_are_found(spark):
+    """Pairs share 30 words of their own and then a footer of all texts: nothing to the right tells whose partner is near."""
+    rng = random.Random(11)
+    footer = prose(rng, 30)
+    texts = []
+    for _ in range(60):
+        own = prose(rng, 30)
+        texts += [" ".join(prose(rng, 20) + own + footer + prose(rng, rng.randint(0, 20))) for _ in range(2)]
+    want = brute_repeats(texts)
+    got = {r.doc_id: {p for s in r.spans for p in range(s.begin, s.stop)} for r in sparse_suffixes.repeated_passages(documents(spark, texts)).collect()}
+    assert len(want) == len(texts) and got == want
+
+
 def test_leaks_with_substitutions_are_found(spark):
     rng = random.Random(4)
     items = [prose(rng, n) for n in (15, 20, 40, 13, 5)]
