@@ -23,10 +23,10 @@ from tamiz.session import settle
 SHINGLE = 5
 #: Sketches to a document, and labels to a sketch. Two texts of similarity 0.8 share one of them but once in 10^5 cases.
 SKETCHES, LENGTH = 16, 3
-#: Groups whose members differ are split by a further sketch this often; then they are worked off member by member. Two texts of
-#: similarity 0.8 that both differ from a hub have a second sketch in common but in 2 of 10^4 cases.
+#: Groups whose members differ go on with the next hub this often; then all pairs that are still open are compared. No group is
+#: split, so that texts with one equal sketch are compared, linked through others, or known to be far apart.
 DEPTH = 4
-#: Members of a group, beside those that are linked already, that are compared with all its members at most.
+#: With so many members at most, beside those that are linked already, a group is not worked off by hubs first.
 SMALL = 48
 #: Largest table, in rows, that is sent to every task; a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -168,7 +168,7 @@ def _verify(pairs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """members(key, last, tid, size, root) of groups of more than one root, each but the hub with its hub, the least tid."""
+    """members(key, tid, size, root) of groups of more than one root, each but the hub with its hub, the least tid."""
     hubs = members.groupBy("key").agg(F.min(F.struct("tid", "size")).alias("hub"), F.min("root").alias("a"), F.max("root").alias("b"))
     hubs = hubs.where("a <> b").select("key", F.col("hub.tid").alias("hub"), F.col("hub.size").alias("hub_size"))
     return members.join(hubs, "key").where("tid <> hub")
@@ -179,11 +179,13 @@ def _rooted(df: DataFrame, roots: DataFrame, tid: str, root: str) -> DataFrame:
     return df.join(named, tid, "left").withColumn(root, F.coalesce("_root", tid)).drop("_root")
 
 
-def _almost_settled(active: DataFrame) -> DataFrame:
-    """(key, major): groups in which at most SMALL members have another root than most have, and that root."""
+def _almost_settled(active: DataFrame, small: int | None) -> DataFrame:
+    """(key, major): groups in which at most ``small`` members (any number if None) have another root than most have, and that root."""
     counts = active.groupBy("key", "root").agg(F.count("*").alias("n"))
     most = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
-    return most.where(F.col("n") - F.col("most.n") <= SMALL).select("key", F.col("most.root").alias("major"))
+    if small is not None:
+        most = most.where(F.col("n") - F.col("most.n") <= small)
+    return most.select("key", F.col("most.root").alias("major"))
 
 
 def _close(active: DataFrame, groups: DataFrame, reach: float) -> DataFrame:
@@ -203,20 +205,19 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
     """(tid, root): the linked texts among texts(tid, size, keys) and the least tid of their component.
 
     Two texts of at least ``similarity`` are linked. Texts with an equal sketch form a group, and each member is compared with the
-    group's hub, never all with all. A group is done once all its members have one root. What else may be
+    group's hub first. A group is done once all its members have one root. What else may be
     linked goes on without the hub: members of another root than the hub, and those that by the triangle inequality may be similar to
-    one of these. Where at most SMALL are of another root than most, these few are compared with the others, as far as that
-    inequality and the roots leave them open; other groups are split by a further shared sketch, ``DEPTH`` times, and then go on with the next hub. ``labels`` makes
+    one of these. Where at most SMALL are of another root than most, or after ``DEPTH`` more hubs, these are compared with all others, as
+    far as that inequality and the roots leave them open. ``labels`` makes
     (tid, labels) of (tid) rows; it is called once.
     """
     spark = texts.sparkSession
     keys = F.posexplode("keys").alias("j", "sketch")
     members = texts.where("keys is not null").select("tid", "size", keys).select(
-        F.xxhash64("j", "sketch").alias("key"), F.col("j").alias("last"), "tid", "size", F.col("tid").alias("root"))
+        F.xxhash64("j", "sketch").alias("key"), "tid", "size", F.col("tid").alias("root"))
     members = settle(_stars(members), "omh-group")
     involved = settle(members.select("tid").unionByName(members.select(F.col("hub").alias("tid"))).distinct(), "omh-involved")
     content = labels(involved)
-    sketches = texts.select("tid", "keys").join(_few(involved), "tid", "left_semi")
     roots = spark.createDataFrame([], "tid binary, root binary")
     done, depth, reach = None, 0, 1 - similarity + 1e-9
 
@@ -240,14 +241,11 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
         apart = F.col("root") != F.col("hub_root")
         closest = judged.where(apart).groupBy("key").agg(F.min("near").alias("closest"))
         active = settle(judged.join(closest, "key").where(apart | (F.col("closest") - F.col("far") <= reach)).select(
-            "key", "last", "tid", "size", "root", "near", "far"), "omh-active")
-        groups = settle(_almost_settled(active), "omh-settled")
+            "key", "tid", "size", "root", "near", "far"), "omh-active")
+        groups = settle(_almost_settled(active, SMALL if depth < DEPTH else None), "omh-settled")
         done, roots = compared(_close(active, groups, reach), roots, done)
         active = _rooted(active.join(groups, "key", "left_anti").drop("root", "near", "far"), roots, "tid", "root")
         depth += 1
-        if depth <= DEPTH:
-            active = active.join(sketches, "tid").select("key", "last", "tid", "size", "root", keys).where("j > last").select(
-                F.xxhash64("key", "j", "sketch").alias("key"), F.col("j").alias("last"), "tid", "size", "root")
         members = settle(_stars(active), "omh-group")
         if not members.limit(1).count():
             return roots

@@ -70,6 +70,26 @@ def test_members_that_differ_from_the_hub_are_still_linked(spark, monkeypatch, s
     assert sorted(map(sorted, got.values())) == [[i, i + 1] for i in range(0, 10, 2)]
 
 
+def test_pairs_with_two_equal_sketches_are_linked_in_a_large_group(spark):
+    """More than SMALL texts that are not linked share two sketches and nothing else; DEPTH is as shipped."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(35):
+        base = prose(rng, 80)
+        texts += [" ".join(base), " ".join(base[:40] + ["other"] + base[41:])]
+    rows = order_minhash.sketched(documents(spark, texts)).selectExpr(
+        "doc_id", "tid", "size", "array(1L, 2L) || transform(sequence(1, 14), j -> xxhash64(doc_id, j)) as keys")
+    labels = {r.tid: np.array(r.words, np.int64).view(np.uint64) for r in order_minhash._tokens(documents(spark, texts)).collect()}
+    known = spark.createDataFrame([(t, order_minhash.labelled(w).tobytes()) for t, w in labels.items()], "tid binary, labels binary")
+    roots = order_minhash.near_classes(rows.selectExpr("tid", "size", "keys"), lambda wanted: known.join(wanted, "tid", "left_semi"))
+    ids = {bytes(r.tid): r.doc_id for r in rows.collect()}
+    got = {}
+    for r in roots.collect():
+        got.setdefault(bytes(r.root), set()).add(ids[bytes(r.tid)])
+    assert len(texts) > order_minhash.SMALL + 20
+    assert sorted(map(sorted, got.values())) == [[i, i + 1] for i in range(0, len(texts), 2)]
+
+
 def test_one_row_of_each_class_stays(spark):
     texts = ["one two three four five six", "one two three four five six", "another text of some six words", None, ""]
     df = documents(spark, texts).unionByName(documents(spark, texts[:1])).unionByName(documents(spark, ["same id, not the same words here"]))
