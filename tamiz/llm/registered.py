@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tamiz.llm import (
-    adaptive_rules, disclosure, license_scan, order_minhash, source_mixing, spaced_seeds, sparse_suffixes, toxicity_chain, warc_revisits, weak_quality,
+    adaptive_rules, disclosure, license_scan, merkle_veb, order_minhash, source_mixing, spaced_seeds, sparse_suffixes, toxicity_chain, warc_revisits, weak_quality,
 )
 from tamiz.session import configure
 
@@ -18,6 +18,7 @@ _QUERIES = {
     "op8_disclosure": disclosure,
     "op9_source_mixing": source_mixing,
     "op10_sparse_suffixes": sparse_suffixes,
+    "op11_merkle_veb": merkle_veb,
 }
 
 
