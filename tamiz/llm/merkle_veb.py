@@ -13,7 +13,6 @@ Leaves are numbered by ranges, not by source: a source with a third of all docum
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 

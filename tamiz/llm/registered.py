@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tamiz.llm import (
-    adaptive_rules, disclosure, license_scan, merkle_veb, order_minhash, source_mixing, spaced_seeds, sparse_suffixes, toxicity_chain, trie_pairs, warc_revisits,
+    adaptive_rules, disclosure, learned_partitions, license_scan, merkle_veb, order_minhash, source_mixing, spaced_seeds, sparse_suffixes, toxicity_chain, trie_pairs, warc_revisits,
     weak_quality,
 )
 from tamiz.session import configure
@@ -20,6 +20,7 @@ _QUERIES = {
     "op9_source_mixing": source_mixing,
     "op10_sparse_suffixes": sparse_suffixes,
     "op11_merkle_veb": merkle_veb,
+    "op12_learned_partitions": learned_partitions,
     "op13_trie_pairs": trie_pairs,
 }
 
