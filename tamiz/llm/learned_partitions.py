@@ -40,8 +40,8 @@ BLOCK = 4096
 def nearest_in(rows: np.ndarray, k: int) -> np.ndarray:
     """The k rows of largest inner product with each row, itself excluded."""
     out = []
-    for at in range(0, len(rows), 1024):
-        scores = rows[at:at + 1024] @ rows.T
+    for at in range(0, len(rows), 256):
+        scores = rows[at:at + 256] @ rows.T
         scores[np.arange(len(scores)), at + np.arange(len(scores))] = -np.inf
         out.append(np.argpartition(-scores, k - 1, axis=1)[:, :k] if k < len(rows) else np.argsort(-scores, axis=1)[:, :k])
     return np.concatenate(out)
@@ -224,18 +224,33 @@ def _matrix(batch: pa.RecordBatch | pa.Table, name: str = "vector") -> np.ndarra
     return flat.reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 0))
 
 
+_MODEL = "parts int, scale double, mass double, " + ", ".join(f"w{k} array<double>" for k in range(4))
+
+
 def fitted(index: DataFrame, part_rows: int, max_parts: int, max_sample: int, nearest: int, recall: float) -> Router | None:
-    """The router for the index rows; None for an empty table. Fitted to about ``max_sample`` rows, chosen by hash, on the driver."""
+    """The router for the index rows; None for an empty table. One task fits it to about ``max_sample`` rows, chosen by hash."""
     rows = index.count()
-    if not rows:
+    share = min(1.0, max_sample / max(1, rows))
+    mixed = F.xxhash64(F.lit(3), F.col("ids")[0])
+    chosen = index.where(F.pmod(mixed, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+    def fit(key: tuple, sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("id")
+        parts = max(1, min(max_parts, -(-rows // part_rows), sample.num_rows // 16))
+        router = fit_router(_matrix(sample), parts, nearest, recall)
+        columns = {"parts": pa.array([parts], pa.int32()), "scale": pa.array([router.scale]), "mass": pa.array([router.mass])}
+        columns |= {f"w{k}": pa.array([w.ravel()], pa.list_(pa.float64())) for k, w in enumerate(router.weights)}
+        return pa.table(columns)
+
+    sample = chosen.select(F.lit(0).alias("one"), F.col("ids")[0].alias("id"), "vector")
+    model = sample.groupBy("one").applyInArrow(lambda key, part: fit(key, part.drop_columns(["one"])), _MODEL).first()
+    if model is None and rows:  # no row hashed into the sample: one part holds all
+        length = index.select(F.size("vector").alias("n")).first()["n"]
+        return Router(1.0, [np.zeros((length, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1.0)
+    if model is None:
         return None
-    share = min(1.0, max_sample / rows)
-    chosen = index.where(F.pmod(F.xxhash64(F.lit(3), F.col("ids")[0]), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = chosen.select(F.col("ids")[0].alias("id"), "vector").orderBy("id").toArrow()  # bounded by max_sample
-    if not sample.num_rows:
-        return Router(1.0, [np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1.0)
-    parts = max(1, min(max_parts, -(-rows // part_rows), sample.num_rows // 16))
-    return fit_router(_matrix(sample), parts, nearest, recall)
+    w = [np.array(model[f"w{k}"]) for k in range(4)]
+    return Router(model["scale"], [w[0].reshape(-1, len(w[1])), w[1], w[2].reshape(len(w[1]), -1), w[3]], model["mass"])
 
 
 def ranked(vectors: np.ndarray, ids: list[list[int]], queries: np.ndarray, keep: int) -> list[list[tuple[float, int]]]:
