@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["report_queries", "decision_queries", "model_queries", "usage_queries"]
+_MODULES = ["report_queries", "decision_queries", "model_queries", "usage_queries", "service_queries"]
 
 
 def load():
