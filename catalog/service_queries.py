@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions.tables import register_table_functions
-from tamiz.session import new_path
+from tamiz.session import new_path, settle
+from tamiz.sources import delivery, readers
 from tamiz.streaming import models as MB
 
 from . import derived as D
+from .closed_form import voted
+from .decision_queries import triaged
 from .model_queries import _LOG, log
 from .registry import query
 
@@ -77,3 +80,73 @@ def report_email_domains(spark, sf):
     register_table_functions(spark)
     D.table(spark, sf, "documents").createOrReplaceTempView("tamiz_documents")
     return spark.sql("SELECT e.domain, count(*) AS addresses, min(e.position) AS first_position FROM tamiz_documents d, LATERAL report_emails(d.text) e GROUP BY e.domain")
+
+
+# --- report files ---------------------------------------------------------------------------
+
+def report_files_of(spark, sf) -> DataFrame:
+    """(report_id, name, content): every derived report, and beside every tenth an empty file; the names hold blanks and more."""
+    mails = D.reports(spark, sf)
+    empty = mails.where("report_id % 10 = 0").select(
+        "report_id", F.format_string("vacío + %d%%20", "report_id").alias("name"), F.lit("").alias("content"))
+    return mails.select("report_id", F.format_string("correo nº %d", "report_id").alias("name"), "content").unionByName(empty)
+
+
+_FILES = f"""SELECT name, CAST(length(content) AS INT) AS chars FROM (
+    SELECT 'correo nº ' || report_id AS name, content FROM ({D.REPORTS_SQL})
+    UNION ALL SELECT 'vacío + ' || doc_id || '%20', '' FROM documents WHERE doc_id % 10 = 0)"""
+
+
+@query("report_file_names", _FILES)
+def report_file_names(spark, sf):
+    """Every file of a folder by the data source, empty ones included."""
+    folder = new_path(spark, "ingress")
+    readers.write_reports(report_files_of(spark, sf), folder)
+    return readers.read_reports(spark, folder).select(F.col("report_id").alias("name"), F.length("content").alias("chars"))
+
+
+@query("report_file_stream", _FILES)
+def report_file_stream(spark, sf):
+    """The same as a stream that is stopped and started again while the folder fills; each file comes once."""
+    rows, folder, out, state = settle(report_files_of(spark, sf), "mails"), *(new_path(spark, n) for n in ("ingress", "arrived", "arrived-state"))
+    for k in range(3):
+        readers.write_reports(rows.where(F.pmod("report_id", F.lit(3)) == k), folder)
+        stream = readers.stream_reports(spark, folder).select(F.col("report_id").alias("name"), F.length("content").alias("chars"))
+        stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+# --- delivered messages ---------------------------------------------------------------------
+
+@query("delivered_messages", voted("""CAST(i % 2 AS VARCHAR) AS batch, channel, message_id, CASE channel WHEN 'notice' THEN reporter END AS recipient""", "",
+    """(SELECT i, message_id, reporter, unnest(CASE WHEN class = 'sospechoso' THEN ['alert', 'case', 'notice'] ELSE ['notice', 'webhook-' || class] END) AS channel FROM tr)"""))
+def delivered_messages(spark, sf):
+    """Alerts, cases, notices and webhooks of two batches, the first filed twice: each message is there once."""
+    done, box = settle(triaged(spark, sf), "decided"), new_path(spark, "outbox")
+    for half in (0, 0, 1):
+        delivery.deliver(delivery.messages(done.where(F.col("report_id") % 2 == half)), box, half)
+    return delivery.delivered(spark, box).select("batch", "channel", "message_id", "recipient")
+
+
+@query("delivered_payloads", voted("""channel, count(*) AS messages, CAST(sum(final_risk) AS BIGINT) AS risk, min(subject) AS first_subject""", "GROUP BY channel",
+    """(SELECT final_risk, subject, unnest(CASE WHEN class = 'sospechoso' THEN ['alert'] ELSE ['webhook-' || class] END) AS channel FROM tr)"""))
+def delivered_payloads(spark, sf):
+    """What the filed payloads say, read back."""
+    done, box = settle(triaged(spark, sf), "decided"), new_path(spark, "outbox")
+    delivery.deliver(delivery.messages(done), box, "all")
+    rows = delivery.delivered(spark, box).where("channel = 'alert' OR channel LIKE 'webhook-%'")
+    subject = F.coalesce(F.get_json_object("payload", "$.original_subject"), F.substring_index(F.get_json_object("payload", "$.alert_title"), "] ", -1))
+    return rows.groupBy("channel").agg(
+        F.count(F.lit(1)).alias("messages"), F.sum(F.get_json_object("payload", "$.risk_score").cast("long")).alias("risk"), F.min(subject).alias("first_subject"))
+
+
+@query("delivered_stream", """SELECT event_type AS channel, CAST(event_id AS VARCHAR) AS message_id, 'u' || user_id AS recipient FROM events""")
+def delivered_stream(spark, sf):
+    """Events filed as messages by a stream that is started three times on one checkpoint."""
+    events, feed, box, state = D.table(spark, sf, "events"), *(new_path(spark, n) for n in ("feed", "outbox", "outbox-state"))
+    rows = events.select(F.col("event_id").cast("string").alias("message_id"), F.col("event_type").alias("channel"),
+                         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("recipient"), F.col("props").alias("payload"))
+    for k in range(3):
+        rows.where(F.pmod("message_id", F.lit(3)) == k).write.mode("append").parquet(feed)
+        delivery.deliver_stream(spark.readStream.schema(rows.schema).parquet(feed), box, state, availableNow=True).awaitTermination()
+    return delivery.delivered(spark, box).select("channel", "message_id", "recipient")

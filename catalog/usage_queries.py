@@ -11,7 +11,7 @@ from tamiz.functions.text import url_host
 from tamiz.operators import parsing
 from tamiz.operators import stats as ST
 from tamiz.session import new_path
-from tamiz.sources import readers
+from tamiz.sources import delivery, readers
 from tamiz.streaming import agent
 from tamiz.streaming import stats as SS
 
@@ -204,17 +204,19 @@ def stream_deduplicated(spark, sf):
 
 
 def report_folder(spark, sf) -> str:
-    """The derived reports as files, one per mail, the way they arrive."""
+    """The derived reports as files, one per mail, the way they arrive; beside every tenth an empty one."""
     folder = new_path(spark, "ingress")
-    D.reports(spark, sf).select("report_id", F.col("content").alias("value")).write.partitionBy(
-        "report_id").text(folder)
+    mails = D.reports(spark, sf)
+    empty = mails.where("report_id % 10 = 0").select(F.format_string("vacío %d", "report_id").alias("name"), F.lit("").alias("content"))
+    readers.write_reports(mails.select(F.format_string("correo %d", "report_id").alias("name"), "content").unionByName(empty), folder)
     return folder
 
 
 @query("report_files", derived("i AS report_id, CAST(length(subject) AS INT) AS subject_chars, spf, nurl AS url_count, ip AS sender_ip"))
 def report_files(spark, sf):
-    read = readers.read_reports(spark, report_folder(spark, sf)).withColumn(
-        "report_id", F.regexp_extract("path", r"report_id=(\d+)", 1).cast("long"))
+    """Signals of the mails that were read from files; empty files have none."""
+    read = readers.read_reports(spark, report_folder(spark, sf)).where("content <> ''").withColumn(
+        "report_id", F.regexp_extract("path", r"correo (\d+)\.txt", 1).cast("long"))
     return parsing.extract_signals(parsing.parse_reports(read)).select(
         "report_id", F.length("subject_raw").alias("subject_chars"), "indicators.spf",
         "url_count", "sender_ip")
@@ -228,9 +230,10 @@ def run_agent(spark, sf) -> agent.AgentPaths:
     return paths
 
 
-@query("stream_agent", voted("class AS classification, source, count(*) AS n, CAST(sum(final_risk) AS BIGINT) AS risk", "GROUP BY 1, 2"))
+@query("stream_agent", voted("class AS classification, source, count(*) AS n, CAST(sum(final_risk) AS BIGINT) AS risk", """GROUP BY 1, 2
+    UNION ALL SELECT 'spam', 'unreported', count(*), 0 FROM documents WHERE doc_id % 10 = 0"""))
 def stream_agent(spark, sf):
-    """Report files through the streaming agent; its stored analyses."""
+    """Report files through the streaming agent, empty ones among them; its stored analyses."""
     paths = run_agent(spark, sf)
     return spark.read.parquet(paths.table("analyses")).groupBy("classification", "source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("risk_score").cast("long").alias("risk"))
@@ -244,12 +247,12 @@ def stream_agent(spark, sf):
 def stream_agent_tables(spark, sf):
     """Row counts of everything else the agent wrote."""
     paths = run_agent(spark, sf)
-    names = ["cases", "quarantine", "training", "alerts", "notices", "webhooks", "feedback"]
-    counts = [spark.read.parquet(paths.table(n)).select(F.lit(n).alias("t")) for n in names]
-    stacked = counts[0]
-    for c in counts[1:]:
-        stacked = stacked.unionByName(c)
-    return stacked.agg(*[F.count_if(F.col("t") == n).alias(n) for n in names])
+    sent = delivery.delivered(spark, paths.table("outbox")).select(F.split("channel", "-")[0].alias("t"))
+    stacked = sent
+    for n in ("cases", "quarantine", "training", "feedback"):
+        stacked = stacked.unionByName(spark.read.parquet(paths.table(n)).select(F.lit(n).alias("t")))
+    return stacked.agg(*[F.count_if(F.col("t") == n).alias(n) for n in ("cases", "quarantine", "training", "feedback")],
+                       *[F.count_if(F.col("t") == n).alias(f"{n}s") for n in ("alert", "notice", "webhook")])
 
 
 # --- lists, logs and sets ------------------------------------------------------------------

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.mail import normalize_newlines
 from ..functions.text import strip
 from ..plans.triage import file_stem
+from . import report_source
+from .files import reachable
 
 QUARANTINE_SCHEMA = (
     "file string, classification string, quarantine_reasons array<struct<type:string,"
@@ -32,13 +34,32 @@ def _as_reports(files: DataFrame) -> DataFrame:
     )
 
 
+def _from_source(rows: DataFrame) -> DataFrame:
+    path = F.col("path")
+    return rows.select(
+        file_stem(path).alias("report_id"), path, F.col("arrived_at").cast("timestamp_ntz").alias("arrived_at"),
+        normalize_newlines(F.col("content")).alias("content"))
+
+
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """(report_id, path, arrived_at, content): one row per ``*.txt`` file, empty ones included."""
+    """(report_id, path, arrived_at, content): one row per ``*.txt`` file, empty ones included.
+
+    Listed and read by the tasks of ``report_source``; a store that only Spark opens is read by Spark's text source.
+    """
+    if reachable(folder):
+        report_source.register(spark)
+        return _from_source(spark.read.format("tamiz_reports").option("shares", spark.sparkContext.defaultParallelism).load(folder))
     files = spark.read.format("text").option("wholetext", True).option(
         "pathGlobFilter", "*.txt").load(folder)
     return _as_reports(files).unionByName(empty_reports(spark, folder))
 
 
+def write_reports(reports: DataFrame, folder: str) -> None:
+    """Writes rows (name, content) as files ``<name>.txt``, each of which appears whole."""
+    report_source.register(reports.sparkSession)
+    reports.select("name", "content").write.format("tamiz_reports").mode("append").save(folder)
+
+
 def empty_reports(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of ``*.txt`` files without a byte, which Spark's file sources skip.
 
@@ -53,12 +74,21 @@ def empty_reports(spark: SparkSession, folder: str) -> DataFrame:
         F.timestamp_millis("at").cast("timestamp_ntz").alias("arrived_at"), F.lit("").alias("content"))
 
 
+def lists_folder(folder: str, max_files: int | None = None, archive: str | None = None) -> bool:
+    """Whether ``stream_reports`` must leave the listing to Spark's file source."""
+    return bool(max_files or archive) or not reachable(folder)
+
+
 def stream_reports(spark: SparkSession, folder: str, max_files: int | None = None,
                    archive: str | None = None) -> DataFrame:
-    """The same as a stream of new files, oldest first; ``archive`` moves what was read.
+    """The same as a stream of new files; the driver lists nothing.
 
-    Empty files start a batch but have no row in it; the agent adds them.
+    ``max_files`` (oldest first) and ``archive`` (moves what was read) need Spark's own file source, and so does a store that only Spark
+    opens: there the driver lists the folder, and empty files start a batch but have no row in it; the agent adds them.
     """
+    if not lists_folder(folder, max_files, archive):
+        report_source.register(spark)
+        return _from_source(spark.readStream.format("tamiz_reports").option("shares", spark.sparkContext.defaultParallelism).load(folder))
     reader = spark.readStream.format("text").schema("value string").option(
         "wholetext", True).option("pathGlobFilter", "*.txt").option("latestFirst", False)
     if max_files:

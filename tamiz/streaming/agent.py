@@ -21,14 +21,16 @@ from ..operators import training as TR
 from ..operators.parsing import extract_signals, parse_reports
 from ..plans.triage import triage_signals
 from ..sources import readers, sinks
+from ..sources.delivery import deliver, messages
 
 
 @dataclass
 class AgentPaths:
     """Folders of the agent; it writes below ``root``.
 
-    Tables: signals, analyses, cases, manual_review, quarantine, feedback, alerts, notices,
-    webhooks, training (rows learned per batch) and model (the live rows after each batch).
+    Tables: signals, analyses, cases, manual_review, quarantine, feedback, training (rows learned
+    per batch) and model (the live rows after each batch). Messages are filed in ``outbox``, read by
+    ``delivery.delivered``.
     """
 
     ingress: str
@@ -94,20 +96,25 @@ def learned_examples(gated_rows: DataFrame) -> DataFrame:
 
 def process_batch(batch: DataFrame, batch_id: int, paths: AgentPaths,
                   cfg: TriageConfig = DEFAULT, ip_reputation: DataFrame | None = None,
-                  responses: DataFrame | None = None, reloaded: int | None = None) -> None:
-    """Triage one micro-batch and write all its tables."""
+                  responses: DataFrame | None = None, reloaded: int | None = None, list_empty: bool = True) -> None:
+    """Triage one micro-batch and write all its tables; ``list_empty``: the batch lacks the files without a byte."""
     spark = batch.sparkSession
-    # Spark's sources skip files without a byte; the folder is asked for those not yet seen.
-    empty = readers.empty_reports(spark, paths.ingress)
-    earlier = _earlier_empty(spark, paths, batch_id)
-    empty = _stored(empty if earlier is None else empty.join(earlier, "path", "left_anti"), paths, "empty", batch_id)
-    batch = batch.unionByName(empty.join(batch.select("path"), "path", "left_anti").select(*batch.columns))
+    if list_empty:
+        # Spark's file source skips files without a byte; the folder is asked for those not yet seen.
+        empty = readers.empty_reports(spark, paths.ingress)
+        earlier = _earlier_empty(spark, paths, batch_id)
+        empty = _stored(empty if earlier is None else empty.join(earlier, "path", "left_anti"), paths, "empty", batch_id)
+        batch = batch.unionByName(empty.join(batch.select("path"), "path", "left_anti").select(*batch.columns))
     whitelist = readers.read_whitelist(spark, paths.whitelist)
     training = live_training(spark, paths, batch_id)
     last, seeds = training.agg(F.max("seq")).first()[0], len(SEED_TRAINING)
     threshold = TR.threshold_after(last + 1 - seeds, seeds, cfg.knn_threshold, cfg.training_cap, reloaded=reloaded)
     # Both tables are written once and read back: the mail is parsed and decided a single time.
     signals = _stored(extract_signals(parse_reports(batch), cfg), paths, "signals", batch_id)
+    if not list_empty and not signals.limit(1).count():
+        # No file came; the next batch finds the model where it looks for it.
+        _put(training, paths.table("model"), batch_id)
+        return
     decided = triage_signals(signals, whitelist, training, ip_reputation, responses, cfg,
                              threshold)
     done = _stored(decided, paths, "analyses", batch_id)
@@ -116,9 +123,7 @@ def process_batch(batch: DataFrame, batch_id: int, paths: AgentPaths,
     _put(sinks.manual_review(done, cfg), paths.table("manual_review"), batch_id)
     _put(sinks.quarantined(gate), paths.table("quarantine"), batch_id)
     known = done.where("source <> 'unreported'")
-    _put(sinks.alerts_outbox(known, cfg), paths.table("alerts"), batch_id)
-    _put(sinks.reporter_notices(known, cfg), paths.table("notices"), batch_id)
-    _put(sinks.webhook_payloads(known), paths.table("webhooks"), batch_id)
+    deliver(messages(known, cfg), paths.table("outbox"), batch_id)
     wrong = known.where("source = 'llm' AND knn.classification <> classification").select(
         "report_id", F.col("knn.classification").alias("predicted"),
         F.col("classification").alias("actual"), F.lit(False).alias("correct"))
@@ -142,8 +147,9 @@ def start_agent(spark: SparkSession, paths: AgentPaths, cfg: TriageConfig = DEFA
     if newest is not None:
         reloaded = live_training(spark, paths, newest + 1).agg(F.max("seq")).first()[0] + 1 - len(SEED_TRAINING)
     stream = readers.stream_reports(spark, paths.ingress, max_files, paths.archive)
+    list_empty = readers.lists_folder(paths.ingress, max_files, paths.archive)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, i: process_batch(batch, i, paths, cfg, ip_reputation, responses, reloaded))
+        lambda batch, i: process_batch(batch, i, paths, cfg, ip_reputation, responses, reloaded, list_empty))
     trigger = {"availableNow": True} if available_now else {"processingTime": "5 seconds"}
     return writer.trigger(**trigger).start()
 
