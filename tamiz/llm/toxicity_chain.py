@@ -1,28 +1,30 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other by sparse linear models over word and word-beginning features; each later model also
-sees the probabilities of the earlier categories. It is trained on out-of-fold predictions of them, so that what it learns about an
-earlier category has the errors that category will have on unseen text.
+Categories are predicted one after the other by sparse linear models over hashed word and word-beginning features; each later model
+also sees the probabilities of the earlier categories. It is trained on out-of-fold predictions of them, so that what it learns about an
+earlier category has the errors that category will have on unseen text. The words that define a category are hidden from its own model
+and the one beside it, which so learn what surrounds them; the last model sees every word.
+
+The whole chain is fitted in one task to a bounded sample of the labelled documents; scoring reads all.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.llm.common import body, table
-from tamiz.session import settle
 
 #: Labelled documents used for training, about; chosen by hash where there are more.
 MAX_LABELLED = 10_000
-#: Features to the vocabulary at most, and positive training documents that must hold one.
-VOCABULARY, LEAST_DOCS = 1 << 15, 3
+#: Width of the hashed features.
+WIDTH = 1 << 17
 FOLDS = 3
+#: Documents to a step of the fit, passes over them, steps at least, and what a feature must gather before it counts, to the
+#: square root of the positive documents.
+BATCH, EPOCHS, STEPS, SPARSITY = 32, 3, 400, 0.5
 #: Words that make a toxic document one of a category. Abuse of a person, and contempt.
 CATEGORY_WORDS = {
     "insult": ["idiot", "moron", "loser", "clown", "stupid", "fool", "imbecile", "dumb", "dummkopf", "trottel", "idiota", "imbécil", "estúpido", "imbécile", "crétin"],
@@ -34,16 +36,15 @@ def _words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: w != "")
 
 
-def features(text: Column) -> Column:
-    """Distinct words and the first three to five letters of longer ones, marked."""
-    def starts(n: int) -> Column:
-        return F.transform(F.filter("_words", lambda w: F.length(w) > n), lambda w: F.concat(F.lit("^"), F.substring(w, 1, n)))
-
-    return F.concat("_words", F.array_distinct(F.concat(starts(3), starts(4), starts(5))))
+def features(words: Column) -> Column:
+    """Hashes of distinct words and of the first three to five letters of longer ones."""
+    def hashed(mark: str, w: Column) -> Column:
+        return F.pmod(F.hash(F.lit(mark), w), F.lit(WIDTH)).cast("int")
 
+    def starts(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: hashed("^", F.substring(w, 1, n)))
 
-def _tokenised(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_words", _words(body())).withColumn("_tokens", features(F.col("text"))).drop("_words")
+    return F.array_distinct(F.concat(F.transform(words, lambda w: hashed("", w)), starts(3), starts(4), starts(5)))
 
 
 def labelled_categories(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -63,92 +64,158 @@ def labelled_categories(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", *marks, (F.col("toxic") > 0).cast("double").alias("toxic"))
 
 
+class Features:
+    """Feature numbers of many documents, one after the other, and where each document begins."""
+
+    def __init__(self, column: pa.Array):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        self.ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.empty(0, np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(feature numbers, place of their document in ``rows``)."""
+        sizes = self.sizes[rows]
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return self.ids[np.repeat(self.starts[rows], sizes) + within], np.repeat(np.arange(len(rows)), sizes)
+
+
+class Link:
+    """One model of the chain: weights of the features, then of the earlier probabilities, then the bias."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def probability(self, found: Features, rows: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        ids, at = found.of(rows)
+        z = np.bincount(at, self.weights[ids], len(rows)) + earlier @ self.weights[WIDTH:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit_link(found: Features, rows: np.ndarray, y: np.ndarray, earlier: np.ndarray, hidden: np.ndarray) -> Link:
+    """Logistic regression by FTRL steps: each weight has its own rate, and weights that gather little stay zero.
+
+    ``y`` and ``earlier`` belong to all documents, ``rows`` are the ones to fit. With one class the probability is that class's.
+    """
+    width = WIDTH + earlier.shape[1] + 1
+    weights, seen = np.zeros(width), y[rows]
+    if not len(rows) or seen.min() == seen.max():
+        weights[-1] = 30.0 if len(rows) and seen[0] else -30.0
+        return Link(weights)
+    heavy = ((seen == 0).sum() / (seen == 1).sum()) ** 0.5
+    sums, squares, rng = np.zeros(width), np.zeros(width), np.random.default_rng(5)
+    sparsity = np.full(width, SPARSITY * (seen == 1).sum() ** 0.5)
+    sparsity[WIDTH:] = 0.0
+    batches = max(1, len(rows) // BATCH)
+    for _ in range(max(EPOCHS, -(-STEPS // batches))):
+        for part in np.array_split(rng.permutation(rows), batches):
+            ids, at = found.of(part)
+            z = np.bincount(at, weights[ids], len(part)) + earlier[part] @ weights[WIDTH:-1] + weights[-1]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * np.where(y[part] > 0, heavy, 1.0)
+            gradient = np.bincount(ids, error[at], width)
+            gradient[hidden] = 0.0
+            gradient[WIDTH:] = [*(error @ earlier[part]), error.sum()]
+            moved = np.flatnonzero(gradient)
+            step, old = gradient[moved], squares[moved]
+            squares[moved] = old + step * step
+            sums[moved] += step - (np.sqrt(squares[moved]) - np.sqrt(old)) / 0.1 * weights[moved]
+            held = np.maximum(np.abs(sums[moved]) - sparsity[moved], 0.0)
+            weights[moved] = -np.sign(sums[moved]) * held / ((1.0 + np.sqrt(squares[moved])) / 0.1)
+    return Link(weights)
+
+
 class Chain:
-    """A fitted chain: ``vocabulary`` and one model a category (a constant where training saw one class only)."""
-
-    def __init__(self, vocabulary: CountVectorizerModel | None, models: list[tuple[str, object]]):
-        self.vocabulary, self.models = vocabulary, models
-
-    def score(self, docs: DataFrame) -> DataFrame:
-        """(columns of docs, p_<category>...) with the probabilities of all categories."""
-        df = docs
-        if self.vocabulary is not None:
-            df = self.vocabulary.transform(_tokenised(docs))
-        for k, (name, model) in enumerate(self.models):
-            df = _apply(df, name, model, [n for n, _ in self.models[:k]])
-        known = F.size("_tokens") > 0 if self.vocabulary is not None else F.lit(True)
-        return df.select(*docs.columns, *[F.when(known, F.col(f"p_{n}")).otherwise(0.0).alias(f"p_{n}") for n, _ in self.models])
-
-
-def _joined(earlier: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=["_counts", *[f"p_{n}" for n in earlier]], outputCol="_inputs")
-
-
-def _apply(df: DataFrame, name: str, model, earlier: list[str]) -> DataFrame:
-    if isinstance(model, float):
-        return df.withColumn(f"p_{name}", F.lit(model))
-    scored = model.transform(_joined(earlier).transform(df))
-    return scored.withColumn(f"p_{name}", vector_to_array("_probability")[1]).drop("_inputs", "_probability", "_raw", "_class")
-
-
-def _fit(df: DataFrame, name: str, earlier: list[str]):
-    counts = dict(df.groupBy(name).count().collect())  # two classes
-    if len(counts) < 2:
-        return float(next(iter(counts), 0.0))
-    weight = (counts[0.0] / counts[1.0]) ** 0.5
-    weighted = df.withColumn("_weight", F.when(F.col(name) > 0, weight).otherwise(1.0))
-    model = LogisticRegression(
-        featuresCol="_inputs", labelCol=name, weightCol="_weight", probabilityCol="_probability", rawPredictionCol="_raw",
-        predictionCol="_class", elasticNetParam=1.0, regParam=0.002, maxIter=25, standardization=False,
-    )
-    return model.fit(_joined(earlier).transform(weighted))
-
-
-def fit_chain(rows: DataFrame, categories: list[str]) -> Chain:
-    """Fits a chain to rows(doc_id, text, <categories> 0.0 or 1.0), a bounded table. No rows: all probabilities are 0."""
-    rows = settle(_tokenised(rows).withColumn("_fold", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS))).drop("text"), "tox-rows")
-    # Only what several positive documents hold can raise a probability, and the list is bounded by VOCABULARY.
-    found = rows.where(F.greatest(*categories) > 0).select(F.explode("_tokens").alias("token")).groupBy("token").count()
-    found = found.where(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "token").limit(VOCABULARY)
-    listed = [r["token"] for r in found.collect()]
-    if not listed:
-        return Chain(None, [(c, 0.0) for c in categories])
-    vocabulary = CountVectorizerModel.from_vocabulary(listed, inputCol="_tokens", outputCol="_counts").setBinary(True)
-    df = settle(vocabulary.transform(rows).drop("_tokens").coalesce(4), "tox-counts")
-    models: list[tuple[str, object]] = []
+    """Fitted links by category, in order."""
+
+    def __init__(self, links: list[tuple[str, Link]]):
+        self.links = links
+
+    def probabilities(self, found: Features) -> np.ndarray:
+        """A column a category; documents without words get 0."""
+        rows, out = np.arange(len(found)), np.zeros((len(found), 0))
+        for _, link in self.links:
+            out = np.column_stack([out, link.probability(found, rows, out)])
+        out[found.sizes == 0] = 0.0
+        return out
+
+    def score(self, text: Column) -> Column:
+        """A struct of p_<category> for a text."""
+        names = [f"p_{name}" for name, _ in self.links]
+
+        @F.arrow_udf(", ".join(f"{name} double" for name in names))
+        def scored(ids: pa.Array) -> pa.Array:
+            p = self.probabilities(Features(ids))
+            return pa.StructArray.from_arrays([pa.array(p[:, k]) for k in range(len(names))], names=names)
+
+        return scored(features(_words(text)))
+
+
+def fit_chain(found: Features, labels: dict[str, np.ndarray], fold: np.ndarray, hidden: dict[str, np.ndarray]) -> Chain:
+    """Fits the links in turn; a later link sees, of the earlier ones, what models of the other folds say about a document."""
+    rows, earlier, links = np.arange(len(found)), np.zeros((len(found), 0)), []
+    for k, (name, y) in enumerate(labels.items()):
+        links.append((name, fit_link(found, rows, y, earlier, hidden[name])))
+        if k < len(labels) - 1:
+            unseen = np.zeros(len(found))
+            for f in range(FOLDS):
+                out = rows[fold == f]
+                unseen[out] = fit_link(found, rows[fold != f], y, earlier, hidden[name]).probability(found, out, earlier[out])
+            earlier = np.column_stack([earlier, unseen])
+    return Chain(links)
+
+
+def fitted(rows: DataFrame, categories: list[str]) -> Chain:
+    """The chain for rows(doc_id, text, <categories> 0.0 or 1.0), a bounded table that one task fits. No rows: all probabilities are 0."""
+    words = F.array(*[F.lit(w) for listed in CATEGORY_WORDS.values() for w in listed])
+    sample = rows.select(
+        F.lit(0).alias("one"), "doc_id", features(_words(F.col("text"))).alias("ids"), F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"),
+        features(words).alias("listed"), *categories)
+
+    def fit(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by([("doc_id", "ascending"), *[(c, "ascending") for c in categories]])
+        listed, none = np.unique(part["listed"][0].values.to_numpy(zero_copy_only=False)), np.empty(0, np.int64)
+        labels = {c: part[c].to_numpy() for c in categories}
+        chain = fit_chain(Features(part["ids"]), labels, part["fold"].to_numpy(), {c: listed if c in CATEGORY_WORDS else none for c in categories})
+        kept = [np.flatnonzero(link.weights) for _, link in chain.links]
+        return pa.table({
+            "category": pa.array([n for n, _ in chain.links]), "width": pa.array([len(x.weights) for _, x in chain.links], pa.int32()),
+            "places": pa.array([k for k in kept], pa.list_(pa.int64())),
+            "weights": pa.array([x.weights[k] for (_, x), k in zip(chain.links, kept)], pa.list_(pa.float64()))})
+
+    found = sample.groupBy("one").applyInArrow(fit, "category string, width int, places array<long>, weights array<double>")
+    models = {r["category"]: r for r in found.collect()}  # weights that are not zero, WIDTH at most
+    links = []
     for k, name in enumerate(categories):
-        earlier, last = categories[:k], k == len(categories) - 1
-        parts = [df] + ([] if last else [df.where(F.col("_fold") != f) for f in range(FOLDS)])
-        with ThreadPoolExecutor(2) as pool:
-            fitted = list(pool.map(lambda part: _fit(part, name, earlier), parts))
-        models.append((name, fitted[0]))
-        if not last:
-            held = [_apply(df.where(F.col("_fold") == f), name, fitted[1 + f], earlier) for f in range(FOLDS)]
-            out = held[0]
-            for part in held[1:]:
-                out = out.unionByName(part)
-            df = settle(out.coalesce(4), "tox-counts")
-    return Chain(vocabulary, models)
+        weights = np.zeros(WIDTH + k + 1)
+        if name in models:
+            weights[models[name]["places"]] = models[name]["weights"]
+        else:
+            weights[-1] = -np.inf
+        links.append((name, Link(weights)))
+    return Chain(links)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, p_insult, p_contempt, p_toxic, toxic) for each row of docs(doc_id, text); toxic: p_toxic >= threshold.
 
     labels(doc_id, toxic) covers some documents. Texts without words, null and empty included, get
-    probability 0. Without labels, or with one class only, probabilities are that class's. Repeated rows are scored alike; empty
-    table: no rows; other columns are ignored.
+    probability 0; very long texts are read whole. Without labels, or with one class only, probabilities are that class's. Repeated rows
+    are scored alike; empty table: no rows; other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    chain = fit_chain(labelled_categories(docs, labels), [*CATEGORY_WORDS, "toxic"])
-    return chain.score(docs).select(
-        "doc_id", *[f"p_{c}" for c in (*CATEGORY_WORDS, "toxic")], (F.col("p_toxic") >= threshold).alias("toxic"))
+    chain = fitted(labelled_categories(docs, labels), [*CATEGORY_WORDS, "toxic"])
+    return docs.select("doc_id", chain.score(body()).alias("p")).select(
+        "doc_id", "p.*", (F.col("p.p_toxic") >= threshold).alias("toxic"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the chain does not find toxic; all columns as they are."""
-    chain = fit_chain(labelled_categories(docs.select("doc_id", "text"), labels), [*CATEGORY_WORDS, "toxic"])
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return chain.score(packed).where(F.col("p_toxic") < threshold).select("_row.*")
+    chain = fitted(labelled_categories(docs.select("doc_id", "text"), labels), [*CATEGORY_WORDS, "toxic"])
+    packed = docs.select(F.struct(*docs.columns).alias("row"), chain.score(body()).alias("p"))
+    return packed.where(F.col("p.p_toxic") < threshold).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
