@@ -410,6 +410,36 @@ def webhook_payloads(spark, sf):
         F.size(F.json_object_keys(p)).alias("fields"))
 
 
+def filed(spark, sf) -> DataFrame:
+    """Derived reports with the path of a file, as the reader gives them."""
+    return D.reports(spark, sf).withColumn("path", F.format_string("/in/correo %d.b.txt", "report_id"))
+
+
+@query("routed_names", voted("i AS report_id, class AS classification, 'correo ' || i || '.b.txt' AS name, '/in/correo ' || i || '.b.txt' AS source_path, true AS stamped"))
+def routed_names(spark, sf):
+    """Where each processed file goes: its name after a stamp of the moment, in the folder of its class."""
+    done = TG.triage(filed(spark, sf), whitelist(spark), seeds(spark))
+    named = sinks.routed(done)
+    return named.select(
+        F.regexp_extract("source_path", r"(\d+)", 1).cast("long").alias("report_id"), "classification",
+        F.regexp_extract("name", r"^\d{8}_\d{6}_(.*)$", 1).alias("name"), "source_path",
+        F.try_to_timestamp(F.substring("name", 1, 15), F.lit("yyyyMMdd_HHmmss")).isNotNull().alias("stamped"))
+
+
+@query("fallback_ids", """SELECT doc_id AS report_id, md5('/in/correo ' || doc_id || '.b.txt') AS mensaje_id FROM documents""")
+def fallback_ids(spark, sf):
+    """Mail without a Message-ID is known by the MD5 of its path."""
+    bare = filed(spark, sf).withColumn("content", F.regexp_replace("content", r"Message-ID: [^\n]*\n", ""))
+    return TG.deep_analysis(bare, whitelist(spark), columns=["report_id", "mensaje_id"])
+
+
+@query("fallback_ids_after_votes", voted("i AS report_id, CASE source WHEN 'knn' THEN 'correo ' || i || '.b' ELSE md5('/in/correo ' || i || '.b.txt') END AS mensaje_id"))
+def fallback_ids_after_votes(spark, sf):
+    """The same in the cascade: where the vote decided, the file's name without its ending stands in."""
+    bare = filed(spark, sf).withColumn("content", F.regexp_replace("content", r"Message-ID: [^\n]*\n", ""))
+    return TG.triage(bare, whitelist(spark), seeds(spark), columns=["report_id", "mensaje_id"])
+
+
 @query("route_processed", voted("class AS classification, count(*) AS files", "GROUP BY 1"))
 def route_processed(spark, sf):
     return sinks.routed(triaged(spark, sf)).groupBy("classification").agg(

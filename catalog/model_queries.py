@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from tamiz import constants as C
 from tamiz.config import DEFAULT
 from tamiz.operators import evaluation as EV
-from tamiz.operators import knn
+from tamiz.operators import knn, parsing
 from tamiz.operators import training as TR
+from tamiz.operators.metric_index import index_neighbours
+from tamiz.plans import triage as TG
 from tamiz.session import settle
 from tamiz.sources import readers
 
 from . import derived as D
+from .closed_form import derived
 from .registry import query
+from .report_queries import whitelist
 
 CLASSES, WIDTH = 10, 64
 
@@ -65,6 +69,14 @@ def knn_neighbours(spark, sf):
         "id", "seq", "label", F.round("dist", 6).alias("dist"), "rank")
 
 
+@query("knn_index_neighbours", f"WITH {_NEAR} SELECT id, seq, label, round(dist, 6) AS dist, CAST(rank AS INT) AS rank FROM n")
+def knn_index_neighbours(spark, sf):
+    """The same through the index of cells."""
+    test, train = _sides(spark, sf)
+    return index_neighbours(test, train, block_rows=200).select(
+        "id", "seq", "label", F.round("dist", 6).alias("dist"), "rank")
+
+
 _WEIGHTED = _NEAR + """,
 w0 AS (SELECT id, label, CASE WHEN min(dist) OVER (PARTITION BY id) = 0 THEN (dist = 0)::INT::DOUBLE ELSE 1 / dist END AS w FROM n),
 w1 AS (SELECT id, label, sum(w) / sum(sum(w)) OVER (PARTITION BY id) AS p FROM w0 GROUP BY id, label),
@@ -204,28 +216,56 @@ def weighted_f1_of_labels(spark, sf):
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 
-@query("random_forest", f"""WITH {_SPLIT} SELECT y, count(*) AS rows, count(*) AS valid_labels, count(*) AS whole_probabilities
-    FROM s WHERE is_test GROUP BY y""")
-def random_forest(spark, sf):
-    """100 trees of depth 15 on every test row; what SQL can state of a forest's answers."""
-    _, p = EV.random_forest(split(spark, sf), "vec_id", CLASSES)
-    total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
-    return p.groupBy("y").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("pred").between(0, CLASSES - 1)).alias("valid_labels"),
-        F.count_if((F.abs(total - 1) < 1e-9) & (F.size("proba") == CLASSES)).alias("whole_probabilities"))
+_LEARN = """n AS (SELECT i, CASE WHEN wl THEN 0 WHEN fb_class = 'spam' THEN 1 ELSE 2 END AS y, md5(CAST(i AS VARCHAR) || '-42') AS h FROM b5),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, i) <= round(count(*) OVER (PARTITION BY y) * 0.2::DOUBLE, 0) AS is_test FROM n)"""
 
 
-@query("feature_importance_top10", """SELECT CAST(10 AS BIGINT) AS features, CAST(10 AS BIGINT) AS names, true AS descending, true AS shares""")
+def learnable(spark, sf) -> DataFrame:
+    """The 33 features of every derived report and the class its deep analysis gives it, split by class."""
+    features = parsing.feature_table(parsing.parse_reports(D.reports(spark, sf))).select("report_id", "vector")
+    classes = TG.deep_analysis(D.reports(spark, sf), whitelist(spark), columns=["report_id", "classification"])
+    rows = features.join(classes, "report_id").select("report_id", "vector", TG.label_id(F.col("classification")).alias("y"))
+    return settle(EV.stratified_split(settle(rows, "learnable"), "report_id", "y"), "learnable-split")
+
+
+@query("random_forest", derived("y, count(*) AS rows, count(*) AS whole_probabilities, true AS beats_largest_class, true AS beats_chance",
+                                "GROUP BY y", _LEARN).replace("FROM b5 GROUP BY y", "FROM n1 WHERE is_test GROUP BY y"))
+def random_forest(spark, sf):
+    """100 trees of depth 15 on every test row.
+
+    The stored answers must be right more often than the largest class is, by a tenth at least, and than answers of the same
+    counts that have nothing to do with the rows; a constant or a random classifier fails.
+    """
+    p = settle(EV.random_forest(learnable(spark, sf), "report_id", 3)[1].select("id", "y", "pred", "proba"), "forest")
+    total, rows = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x), F.count(F.lit(1))
+    y, guess = p.groupBy("y").agg(rows.alias("n")), p.groupBy(F.col("pred").alias("y")).agg(rows.alias("m"))
+    by_class = y.join(guess, "y", "left").agg(
+        (F.max("n") / F.sum("n")).alias("largest"), (F.sum(F.col("n") * F.coalesce("m", F.lit(0))) / F.pow(F.sum("n"), F.lit(2))).alias("chance")).first()
+    hit = p.agg(F.avg((F.col("y") == F.col("pred")).cast("double"))).first()[0]
+    return p.groupBy("y").agg(rows.alias("rows"), F.count_if((F.abs(total - 1) < 1e-9) & (F.size("proba") == 3)).alias("whole_probabilities")).select(
+        "y", "rows", "whole_probabilities", F.lit(hit > 1.1 * by_class["largest"]).alias("beats_largest_class"), F.lit(hit > 1.3 * by_class["chance"]).alias("beats_chance"))
+
+
+@query("feature_importance_top10", """SELECT CAST(10 AS BIGINT) AS features, CAST(10 AS BIGINT) AS names, true AS descending, true AS shares,
+    true AS holds_what_decides, CAST(0 AS BIGINT) AS holds_constants""")
 def feature_importance_top10(spark, sf):
-    """The ten largest of 64 importances: distinct names, in order, shares of one."""
-    model, _ = EV.random_forest(split(spark, sf), "vec_id", CLASSES)
+    """The ten largest of 33 importances: distinct names, in order, shares of one.
+
+    What decides the class, the Microsoft verdict, must be among them; features that are the same for every report must not.
+    """
+    rows = learnable(spark, sf)
+    model, _ = EV.random_forest(rows, "report_id", 3)
     whole = abs(float(sum(model.featureImportances.toArray())) - 1) < 1e-9
-    top = EV.feature_importance(model, [f"e{j:02d}" for j in range(WIDTH)], spark)
+    constant = rows.select(F.posexplode("vector").alias("at", "x")).groupBy("at").agg(F.min("x").alias("low"), F.max("x").alias("high")).where("low = high")
+    constant = [C.FEATURE_NAMES[r["at"]] for r in constant.collect()]
+    top = EV.feature_importance(model, list(C.FEATURE_NAMES), spark)
     values = F.collect_list("importance")
     return top.coalesce(1).agg(
         F.count(F.lit(1)).alias("features"), F.countDistinct("feature").alias("names"),
         (values == F.sort_array(values, False)).alias("descending"),
-        ((F.sum("importance") <= 1) & (F.min("importance") >= 0) & F.lit(whole)).alias("shares"))
+        ((F.sum("importance") <= 1) & (F.min("importance") >= 0) & F.lit(whole)).alias("shares"),
+        F.bool_or(F.col("feature") == "ms_urls_detected").alias("holds_what_decides"),
+        F.count_if(F.col("feature").isin(constant)).alias("holds_constants"))
 
 
 def prepared_split(spark, sf) -> DataFrame:

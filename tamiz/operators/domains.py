@@ -4,13 +4,12 @@ Both domain lookups run on the *distinct* sender domains (map-side combined befo
 as one equi-join: a suffix key for the allow-list, and for look-alikes the hashes of everything that
 is left of a string after deleting at most two characters.  Two strings within edit distance 2 share
 such a rest, and strings that share one are close, so few candidates have to be verified: no key
-gathers unrelated names, as the top-level domain would.
+gathers unrelated names, as the top-level domain would.  Entries longer than ``LONG`` are looked up by
+their thirds, one of which two edits leave whole, so the work for a name is in proportion to its length.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +17,8 @@ from ..functions.text import domain_suffixes
 from ..session import settle
 
 MAX_DISTANCE = 2
+#: Entries longer than this are looked up by their thirds instead of by deletions, whose number grows with the square of the length.
+LONG = 30
 
 
 def _key(kind: str, key: Column) -> Column:
@@ -40,20 +41,49 @@ def _near_keys(text: Column) -> Column:
     return F.transform(F.array_distinct(F.concat(*rests)), lambda rest: _key("near", F.xxhash64(rest).cast("string")))
 
 
+def _third(text: Column, n: Column, s: int, shift: Column) -> Column:
+    """Key of what ``text`` holds where the third ``s`` of an entry of length ``n`` lies, moved by ``shift``."""
+    begin, end = F.floor(n * s / 3).cast("int"), F.floor(n * (s + 1) / 3).cast("int")
+    found = F.xxhash64(F.lit(s), n, F.substr(text, begin + shift + 1, end - begin))
+    return F.when(begin + shift >= 0, _key("near", F.concat(F.lit("third"), found.cast("string"))))
+
+
+def _entry_keys(entry: Column) -> Column:
+    """Keys of a list entry: what is left after deletions or, of a long one, its three thirds."""
+    n = F.length(entry)
+    return F.when(n <= LONG, _near_keys(entry)).otherwise(F.array(*[_third(entry, n, s, F.lit(0)) for s in range(3)]))
+
+
+def _probe_keys(domain: Column) -> Column:
+    """Keys a domain shares with every entry within MAX_DISTANCE.
+
+    Two edits leave one third of a long entry as it is, moved by two characters at most. So a long name has 75 keys, however long it
+    is; only a short one has a key to each pair of its characters.
+    """
+    n, around = F.length(domain), range(-MAX_DISTANCE, MAX_DISTANCE + 1)
+    thirds = F.array(*[F.when(n + more > LONG, _third(domain, n + more, s, F.lit(shift))) for more in around for s in range(3) for shift in around])
+    short = F.when(n <= LONG + MAX_DISTANCE, _near_keys(domain)).otherwise(F.array().cast("array<struct<kind:string,key:string>>"))
+    long = F.when(n > LONG - MAX_DISTANCE, F.array_distinct(F.filter(thirds, lambda k: k.isNotNull())))
+    return F.concat(short, F.coalesce(long, F.array().cast("array<struct<kind:string,key:string>>")))
+
+
 def whitelist_index(whitelist: DataFrame) -> DataFrame:
-    """(kind, key, entry): one suffix key and the deletion keys of each allow-list entry."""
+    """(kind, key, entry): one suffix key and the near keys of each allow-list entry."""
     entries = whitelist.select(F.lower(F.col("domain")).alias("entry")).distinct()
-    keys = F.concat(F.array(_key("suffix", F.col("entry"))), _near_keys(F.col("entry")))
+    keys = F.concat(F.array(_key("suffix", F.col("entry"))), _entry_keys(F.col("entry")))
     return entries.select("entry", F.inline(keys))
 
 
-@lru_cache
-def _domain_keys() -> Column:
-    """Suffix and deletion keys of ``from_domain``; none for an empty one."""
+def _domain_keys(longest: int) -> Column:
+    """Suffix and near keys of ``from_domain``; none for an empty one. No suffix is longer than the longest entry."""
     domain = F.col("from_domain")
-    suffixes = F.transform(domain_suffixes(domain), lambda s: _key("suffix", s))
+    # What follows the first dot of the last ``longest`` + 1 characters; the whole name if it is no longer than that.
+    tail = F.right(domain, F.lit(longest + 1))
+    parents = F.when(F.contains(tail, F.lit(".")), domain_suffixes(F.regexp_replace(tail, r"^[^.]*\.", "")))
+    suffixes = F.when(F.length(domain) <= longest, domain_suffixes(domain)).otherwise(
+        F.filter(F.coalesce(parents, F.array().cast("array<string>")), lambda s: F.contains(s, F.lit("."))))
     # Not a filter: that would be pushed below, and repeat, the parsing of the column.
-    return F.when(domain != "", F.concat(suffixes, _near_keys(domain)))
+    return F.when(domain != "", F.concat(F.transform(suffixes, lambda s: _key("suffix", s)), _probe_keys(domain)))
 
 
 def sender_verdicts(domains: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -63,7 +93,8 @@ def sender_verdicts(domains: DataFrame, whitelist: DataFrame) -> DataFrame:
     not the domain itself.
     """
     distinct = domains.select("from_domain").distinct()
-    probes = distinct.select("from_domain", F.inline(_domain_keys()))
+    longest = whitelist.agg(F.max(F.length("domain"))).first()[0] or 0
+    probes = distinct.select("from_domain", F.inline(_domain_keys(longest)))
     index = whitelist_index(whitelist)
     distance = F.levenshtein(F.col("from_domain"), F.col("entry"), MAX_DISTANCE)
     is_suffix = F.col("kind") == "suffix"

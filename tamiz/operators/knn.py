@@ -4,8 +4,9 @@ Two exact physical forms, chosen by the size of the training table:
 
 * up to ``BROADCAST_ROWS`` rows (the live model is capped at 1000) the training matrix travels
   with a vectorised UDF and classification is a map-only projection over the queries;
-* above that, a block join: queries and training rows are hashed into blocks of bounded size,
-  each pair of blocks yields only its k best per query, and a second step merges those.
+* above that, the index of ``metric_index``, which compares a query only with the cells that can hold a
+  neighbour. ``knn_neighbours`` is the plain block join: queries and training rows are hashed into blocks of
+  bounded size, each pair of blocks yields only its k best per query, and a second step merges those.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+from .metric_index import few_equals, index_neighbours
+
 BROADCAST_ROWS = 20_000
 BLOCK_ROWS = 20_000
 VOTE_TYPE = "struct<label:int,confidence:double,proba:array<double>>"
@@ -94,17 +98,10 @@ def _checked(vector: Column, width: int) -> Column:
         F.raise_error(F.lit(f"vectors must have {width} values")).cast("array<double>"))
 
 
-def _nearest_equals(training: DataFrame, k: int) -> DataFrame:
-    """Of equal vectors only the k lowest ``seq`` can be among the k nearest of any query."""
-    equal = Window.partitionBy("vector").orderBy("seq")
-    rows = training.select("seq", F.col("vector").cast("array<double>").alias("vector"), "label")
-    return rows.withColumn("_rn", F.row_number().over(equal)).where(F.col("_rn") <= k).drop("_rn")
-
-
 def knn_neighbours(queries: DataFrame, training: DataFrame, k: int = 5, id_col: str = "id",
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, seq, label, dist, rank): the k nearest training rows of every query, exactly."""
-    training = _nearest_equals(training, k)
+    training = settle(few_equals(training, k), "knn-training")
     n_queries, n_training = queries.count(), training.count()
     q_blocks = max(1, -(-n_queries // block_rows))
     t_blocks = max(1, -(-n_training // block_rows))
@@ -174,13 +171,13 @@ def with_vote(rows: DataFrame, name: str, training: DataFrame, k: int = 5,
     """``rows`` plus the vote on their ``vector`` as column ``name``, for a training table of any size.
 
     Small tables travel with a vectorised function. For larger ones the distinct vectors are voted on
-    by the block join and joined back; the answers are the same.
+    through the index of cells (``metric_index``) and joined back; the answers are the same.
     """
     if training.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.withColumn(name, knn_vote(F.col("vector"), training, k, weights, n_classes))
     width = len(training.select("vector").first()["vector"])
     vectors = rows.select(_checked(F.col("vector"), width).alias("id")).distinct().withColumn("vector", F.col("id"))
-    votes = vote_neighbours(knn_neighbours(vectors, training, k), weights, n_classes)
+    votes = vote_neighbours(index_neighbours(vectors, training, k), weights, n_classes)
     votes = votes.select(F.col("id").alias("_voted"), F.struct("label", "confidence", "proba").alias(name))
     return rows.join(votes, F.col("vector").cast("array<double>") == F.col("_voted")).drop("_voted")
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tamiz.operators import knn
+from tamiz.operators import knn, metric_index
 from tamiz.operators.training import seed_training
 
 VECTOR = "id bigint, vector array<double>"
@@ -79,3 +79,39 @@ def test_fewer_rows_than_k_empty_table_and_wrong_width(spark):
     assert (empty["label"], empty["confidence"]) == (1, 0.0)
     with pytest.raises(PySparkException):
         knn.knn_classify(spark.createDataFrame([(0, [0.0] * 24)], VECTOR), seed_training(spark)).collect()
+
+
+def rows_of(df):
+    return sorted((r["id"], r["rank"], r["seq"], round(r["dist"], 12)) for r in df.collect())
+
+
+@pytest.mark.parametrize("dim,spread", [(2, .05), (7, .5), (33, 1.0)])
+def test_index_equals_the_block_join(spark, dim, spread):
+    rng = np.random.default_rng(dim)
+    centres = rng.normal(0, 2, (12, dim))
+    train = np.round(centres[rng.integers(0, 12, 900)] + rng.normal(0, spread, (900, dim)), 1)
+    train[200:500] = train[200]  # a third of all rows are equal
+    t = spark.createDataFrame([(i, v.tolist(), int(i % 3)) for i, v in enumerate(train)], "seq bigint, vector array<double>, label int").repartition(5)
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.vstack([train[::50], rng.normal(0, 3, (40, dim))]))], VECTOR)
+    want = rows_of(knn.knn_neighbours(q, t, 5, block_rows=100))
+    assert rows_of(metric_index.index_neighbours(q, t, 5, max_pivots=20, block_rows=64)) == want
+    assert rows_of(metric_index.index_neighbours(q, t, 5, max_pivots=1)) == want
+
+
+def test_index_compares_far_fewer_than_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    train = (rng.normal(0, 10, (40, 6))[:, None, :] + rng.normal(0, .2, (40, 100, 6))).reshape(-1, 6)
+    t = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(train)], "seq bigint, vector array<double>, label int")
+    q = spark.createDataFrame([(i, (v + .1).tolist()) for i, v in enumerate(train[::20])], VECTOR)
+    index, cells = metric_index.build_index(metric_index.few_equals(t, 5))
+    home, later, _ = metric_index.visits_of(q, index, cells, 5)
+    pairs = metric_index.compared_pairs(home, cells) + metric_index.compared_pairs(later, cells)
+    assert pairs < 0.1 * 200 * 4000
+    assert cells.rows.sum() == 4000
+
+
+def test_index_of_few_rows_and_of_none(spark):
+    q = spark.createDataFrame([(0, [0.0, 0.0]), (1, [5.0, 0.0])], VECTOR)
+    two = spark.createDataFrame([(7, [1.0, 0.0], 2), (9, [3.0, 0.0], 0)], "seq bigint, vector array<double>, label int")
+    assert rows_of(metric_index.index_neighbours(q, two, 5)) == [(0, 1, 7, 1.0), (0, 2, 9, 3.0), (1, 1, 9, 2.0), (1, 2, 7, 4.0)]
+    assert metric_index.index_neighbours(q, two.limit(0), 5).count() == 0 and metric_index.index_neighbours(q.limit(0), two, 5).count() == 0

@@ -56,3 +56,37 @@ def test_reputation(spark):
     assert (got["r3"]["abuse_score"], got["r3"]["checked"]) == (-1, False)
     none = domains.ip_reputation_join(df, None).select(F.col("ip_reputation.abuse_score").alias("s")).collect()
     assert {r["s"] for r in none} == {-1}
+
+
+def test_long_names_against_all_pairs(spark):
+    rng = random.Random(9)
+    base = ["".join(rng.choices("abcdefgh-", k=n)) + ".example.com" for n in (17, 18, 19, 20, 21, 30, 60, 200)]
+    seen = set(base)
+    for b in base:
+        for _ in range(40):
+            s = list(b)
+            for _ in range(rng.randint(1, 3)):
+                at, what = rng.randrange(len(s)), rng.randrange(3)
+                s[at:at + (what != 0)] = [] if what == 1 else [rng.choice("abx.")]
+            seen.add("".join(s))
+    seen = sorted(seen | {"deep." * 30 + b for b in base[:3]})
+    df = spark.createDataFrame([(d,) for d in seen], "from_domain string")
+    allow = spark.createDataFrame([(d,) for d in base], "domain string")
+    got = {r["from_domain"]: r for r in domains.sender_verdicts(df, allow).collect()}
+    for d in seen:
+        parts = d.split(".")
+        listed = d in base or any(".".join(parts[i:]) in base for i in range(1, len(parts) - 1))
+        close = sorted((distance(d, w), w) for w in base if w != d and abs(len(w) - len(d)) <= 2 and distance(d, w) <= 2)
+        row = got.get(d)
+        assert bool(row and row["whitelisted"]) == listed, d
+        assert (row["homograph_of"] if row else None) == (close[0][1] if close else None), d
+
+
+def test_one_crafted_name_costs_little(spark):
+    names = ["x" * 100_000, "a." * 50_000 + "example.com", "y" * 50_000 + ".example.com", "example.com"]
+    df = spark.createDataFrame([(d,) for d in names], "from_domain string")
+    allow = spark.createDataFrame([("example.com",), ("z" * 300 + ".example",)], "domain string")
+    keys = df.select(F.size(domains._domain_keys(308)).alias("n")).collect()
+    assert max(r["n"] for r in keys) < 800
+    got = {r["from_domain"]: r["whitelisted"] for r in domains.sender_verdicts(df, allow).collect()}
+    assert got == {names[1]: True, names[2]: True, names[3]: True}
