@@ -99,7 +99,7 @@ def test_components_of_chains_and_stars(spark):
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = registered.queries()
-    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{k}" for k in range(1, 14))}
     assert set(names) <= set(entry.queries()) and set(registered.oracle_sql()) <= set(names)
 
 
@@ -108,7 +108,7 @@ def test_every_operator_and_the_pipeline_are_registered():
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = registered.queries()[name](spark, DATA)
     columns = sorted(df.columns)
@@ -142,3 +142,29 @@ def test_pipeline_stages(spark):
     left = disclosure.base_spans(clean).selectExpr("size(_email) + size(_ip) + size(_card) + size(_phone) as n")
     assert left.where("n > 0").count() == 0
     assert sorted(map(str, final)) == sorted(map(str, mixed.collect()))
+    kept = {r.doc_id: r.text for r in clean.collect()}
+    assert {r.doc_id: r.text for r in final} == kept and all(r.taken == r.copies * r.size for r in final)
+
+
+def test_pipeline_stages_take_odd_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    text = "one plain sentence of many different words that nobody repeats in any other place of the table at all"
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, None, None, None, None), (None, "", "en", "b", 0), (3, "w " * 20_000, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").selectExpr(
+        "*", "1 as size", "2 as key", "3 as p_toxic", "'x' as row")
+    spark.createDataFrame([(1, 1, 0), (3, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a test item of some twenty words that no document of this small table holds in whole or in part today")],
+                          "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (docs, docs.limit(0)):
+        for name, stage in pipeline.STAGES:
+            before, table = table, stage(spark, table, str(tmp_path))
+            assert name == "mixing" or table.columns == before.columns
+            path = str(tmp_path / f"{name}-{before.count()}")
+            table.write.parquet(path)
+            table = spark.read.parquet(path)
+        if before.count():
+            # The null and the empty text are equal, so one of them stays: the one with the least doc_id, null first.
+            assert sorted((r.doc_id or 0) for r in table.collect()) == [0, 1, 3]
+        else:
+            assert table.count() == 0
