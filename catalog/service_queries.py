@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions.tables import register_table_functions
 from tamiz.session import new_path, settle
-from tamiz.sources import delivery, readers
+from tamiz.sources import batch_log, delivery, readers
 from tamiz.streaming import models as MB
 
 from . import derived as D
@@ -150,3 +150,17 @@ def delivered_stream(spark, sf):
         rows.where(F.pmod("message_id", F.lit(3)) == k).write.mode("append").parquet(feed)
         delivery.deliver_stream(spark.readStream.schema(rows.schema).parquet(feed), box, state, availableNow=True).awaitTermination()
     return delivery.delivered(spark, box).select("channel", "message_id", "recipient")
+
+
+# --- compacted batch folders ----------------------------------------------------------------
+
+@query("compacted_log", """SELECT CAST(event_id % 12 AS BIGINT) AS batch, event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1, 2""")
+def compacted_log(spark, sf):
+    """Twelve batches, compacted after every fourth while the newest stays open; each row is read once."""
+    rows, path, schema = D.table(spark, sf, "events").select("event_id", "event_type"), new_path(spark, "log"), "event_id long, event_type string"
+    for batch in range(12):
+        rows.where(F.pmod("event_id", F.lit(12)) == batch).write.parquet(f"{path}/batch={batch}")
+        if batch % 4 == 3:
+            batch_log.compact(spark, path, schema, upto=batch - 1)
+    return batch_log.read_log(spark, path, schema).groupBy("batch", "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))

@@ -20,6 +20,8 @@ CHECKED = [
     "stream_agent_tables", "training_size_log", "active_learning_step", "response_requests", "write_cases", "confidence_gate", "run_summary", "risk_score", "roc_auc", "standard_scale", "rolling_accuracy",
     "threshold_log", "append_training", "monthly_summary", "stats_report", "year_month_rollup",
     "stream_usage_counts", "stream_window_counts", "stream_deduplicated", "whitelist_entries", "quarantine_lines", "new_files",
+    "stream_model_books", "model_book_state", "report_url_rows", "report_email_domains", "report_file_names", "report_file_stream",
+    "delivered_messages", "delivered_payloads", "delivered_stream", "knn_index_neighbours", "routed_names", "fallback_ids", "compacted_log",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="tables not present")
 
