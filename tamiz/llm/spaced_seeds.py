@@ -1,56 +1,84 @@
 """Benchmark decontamination by spaced seeds.
 
-DataFrame functions only. A mask keeps eight of twelve or thirteen neighbouring tokens, so a passage with a substituted word
-still shares seeds on which the mask ignores it. Seeds of the test items and of the documents are joined by hash; each
+DataFrame functions only. A mask keeps some tokens of a window and ignores the rest, so a passage with substituted words
+still shares the seeds on which the masks ignore them. The masks are chosen so that whatever tokens the rule allows to differ, one
+mask fits somewhere between them. Seeds of the test items and of the documents are joined by hash; each
 hit fixes a diagonal (document place minus item place), on which the tokens are then compared one by one.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.llm.common import body, plain_words, table
 from tamiz.session import settle
 
-#: A mask (a, b, c) keeps the token offsets {0, a} + {0, b} + {0, c}: a hash of pairs of pairs of pairs.
-MASKS = ((1, 3, 7), (2, 3, 7))
+WINDOW, PERCENT = 13, 80
+#: Masks to a window at most, and the longest window and most substitutions for which masks with gaps are searched.
+MOST, LONGEST, WRONG = 4, 13, 2
 #: Largest table, in rows, that is sent to every task; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def allowed(n: int, percent: int) -> int:
+    """Tokens of n that may differ."""
+    return n - -(-n * percent // 100)
 
 
-def _pairs(left: str, right: Column, salt: Column) -> Column:
-    return F.zip_with(left, right, lambda x, y: F.xxhash64(salt, x, y))
+@cache
+def masks(n: int, wrong: int) -> tuple[tuple[int, ...], ...]:
+    """Token offsets of the masks that find n tokens whichever ``wrong`` of them differ.
 
+    The heaviest masks of which ``MOST`` do, chosen greedily by the substitutions they survive at some place. A window that
+    allows more than ``WRONG`` is found by the run of equal tokens it must hold.
+    """
+    if wrong == 0 or wrong > WRONG or n > LONGEST:
+        return (tuple(range(-(-(n - wrong) // (wrong + 1)))),)
+    faults = [frozenset(c) for c in combinations(range(n), wrong)]
+    for weight in range(n - wrong, 0, -1):
+        survived = {}
+        for rest in combinations(range(1, n), weight - 1):
+            mask = (0, *rest)
+            places = [frozenset(k + o for o in mask) for k in range(n - mask[-1])]
+            survived[mask] = {f for f in faults if any(not f & place for place in places)}
+        left, chosen = set(faults), []
+        while left and len(chosen) < MOST:
+            chosen.append(max(survived, key=lambda m: (len(survived[m] & left), m)))
+            left -= survived[chosen[-1]]
+        if not left:
+            return tuple(chosen)
+    raise ValueError(f"no masks for {wrong} of {n}")
 
-def _seeds(tokens: DataFrame) -> DataFrame:
-    """(key, at, seed): every masked window of rows (key, tokens); at is negative for the second mask: -1 - place."""
-    df = tokens.select("key", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
-    for m, gaps in enumerate(MASKS):
-        name = "h"
-        for depth, gap in enumerate(gaps):
-            shifted = F.slice(name, F.lit(gap + 1), F.greatest(F.size(name), F.lit(1)))
-            salt = F.lit(m if depth == len(gaps) - 1 else -1)
-            df, name = df.withColumn(f"m{m}_{depth}", _pairs(name, shifted, salt)), f"m{m}_{depth}"
-        df = df.withColumn(f"m{m}", F.slice(name, F.lit(1), F.greatest(F.size("h") - sum(gaps), F.lit(0))))
-    split = F.greatest(F.size("h") - sum(MASKS[0]), F.lit(0))
-    rows = df.select("key", split.alias("split"), F.posexplode(F.concat("m0", "m1")).alias("at", "seed"))
-    return rows.select("key", "seed", F.when(F.col("at") < F.col("split"), F.col("at")).otherwise(F.col("split") - F.col("at") - 1).alias("at"))
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-def _place(at: Column) -> Column:
-    return F.when(at < 0, -1 - at).otherwise(at)
 
+def _seeds(tokens: DataFrame, family: list[tuple[int, ...]]) -> DataFrame:
+    """(key, at, seed): every place of every mask that fits in rows (key, tokens)."""
+    hashes = tokens.select("key", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    places = hashes.select("key", "h", F.posexplode("h").alias("at", "_"))
+    seeds = F.array(*[
+        F.when(F.col("at") + mask[-1] < F.size("h"), F.xxhash64(F.lit(m), *[F.get("h", F.col("at") + o) for o in mask]))
+        for m, mask in enumerate(family)
+    ])
+    return places.select("key", "at", F.explode(seeds).alias("seed")).where("seed is not null")
 
-def seed_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Distinct (key, item_key, diagonal) of equal seeds of docs(key, tokens) and items(key, tokens)."""
-    theirs = settle(_seeds(items).withColumnsRenamed({"key": "item_key", "at": "item_at"}), "leak-seeds")
-    joined = _seeds(docs).join(_few(theirs), "seed")
-    return joined.select("key", "item_key", (_place(F.col("at")) - _place(F.col("item_at"))).alias("diagonal")).distinct()
+
+def seed_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
+    """Distinct (key, item_key, diagonal) of equal seeds of docs(key, tokens) and items(key, tokens).
+
+    Items shorter than ``window`` have masks of their own length; there are at most ``window`` lengths.
+    """
+    lengths = items.select(F.least(F.size("tokens"), F.lit(window)).alias("n")).where("n > 0").distinct().collect()
+    family = sorted({mask for r in lengths for mask in masks(r.n, allowed(r.n, percent))}) or [(0,)]
+    theirs = settle(_seeds(items, family).withColumnsRenamed({"key": "item_key", "at": "item_at"}), "leak-seeds")
+    joined = _seeds(docs, family).join(_few(theirs), "seed")
+    return joined.select("key", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
 
 
 def verified(hits: DataFrame, docs: DataFrame, items: DataFrame, window: int, percent: int) -> DataFrame:
@@ -76,20 +104,20 @@ def verified(hits: DataFrame, docs: DataFrame, items: DataFrame, window: int, pe
         F.max("compared").cast("long").alias("compared"), F.max("matched").cast("long").alias("matched"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 80) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """(key, doc_id, item_id, compared, matched) of each distinct document and test item that share a passage.
 
     docs(doc_id, text) and items(item_id, text) share a passage if ``window`` tokens in a row (or a whole shorter item) of the
-    item agree in ``percent`` of 100 places with tokens of the document and a mask fits into them. Tokens are lower-case runs of letters and
-    digits. Items shorter than the masks are never found; null and empty texts hold nothing; repeated rows
-    are reported once; empty tables give no rows; further columns are ignored. key is the text's digest.
+    item agree in ``percent`` of 100 places with tokens of the document in a row. Tokens are lower-case runs of letters and
+    digits. Nothing else is asked: the masks find every such passage. Null and empty texts hold nothing; very long texts are compared
+    whole; repeated rows are reported once; empty tables give no rows; further columns are ignored. key is the text's digest.
     """
     docs = docs.select("doc_id", F.md5(body()).alias("key"), body().alias("text"))
     tokens = docs.select("key", plain_words(F.col("text")).alias("tokens"))
     tests = items.select("item_id", F.md5(body()).alias("item_key"), plain_words(body()).alias("tokens"))
     tests = settle(tests.distinct(), "leak-items")
     by_text = tests.select(F.col("item_key").alias("key"), "tokens").dropDuplicates(["key"])
-    hits = _few(settle(seed_hits(tokens, by_text), "leak-hits"))
+    hits = _few(settle(seed_hits(tokens, by_text, window, percent), "leak-hits"))
     texts = docs.join(hits.select("key").distinct(), "key", "left_semi").select("key", plain_words(F.col("text")).alias("tokens"))
     found = verified(hits, texts.dropDuplicates(["key"]), by_text, window, percent)
     found = _few(settle(found, "leak-found"))
@@ -107,26 +135,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
-def _windows(name: str, key: str) -> str:
-    parts = []
-    for m, gaps in enumerate(MASKS):
-        offsets = sorted({a + b + c for a in (0, gaps[0]) for b in (0, gaps[1]) for c in (0, gaps[2])})
-        kept = ", ".join(f"t[i + {o}]" for o in offsets)
-        parts.append(f"SELECT {key}, {m} AS mask, i, concat_ws(' ', {kept}) AS seed FROM "
-                     f"(SELECT {key}, t, unnest(range(1, len(t) - {sum(gaps)} + 1)) AS i FROM {name})")
-    return " UNION ALL ".join(parts)
-
-
+#: The rule without masks: 13 tokens of which at most two differ hold a run of four equal ones; shorter items a run of as many as
+#: ``run`` says. Every pair of equal runs is followed along its diagonal.
 _TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t"
 SQL = f"""
-WITH d AS (SELECT doc_id, {_TOKENS} FROM documents), b AS (SELECT item_id, {_TOKENS} FROM benchmark),
-dw AS ({_windows("d", "doc_id")}), bw AS ({_windows("b", "item_id")}),
-hits AS (SELECT DISTINCT doc_id, item_id, dw.i - bw.i AS g FROM dw JOIN bw USING (mask, seed)),
-pairs AS (SELECT doc_id, item_id, least(13, len(b.t)) AS compared,
+WITH d AS (SELECT doc_id, {_TOKENS} FROM documents), b0 AS (SELECT item_id, {_TOKENS} FROM benchmark),
+b AS (SELECT *, least({WINDOW}, len(t)) AS n, least({WINDOW}, len(t)) * {100 - PERCENT} // 100 AS wrong FROM b0 WHERE len(t) > 0),
+sizes AS (SELECT DISTINCT CAST(ceil((n - wrong) / (wrong + 1)) AS BIGINT) AS run FROM b),
+dw AS (SELECT DISTINCT doc_id, run, i, array_to_string(t[i:i + run - 1], ' ') AS words
+  FROM (SELECT doc_id, t, run, unnest(range(1, len(t) - run + 2)) AS i FROM d, sizes)),
+bw AS (SELECT DISTINCT item_id, run, i, array_to_string(t[i:i + run - 1], ' ') AS words
+  FROM (SELECT item_id, t, CAST(ceil((n - wrong) / (wrong + 1)) AS BIGINT) AS run, unnest(range(1, len(t) - CAST(ceil((n - wrong) / (wrong + 1)) AS BIGINT) + 2)) AS i FROM b)),
+hits AS (SELECT DISTINCT doc_id, item_id, dw.i - bw.i AS g FROM dw JOIN bw USING (run, words)),
+pairs AS (SELECT doc_id, item_id, n AS compared,
   list_transform(range(1 + greatest(0, -g), 1 + least(len(b.t), len(d.t) - g)), lambda p: CASE WHEN b.t[p] = d.t[p + g] THEN 1 ELSE 0 END) AS same
   FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
 best AS (SELECT doc_id, item_id, compared, list_max(list_transform(range(1, len(same) - compared + 2), lambda k: list_sum(same[k:k + compared - 1]))) AS matched
   FROM pairs WHERE len(same) >= compared)
 SELECT doc_id, item_id, CAST(max(compared) AS BIGINT) AS compared, CAST(max(matched) AS BIGINT) AS matched
-FROM best WHERE matched * 100 >= compared * 80 GROUP BY doc_id, item_id
+FROM best WHERE matched * 100 >= compared * {PERCENT} GROUP BY doc_id, item_id
 """
