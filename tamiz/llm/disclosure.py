@@ -1,7 +1,8 @@
 """Personal data, and terms that give it away: information-theoretic sanitisation.
 
 DataFrame functions only. Patterns find e-mail addresses, IP addresses, card and phone numbers in one pass over each text. The values
-found are the protected entities. A term that occurs beside an entity discloses
+found are the protected entities, and so are what they share: mail domain, address block, card issuer, dialling prefix, and the
+kind itself. Single values hardly ever return, these do, so that their contexts add up. A term that occurs beside an entity discloses
 ``log2(N * df(e, t) / (df(e) * df(t))) / log2(N / df(e))`` of it, the share of the entity's information content that the
 term reveals (document frequencies over N distinct texts). Terms above a threshold are generalised,
 those that reveal all of it are removed, wherever they occur.
@@ -81,10 +82,22 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind == "email", F.lower(value)).when(kind == "ip", value).otherwise(number))
 
 
+def _levels(entity: Column) -> Column:
+    """The entity itself and the broader ones it belongs to."""
+    kind, value = F.substring_index(entity, ":", 1), F.substring_index(entity, ":", -1)
+    broad = (
+        F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(value, "@", -1)))
+        .when(kind == "ip", F.concat(F.substring_index(value, ".", 3), F.lit(".*")))
+        .when(kind == "card", F.concat(F.left(value, F.lit(6)), F.lit("*")))
+        .otherwise(F.concat(F.left(value, F.lit(4)), F.lit("*")))
+    )
+    return F.array(entity, F.concat(kind, F.lit(":"), broad), kind)
+
+
 def neighbours(found: DataFrame, window: int = 5, reach: int = 80) -> DataFrame:
     """(entity, tid, context, term): the words, at most ``window`` of each side, beside every protected value.
 
-    context identifies the surrounding words, so that copies of one passage count once.
+    A value with no word beside it has one row with a null term. context identifies the surrounding words, so that copies of one passage count once.
     """
     def named(kind: str) -> Column:
         return F.transform(f"_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
@@ -102,7 +115,7 @@ def neighbours(found: DataFrame, window: int = 5, reach: int = 80) -> DataFrame:
     ).select("tid", "entity", F.when(F.col("some"), F.col("b")).otherwise(F.array().cast("array<string>")).alias("b"), "a")
     terms = F.filter(F.array_distinct(F.concat("b", "a")), lambda w: w.rlike(r"^\p{L}{3,}$"))
     return near.select(
-        "entity", "tid", F.xxhash64(F.array_join("b", " "), F.array_join("a", " ")).alias("context"), F.explode(terms).alias("term"),
+        "entity", "tid", F.xxhash64(F.array_join("b", " "), F.array_join("a", " ")).alias("context"), F.explode_outer(terms).alias("term"),
     ).distinct()
 
 
@@ -116,19 +129,22 @@ def disclosing_terms(
 ) -> tuple[DataFrame, DataFrame]:
     """((term, disclosure), (tid, term)): terms that reveal an entity, and the texts that hold them.
 
-    A pair needs ``support`` distinct contexts: with fewer, every rare word beside an entity would seem to reveal it.
+    A pair needs ``support`` distinct contexts: with fewer, every rare word beside an entity would seem to reveal it. An entity that all
+    texts hold is no information and nothing reveals it.
     """
+    near = near.withColumn("entity", F.explode(_levels(F.col("entity"))))
     n = F.lit(float(max(1, found.select("tid").distinct().count())))
 
     def share(of_term: str) -> Column:
-        return F.round(F.log2(n * F.col("both") / (F.col("of_entity") * F.col(of_term))) / F.log2(n / F.col("of_entity")), 9)
+        joint = F.log2(n * F.col("both") / (F.col("of_entity") * F.col(of_term)))
+        return F.round(F.try_divide(joint, F.log2(n / F.col("of_entity"))), 9)
 
-    pairs = near.groupBy("entity", "term").agg(
+    pairs = near.where("term is not null").groupBy("entity", "term").agg(
         F.countDistinct("context").alias("contexts"), F.countDistinct("tid").alias("both")
     ).where(F.col("contexts") >= support)
     held = near.select("entity", "tid").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
     # A term is in at least as many texts as it is beside entities, which already rules out most words.
-    beside = near.select("term", "tid").distinct().groupBy("term").agg(F.count("*").alias("beside"))
+    beside = near.where("term is not null").select("term", "tid").distinct().groupBy("term").agg(F.count("*").alias("beside"))
     pairs = pairs.join(held, "entity").join(beside, "term")
     pairs = settle(pairs.where(share("beside") >= threshold).drop("beside"), "pii-pairs")
     terms = settle(pairs.select("term").distinct(), "pii-terms")
@@ -140,17 +156,23 @@ def disclosing_terms(
     return settle(revealing, "pii-revealing"), places
 
 
-def find_disclosures(docs: DataFrame, threshold: float = 0.9, removal: float = 0.999, support: int = 3) -> DataFrame:
+_OWN = (*(f"_{k}" for k in _PATTERNS), "_terms", "_gone")
+
+
+def find_disclosures(docs: DataFrame, **options) -> DataFrame:
     """Adds _email, _ip, _card, _phone, _terms (spans) and _gone (removed terms) to rows of docs(text, ...).
 
-    Null text is the empty text. Repeated rows give repeated rows; co-occurrence counts distinct texts. A text without
-    matches has empty arrays, an empty table no rows. Names starting with an underscore and ``tid`` are this
-    operator's own; other columns pass through.
+    Options are those of ``_marked``. Null text is the empty text. Repeated rows give repeated rows; co-occurrence counts distinct texts.
+    A text without matches has empty arrays, an empty table no rows. Other columns pass through, unless they have the name of an
+    added one.
     """
-    clash = [c for c in docs.columns if c in ("_text", "tid", "_terms", "_gone", *(f"_{k}" for k in _PATTERNS))]
-    if clash:
-        raise ValueError(f"columns {clash} are names of the operator")
-    found = base_spans(docs.select("*", body().alias("_text"), F.md5(body()).alias("tid")), "_text")
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in _OWN]
+    return _marked(docs, **options).select(*kept, *_OWN)
+
+
+def _marked(docs: DataFrame, threshold: float = 0.9, removal: float = 0.999, support: int = 3) -> DataFrame:
+    """(_row, tid, _text and the columns of ``_OWN``): each row of ``docs`` as one struct, so that no column name can clash."""
+    found = base_spans(docs.select(F.struct("*").alias("_row"), body().alias("_text"), F.md5(body()).alias("tid")), "_text")
     near = settle(neighbours(found), "pii-near")
     revealing, places = disclosing_terms(found, near, threshold, support)
     here = places.join(_bounded(revealing), "term").groupBy("tid").agg(
@@ -190,12 +212,12 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with personal data replaced by its kind, revealing terms by [TERM] and fully revealing ones removed.
 
     Where spans overlap, the one that begins first is replaced and the rest is cut. n_chars, if there, follows.
-    Null text stays null.
+    Null text stays null; columns may have any name.
     """
     def labelled(kind: str, label) -> Column:
         return F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), label(s).alias("label")))
 
-    found = find_disclosures(docs, **options)
+    found = _marked(docs, **options)
     parts = [labelled(k, lambda s, k=k: F.lit(f"[{k.upper()}]")) for k in _PATTERNS]
     gone = F.col("_gone")
     parts.append(labelled("terms", lambda s: F.when(F.array_contains(gone, F.lower(s["value"])), F.lit("")).otherwise(F.lit("[TERM]"))))
@@ -209,10 +231,10 @@ def sanitised(docs: DataFrame, **options) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_cuts", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    found = found.withColumn("_clean", F.when(F.size("_cuts") > 0, clean).otherwise(F.col("text")))
-    columns = [F.col("_clean").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    found = found.withColumn("_clean", F.when(F.size("_cuts") > 0, clean).otherwise(F.col("_row")["text"]))
+    columns = [F.col("_clean").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
-        size = F.when(F.size("_cuts") > 0, F.length("_clean")).otherwise(F.col("n_chars"))
+        size = F.when(F.size("_cuts") > 0, F.length("_clean")).otherwise(F.col("_row")["n_chars"])
         columns[docs.columns.index("n_chars")] = size.cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return found.select(*columns)
 

@@ -1,13 +1,15 @@
 """Personal data, quality rules, licenses, toxicity and weak labels."""
 
 import hashlib
+import math
+import random
 import re
 
 import numpy as np
 import pytest
 
 from tamiz.llm import adaptive_rules, disclosure, license_scan, toxicity_chain, weak_quality
-from tests.llm.helpers import DATA, HAVE_DATA, documents
+from tests.llm.helpers import DATA, HAVE_DATA, documents, plain
 
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -81,6 +83,66 @@ def test_terms_that_reveal_an_entity_are_generalised_or_removed(spark):
     assert clean[51] == "again the [TERM], [TERM]" and clean[0] == texts[0]
 
 
+def levels(kind, value):
+    number = re.sub("[^0-9]", "", value)
+    if kind == "email":
+        value = value.lower()
+        return [f"email:{value}", "email:@" + value.split("@")[-1], "email"]
+    if kind == "ip":
+        return [f"ip:{value}", "ip:" + ".".join(value.split(".")[:3]) + ".*", "ip"]
+    return [f"{kind}:{number}", f"{kind}:{number[:6 if kind == 'card' else 4]}*", kind]
+
+
+def revealing(texts, threshold, support):
+    """Terms and their disclosure, from the definition of the score."""
+    texts = sorted(set(t or "" for t in texts))
+    words = [set(plain(t)) for t in texts]
+    held, contexts = {}, {}
+    for d, text in enumerate(texts):
+        for kind, spans in base(text).items():
+            for span in spans:
+                start, stop = map(int, span.split(":")[1:])
+                b, a = plain(text[max(0, start - 80):start])[-5:], plain(text[stop:stop + 80])[:5]
+                for entity in levels(kind, text[start:stop]):
+                    held.setdefault(entity, set()).add(d)
+                    for w in {*a, *b}:
+                        if re.fullmatch(r"[^\W\d_]{3,}", w):
+                            contexts.setdefault((entity, w), set()).add((tuple(b), tuple(a), d))
+    out = {}
+    for (entity, w), seen in contexts.items():
+        if len({c[:2] for c in seen}) < support or len(held[entity]) == len(texts):
+            continue
+        both, of_term = len({c[2] for c in seen}), sum(w in ws for ws in words)
+        share = math.log2(len(texts) * both / (len(held[entity]) * of_term)) / math.log2(len(texts) / len(held[entity]))
+        out[w] = max(out.get(w, -9), share)
+    return {w: s for w, s in out.items() if s >= threshold}
+
+
+def test_terms_equal_the_definition(spark):
+    """Values that never return, but whose domain, block, prefix or kind does."""
+    rng = random.Random(3)
+    pool = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    texts = [" ".join(rng.choices(pool, k=30)) for _ in range(120)]
+    cue = {"ledger": lambda k: f"u{k}@mail{k % 2}.example.org", "gateway": lambda k: f"10.0.{k % 2}.{k}", "hotline": lambda k: f"+1 234 555 01{k:02d}"}
+    for w, value in cue.items():
+        texts += [" ".join(rng.choices(pool, k=8) + [w, value(k)] + rng.choices(pool, k=8)) for k in range(12)]
+    texts += [f"the gateway {rng.choice(pool)}" for _ in range(3)] + [None, "", texts[-1]]
+    want = revealing(texts, 0.8, 3)
+    found = disclosure.find_disclosures(documents(spark, texts), threshold=0.8).collect()
+    got = {texts[r.doc_id][s.start:s.stop] for r in found for s in r._terms}
+    assert got == set(want) and {"ledger", "hotline"} <= got
+    alone = ["mail a@b.c now", "mail d@b.c then", "mail e@b.c here"]
+    assert not any(r._terms for r in disclosure.find_disclosures(documents(spark, alone)).collect())
+
+
+def test_sanitised_takes_columns_of_any_name(spark):
+    df = documents(spark, ["mail a@b.c", None]).selectExpr("*", "1 as tid", "2 as _text", "3 as _terms", "4 as _row", "5 as _email", "6 as term")
+    got = disclosure.sanitised(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text, r.tid, r._text, r._terms, r._row, r._email, r.term) for r in got.collect()) == [
+        (0, "mail [EMAIL]", 1, 2, 3, 4, 5, 6), (1, None, 1, 2, 3, 4, 5, 6)]
+
+
 def test_sanitised_keeps_columns_rows_and_nulls(spark):
     df = documents(spark, ["mail a@b.c or +12345678, a@b.c", None, "", "a@1.2.3.4"]).selectExpr("*", "7 as spans", "8 as entity")
     df = df.unionByName(df.limit(1))
