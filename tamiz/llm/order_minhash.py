@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamiz.llm.common import body, components, plain_words, table, with_small_batches
@@ -23,11 +23,8 @@ from tamiz.session import settle
 SHINGLE = 5
 #: Sketches to a document, and labels to a sketch. Two texts of similarity 0.8 share one of them but once in 10^5 cases.
 SKETCHES, LENGTH = 16, 3
-#: Groups whose members differ go on with the next hub this often; then all pairs that are still open are compared. No group is
-#: split, so that texts with one equal sketch are compared, linked through others, or known to be far apart.
-DEPTH = 4
-#: With so many members at most, beside those that are linked already, a group is not worked off by hubs first.
-SMALL = 48
+#: Hubs that a group's members are compared with in turn; after that, open pairs are looked up by their rarest labels.
+HUBS = 2
 #: Largest table, in rows, that is sent to every task; a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -131,6 +128,13 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["tid"], pa.array(labels, pa.binary())], ["tid", "labels"])
 
 
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for tid, labels in zip(batch["tid"], batch["labels"]):
+            values = np.frombuffer(labels.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([tid.as_py()] * len(values), pa.binary()), pa.array(values)], ["tid", "label"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [
@@ -169,8 +173,8 @@ def _verify(pairs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
 
 def _stars(members: DataFrame) -> DataFrame:
     """members(key, tid, size, root) of groups of more than one root, each but the hub with its hub, the least tid."""
-    hubs = members.groupBy("key").agg(F.min(F.struct("tid", "size")).alias("hub"), F.min("root").alias("a"), F.max("root").alias("b"))
-    hubs = hubs.where("a <> b").select("key", F.col("hub.tid").alias("hub"), F.col("hub.size").alias("hub_size"))
+    hubs = members.groupBy("key").agg(F.min(F.struct("tid", "size", "root")).alias("hub"), F.min("root").alias("a"), F.max("root").alias("b"))
+    hubs = hubs.where("a <> b").select("key", F.col("hub.tid").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.root").alias("hub_root"))
     return members.join(hubs, "key").where("tid <> hub")
 
 
@@ -179,25 +183,26 @@ def _rooted(df: DataFrame, roots: DataFrame, tid: str, root: str) -> DataFrame:
     return df.join(named, tid, "left").withColumn(root, F.coalesce("_root", tid)).drop("_root")
 
 
-def _almost_settled(active: DataFrame, small: int | None) -> DataFrame:
-    """(key, major): groups in which at most ``small`` members (any number if None) have another root than most have, and that root."""
-    counts = active.groupBy("key", "root").agg(F.count("*").alias("n"))
-    most = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"))
-    if small is not None:
-        most = most.where(F.col("n") - F.col("most.n") <= small)
-    return most.select("key", F.col("most.root").alias("major"))
-
-
-def _close(active: DataFrame, groups: DataFrame, reach: float) -> DataFrame:
-    """Distinct pairs (hub, tid, hub_size, size) of a member outside its group's major root and one of another root.
+def _rare_pairs(rows: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (hub, tid, hub_size, size) of rows(tid, size, root) of different roots that may reach the similarity.
 
-    The triangle inequality over the distances to the former hub leaves out those that cannot be near.
+    Of two texts that do, each holds one of the other's labels among the rarest part of its own, ``1 - similarity`` and one label more.
+    Labels of one text only come first in that part and meet nothing. A pair's first common label also bounds how many may follow it.
     """
-    rows = active.join(groups, "key")
-    left = rows.where("root <> major").select("key", *[F.col(c).alias(f"a_{c}") for c in ("tid", "size", "root", "far", "near")])
-    open_ = (F.col("a_near") - F.col("far") <= reach) & (F.col("near") - F.col("a_far") <= reach)
-    once = (F.col("root") == F.col("major")) | (F.col("a_tid") < F.col("tid"))
-    return left.join(rows, "key").where((F.col("a_root") != F.col("root")) & once & open_).select(
+    found = labels.join(rows.select("tid"), "tid", "left_semi").mapInArrow(_occurrences, "tid binary, label long")
+    found = settle(found, "omh-occurrences")
+    counts = settle(found.groupBy("label").agg(F.count("*").alias("n")).where("n > 1"), "omh-frequencies")
+    text = Window.partitionBy("tid")
+    shared = found.join(counts, "label").withColumns({
+        "place": F.row_number().over(text.orderBy("n", "label")), "shared": F.count("*").over(text)})
+    rank = F.col("place") + F.col("size") - F.col("shared")
+    rare = shared.join(rows, "tid").withColumn("left", F.col("size") - rank).where(
+        F.col("left") >= F.ceil(F.lit(similarity) * F.col("size") - 1e-9) - 1).select("label", "tid", "size", "root", "left")
+    rare = settle(rare, "omh-rare")
+    other = rare.select("label", *[F.col(c).alias(f"a_{c}") for c in ("tid", "size", "root", "left")])
+    least = (F.col("a_size") + F.col("size")) * similarity / (1 + similarity) - 1e-9
+    open_ = (F.col("a_tid") < F.col("tid")) & (F.col("a_root") != F.col("root")) & (1 + F.least("a_left", "left") >= least)
+    return other.join(rare, "label").where(open_).select(
         F.col("a_tid").alias("hub"), "tid", F.col("a_size").alias("hub_size"), "size").distinct()
 
 
@@ -207,8 +212,7 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
     Two texts of at least ``similarity`` are linked. Texts with an equal sketch form a group, and each member is compared with the
     group's hub first. A group is done once all its members have one root. What else may be
     linked goes on without the hub: members of another root than the hub, and those that by the triangle inequality may be similar to
-    one of these. Where at most SMALL are of another root than most, or after ``DEPTH`` more hubs, these are compared with all others, as
-    far as that inequality and the roots leave them open. ``labels`` makes
+    one of these. After ``HUBS`` hubs the members of groups that still have several roots are paired by their rarest labels. ``labels`` makes
     (tid, labels) of (tid) rows; it is called once.
     """
     spark = texts.sparkSession
@@ -219,7 +223,7 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
     involved = settle(members.select("tid").unionByName(members.select(F.col("hub").alias("tid"))).distinct(), "omh-involved")
     content = labels(involved)
     roots = spark.createDataFrame([], "tid binary, root binary")
-    done, depth, reach = None, 0, 1 - similarity + 1e-9
+    done, reach = None, 1 - similarity + 1e-9
 
     def compared(pairs: DataFrame, roots: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Everything compared so far, and the roots with the new links."""
@@ -234,21 +238,18 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
         roots = settle(moved.unionByName(added.join(roots.select("tid"), "tid", "left_anti")), "omh-roots")
         return fresh if done is None else done.unionByName(fresh), roots
 
-    while True:
+    for _ in range(HUBS):
         done, roots = compared(members.select("hub", "tid", "hub_size", "size").distinct(), roots, done)
-        judged = _rooted(_rooted(members.drop("root").join(done, ["hub", "tid"]), roots, "tid", "root"), roots, "hub", "hub_root")
+        judged = _rooted(_rooted(members.drop("root", "hub_root").join(done, ["hub", "tid"]), roots, "tid", "root"), roots, "hub", "hub_root")
         judged = judged.withColumns({"near": 1 - F.col("bound"), "far": 1 - F.col("similarity")})  # the distance to the hub lies between
         apart = F.col("root") != F.col("hub_root")
         closest = judged.where(apart).groupBy("key").agg(F.min("near").alias("closest"))
-        active = settle(judged.join(closest, "key").where(apart | (F.col("closest") - F.col("far") <= reach)).select(
-            "key", "tid", "size", "root", "near", "far"), "omh-active")
-        groups = settle(_almost_settled(active, SMALL if depth < DEPTH else None), "omh-settled")
-        done, roots = compared(_close(active, groups, reach), roots, done)
-        active = _rooted(active.join(groups, "key", "left_anti").drop("root", "near", "far"), roots, "tid", "root")
-        depth += 1
-        members = settle(_stars(active), "omh-group")
+        active = judged.join(closest, "key").where(apart | (F.col("closest") - F.col("far") <= reach))
+        members = settle(_stars(active.select("key", "tid", "size", "root")), "omh-group")
         if not members.limit(1).count():
             return roots
+    rest = members.select("tid", "size", "root").unionByName(members.select(F.col("hub").alias("tid"), F.col("hub_size").alias("size"), F.col("hub_root").alias("root")))
+    return compared(_rare_pairs(settle(rest.distinct(), "omh-rest"), content, similarity), roots, done)[1]
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -1,8 +1,8 @@
 """Near duplicates, repeated passages and benchmark leaks against brute force."""
 
 import random
-from itertools import combinations
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -48,16 +48,15 @@ def test_alignment_is_order_sensitive_and_counts_occurrences():
     assert len(order_minhash.labelled(np.arange(4, dtype=np.uint64))) == 0
 
 
-@pytest.mark.parametrize("small", [0, 4, 100])
-def test_members_that_differ_from_the_hub_are_still_linked(spark, monkeypatch, small):
+@pytest.mark.parametrize("hubs", [0, 1, 3])
+def test_members_that_differ_from_the_hub_are_still_linked(spark, monkeypatch, hubs):
     """All texts in one group: every link has to come from the rounds after the first."""
     rng = random.Random(5)
     texts = []
     for _ in range(5):
         base = prose(rng, 80)
         texts += [" ".join(base), " ".join(base[:40] + ["other"] + base[41:])]
-    monkeypatch.setattr(order_minhash, "DEPTH", 0)
-    monkeypatch.setattr(order_minhash, "SMALL", small)
+    monkeypatch.setattr(order_minhash, "HUBS", hubs)
     monkeypatch.setattr(order_minhash, "SKETCHES", 1)
     rows = order_minhash.sketched(documents(spark, texts)).selectExpr("doc_id", "tid", "size", "array(1L) as keys")
     texts_df = rows.selectExpr("tid", "size", "keys")
@@ -72,7 +71,7 @@ def test_members_that_differ_from_the_hub_are_still_linked(spark, monkeypatch, s
 
 
 def test_pairs_with_two_equal_sketches_are_linked_in_a_large_group(spark):
-    """More than SMALL texts that are not linked share two sketches and nothing else; DEPTH is as shipped."""
+    """Far more texts than hubs that are not linked share two sketches and nothing else."""
     rng = random.Random(6)
     texts = []
     for _ in range(35):
@@ -87,10 +86,32 @@ def test_pairs_with_two_equal_sketches_are_linked_in_a_large_group(spark):
     got = {}
     for r in roots.collect():
         got.setdefault(bytes(r.root), set()).add(ids[bytes(r.tid)])
-    assert len(texts) > order_minhash.SMALL + 20
+    assert len(texts) > order_minhash.HUBS + 20
     assert sorted(map(sorted, got.values())) == [[i, i + 1] for i in range(0, len(texts), 2)]
 
 
+def test_a_family_just_below_the_threshold_equals_brute_force(spark, monkeypatch):
+    """One group of texts that are all about 0.7 alike, some pairs of them more than 0.8, some by a chain."""
+    rng = random.Random(8)
+    base = prose(rng, 90)
+    texts = []
+    for k in range(45):
+        words = list(base)
+        for at in rng.sample(range(90), 2):
+            words[at] = f"own{k}x{at}"
+        texts.append(words)
+    for k in range(0, 20, 2):
+        words = list(texts[k])
+        words[rng.randrange(90)] = f"again{k}"
+        texts.append(words)
+    texts = [" ".join(t) for t in texts]
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if similarity(texts[a], texts[b]) >= 0.8]
+    want = classes(links, range(len(texts)))
+    assert 10 < len(set(want.values())) < len(texts) - 9
+    monkeypatch.setattr(order_minhash, "sketched", lambda docs, plain=order_minhash.sketched: plain(docs).selectExpr("doc_id", "tid", "size", "array(1L) as keys"))
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(documents(spark, texts)).collect()} == want
+
+
 def test_one_row_of_each_class_stays(spark):
     texts = ["one two three four five six", "one two three four five six", "another text of some six words", None, ""]
     df = documents(spark, texts).unionByName(documents(spark, texts[:1])).unionByName(documents(spark, ["same id, not the same words here"]))
