@@ -1,9 +1,13 @@
-"""Repeated passages from sparse suffixes.
+"""Repeated passages from a sparse suffix array.
 
 Only suffixes that begin at a minimiser are kept: of every ``WINDOW`` neighbouring seeds of ``SEED`` words the one of least hash.
 A passage of LEAST = WINDOW + SEED - 1 words has one minimiser and chooses it by its own words alone, so equal passages are
-found at the same kept suffix. Suffixes whose seed only one text holds are dropped by count; for the rest, each passage of LEAST words that chooses
-them is hashed, and passages that two texts hold are counted across the cluster and joined back. No neighbour is left out.
+found at the same kept suffix. Suffixes whose seed only one text holds are dropped by count. The rest are sorted by the words to
+their right across the cluster; a task compares each with its neighbours of other texts, extends the matches left and right, and
+does the same in the order of the words to the left. The longest match to either side bounds what any text can share with a
+suffix; where the neighbours' matches fill these bounds, as they do when few texts hold a seed, the suffix is done. Where they
+leave a gap (the longest match to the left and that to the right belong to different texts), or a seed's suffixes lie in several
+tasks or number more than ``GROUP``, the passages within the bounds are hashed and counted instead, so no neighbour is left out.
 """
 
 from __future__ import annotations
@@ -21,8 +25,10 @@ from tamiz.session import settle
 #: Words of a repeated passage at least; a window of seeds fills it: LEAST = SEED + WINDOW - 1.
 LEAST = 50
 SEED, WINDOW = 11, 40
-#: Windows to an Arrow batch that a task hands back.
-ROWS = 40_000
+#: Suffixes to an Arrow batch that a task hands back.
+ROWS = 4_000
+#: Suffixes of one seed that a task compares at once; a seed with more goes by passage counts.
+GROUP = 10_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,17 +59,18 @@ def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passages(words: np.ndarray) -> np.ndarray:
-    """Hash of each LEAST words in a row, made of hashes of twice as many words at each step."""
+    """Hash of each LEAST words in a row (last axis), made of hashes of twice as many words at each step."""
     with np.errstate(over="ignore"):
         powers, size = {1: _mix(words)}, 1
         while size * 2 <= LEAST:
             half = powers[size]
-            powers[size * 2] = _mix(half[:-size] * np.uint64(3) + half[size:])
+            powers[size * 2] = _mix(half[..., :-size] * np.uint64(3) + half[..., size:])
             size *= 2
-        n, out, at = len(words) - LEAST + 1, np.zeros(max(0, len(words) - LEAST + 1), np.uint64), 0
+        n, at = words.shape[-1] - LEAST + 1, 0
+        out = np.zeros((*words.shape[:-1], n), np.uint64)
         for size in sorted(powers, reverse=True):
             if LEAST & size:
-                out, at = _mix(out * np.uint64(3) + powers[size][at:at + n]), at + size
+                out, at = _mix(out * np.uint64(3) + powers[size][..., at:at + n]), at + size
     return out
 
 
@@ -85,20 +92,143 @@ def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["tid", "place", "seed"])
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tid, place, start, seed, hash) of each LEAST words from start on whose minimiser is one of the places."""
+def contexts(words: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place, seed, low, high, right, left) of kept suffixes of one text, ROWS at a time.
+
+    A passage that chooses the suffix begins low to high words before it. right and left hold the words that such passages have
+    from the suffix on and before it, nearest first, as hashes of 32 bits that are never 0; what lies beyond is 0.
+    """
+    seeds, owner = owners(words)
+    short = (_mix(words) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    for k in range(0, len(places), ROWS):
+        place = places[k:k + ROWS].astype(np.int64)
+        low, high = place + 1 - np.searchsorted(owner, place, "right"), place - np.searchsorted(owner, place)
+
+        def taken(width: int, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return np.where(np.arange(width) < size[:, None], short[at.clip(0, len(short) - 1)], np.uint32(0))
+
+        right = taken(LEAST, LEAST - low, place[:, None] + np.arange(LEAST))
+        yield place, seeds[place], low, high, right, taken(WINDOW - 1, high, place[:, None] - 1 - np.arange(WINDOW - 1))
+
+
+def _packed(words: np.ndarray) -> pa.Array:
+    """One binary value to a row, in an order of bytes that sorts like the words."""
+    n, width = words.shape
+    ends = pa.py_buffer((np.arange(n + 1) * width * 4).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(words.astype(">u4").tobytes())])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(len(column), -1).astype(np.uint32)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for tid, words, places in zip(batch["tid"], _lists(batch, "words"), _lists(batch, "places")):
-            words = words.view(np.uint64)
-            seeds, owner = owners(words)
-            starts = np.flatnonzero(np.isin(owner, places))
-            hashes = passages(words)[starts].view(np.int64)
-            for k in range(0, len(starts), ROWS):
-                some, place = starts[k:k + ROWS], owner[starts[k:k + ROWS]]
+            for place, seed, low, high, right, left in contexts(words.view(np.uint64), places):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([tid.as_py()] * len(some), pa.binary()), pa.array(place, pa.int32()), pa.array(some, pa.int32()),
-                     pa.array(seeds[place].view(np.int64)), pa.array(hashes[k:k + ROWS])],
-                    ["tid", "place", "start", "seed", "hash"])
+                    [pa.array([tid.as_py()] * len(place), pa.binary()), pa.array(place.astype(np.int32)), pa.array(seed.view(np.int64)),
+                     pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), _packed(right), _packed(left)],
+                    ["tid", "place", "seed", "low", "high", "right", "left"])
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading words that each two rows have in common."""
+    differ = (a != b) | (a == 0)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
+def _others(seed: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their nearest rows of another text), before and after, among sorted rows of equal seed."""
+    n = len(seed)
+    fresh = np.r_[True, (seed[1:] != seed[:-1]) | (text[1:] != text[:-1])]
+    begins = np.r_[np.flatnonzero(fresh), n]
+    run = fresh.cumsum() - 1
+    for near in (begins[run] - 1, begins[run + 1]):
+        rows = np.flatnonzero((near >= 0) & (near < n))
+        rows = rows[seed[near[rows]] == seed[rows]]
+        yield rows, near[rows]
+
+
+def bounds(seed: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray, right: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first, last, gap) of whole seeds, sorted by seed and right: another text can share the passages that begin first to last
+    words before a suffix, none if first > last; gap: the neighbours do not hold all of them."""
+    n, steps = len(seed), np.arange(WINDOW)
+    ahead, behind, held = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, WINDOW), bool)
+    words = np.hstack([left, right]).astype(">u4").view(np.uint8)
+    by_left = np.hstack([seed.astype(">i8").view(np.uint8).reshape(n, 8), words]).view(f"S{8 + words.shape[1]}").ravel().argsort(kind="stable")
+    for order in (np.arange(n), by_left):
+        for rows, near in _others(seed[order], text[order]):
+            i, j = order[rows], order[near]
+            r, l = _common(right[i], right[j]), _common(left[i], left[j])
+            ahead[i], behind[i] = np.maximum(ahead[i], r), np.maximum(behind[i], l)
+            held[i] |= (steps >= np.maximum(low[i], LEAST - r)[:, None]) & (steps <= np.minimum(high[i], l)[:, None])
+    first, last = np.maximum(low, LEAST - ahead), np.minimum(high, behind)
+    gap = ((steps >= first[:, None]) & (steps <= last[:, None]) & ~held).any(axis=1)
+    return first, last, gap
+
+
+_FOUND = "tid binary, place int, seed long, first int, last int, hash long"
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_FOUND of suffixes sorted by seed and right: those that neighbours settle with null as hash, the passages of all others.
+
+    The first and the last seed of a task may go on in another, so they count as not settled.
+    """
+    def found(rows: pa.Table, first: np.ndarray, last: np.ndarray, hashes: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*(rows[name].combine_chunks() for name in ("tid", "place", "seed")), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+             pa.nulls(len(rows), pa.int64()) if hashes is None else pa.array(hashes.view(np.int64))], ["tid", "place", "seed", "first", "last", "hash"])
+
+    def listed(rows: pa.Table, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(rows), ROWS):
+            some = rows.slice(k, ROWS)
+            right, left = _unpacked(some["right"]), _unpacked(some["left"])
+            hashes = passages(np.hstack([left[:, ::-1], right]).astype(np.uint64))[:, ::-1]  # by words before the suffix
+            steps = np.arange(WINDOW)
+            row, step = np.nonzero((steps >= first[k:k + ROWS, None]) & (steps <= last[k:k + ROWS, None]))
+            if len(row):
+                yield found(some.take(pa.array(row)), step, step, hashes[row, step])
+
+    def numbers(rows: pa.Table, name: str) -> np.ndarray:
+        return rows[name].to_numpy().astype(np.int64)
+
+    def settled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        seed = numbers(rows, "seed")
+        first, last, gap = bounds(seed, numbers(rows, "who"), numbers(rows, "low"), numbers(rows, "high"), _unpacked(rows["right"]), _unpacked(rows["left"]))
+        some = first <= last
+        gap = np.isin(seed, seed[gap])
+        if (some & ~gap).any():
+            at = np.flatnonzero(some & ~gap)
+            yield found(rows.take(pa.array(at)), first[at], last[at], None)
+        at = np.flatnonzero(some & gap)
+        yield from listed(rows.take(pa.array(at)), first[at], last[at])
+
+    def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from listed(rows, numbers(rows, "low"), numbers(rows, "high"))
+
+    held, still = None, None  # rows of seeds that may go on; a seed whose rows are listed, not held
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        seed = numbers(rows, "seed")
+        if still is None:
+            still = seed[0]
+        go = np.searchsorted(seed, still, "right")
+        yield from whole(rows.slice(0, go))
+        rows, seed = rows.slice(go), seed[go:]
+        cut = np.searchsorted(seed, seed[-1]) if len(seed) else 0
+        if cut:
+            yield from settled(rows.slice(0, cut).combine_chunks())
+        held = rows.slice(cut).combine_chunks()
+        if len(held) > GROUP:
+            yield from whole(held)
+            still, held = seed[-1], None
+    if held is not None:
+        yield from whole(held)
 
 
 def _hashes(texts: DataFrame) -> DataFrame:
@@ -115,15 +245,19 @@ def repeated_stretches(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     who = F.xxhash64("tid")
     seeds = places.groupBy("seed").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b").select("seed")
     seeds = settle(seeds, "suffix-seeds")  # a table of its own: only then can the join split a frequent seed's places
-    kept = places.join(seeds, "seed", "left_semi").groupBy("tid").agg(F.collect_set("place").alias("places"))
+    kept = places.join(seeds, "seed", "left_semi").groupBy("tid").agg(F.sort_array(F.collect_set("place")).alias("places"))
     kept = settle(kept.join(firsts, "tid"), "suffix-kept")
-    content = _hashes(texts.join(kept, ["tid", "row"])).select("tid", "words", "places")
-    content = settle(content.mapInArrow(_passages, "tid binary, place int, start int, seed long, hash long"), "suffix-passages")
-    repeated = content.groupBy("seed", "hash").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b")
-    repeated = settle(repeated.select("seed", "hash"), "suffix-repeated")
-    found = content.join(repeated, ["seed", "hash"], "left_semi").groupBy("tid", "place").agg(  # all of a place's passages hold its seed
-        F.min("start").cast("long").alias("begin"), (F.max("start").cast("long") + LEAST).alias("stop"))
-    return found.select("tid", "begin", "stop")
+    suffixes = _hashes(texts.join(kept, ["tid", "row"])).select("tid", "words", "places").mapInArrow(
+        _contexts, "tid binary, place int, seed long, low int, high int, right binary, left binary")
+    suffixes = settle(suffixes, "suffix-contexts").withColumn("who", who)
+    found = settle(suffixes.orderBy("seed", "right", "left", "tid").mapInArrow(_compare, _FOUND), "suffix-found")
+    left_over = found.where("hash is not null")
+    repeated = left_over.groupBy("seed", "first", "hash").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b")
+    repeated = settle(repeated.select("seed", "first", "hash"), "suffix-repeated")
+    counted = left_over.join(repeated, ["seed", "first", "hash"], "left_semi").groupBy("tid", "place").agg(  # all of a place's passages hold its seed
+        F.min("first").alias("first"), F.max("last").alias("last"))
+    both = found.where("hash is null").select("tid", "place", "first", "last").unionByName(counted)
+    return both.select("tid", (F.col("place") - F.col("last")).cast("long").alias("begin"), (F.col("place") - F.col("first") + LEAST).cast("long").alias("stop"))
 
 
 def merged(stretches: DataFrame) -> DataFrame:

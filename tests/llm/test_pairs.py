@@ -156,14 +156,66 @@ def test_repeated_passages_equal_brute_force(spark):
     assert sparse_suffixes.repeated_passages(documents(spark, []).selectExpr("*", "1 as tid")).count() == 0
 
 
+def spans_of(spark, texts):
+    return {r.doc_id: {p for s in r.spans for p in range(s.begin, s.stop)} for r in sparse_suffixes.repeated_passages(documents(spark, texts)).collect()}
+
+
 def test_suffix_tasks_do_not_change_the_result(spark, monkeypatch):
     rng = random.Random(3)
     passage = prose(rng, 120)
     texts = [" ".join(prose(rng, 20) + passage + prose(rng, 20)) for _ in range(40)]
     want = {d: c for d, c in brute_repeats(texts).items()}
-    monkeypatch.setattr(sparse_suffixes, "ROWS", 7)
-    got = {r.doc_id: {p for s in r.spans for p in range(s.begin, s.stop)} for r in sparse_suffixes.repeated_passages(documents(spark, texts)).collect()}
-    assert got == want
+    assert spans_of(spark, texts) == want
+    for rows, group in ((7, 10_000), (7, 5), (4000, 1)):
+        monkeypatch.setattr(sparse_suffixes, "ROWS", rows)
+        monkeypatch.setattr(sparse_suffixes, "GROUP", group)
+        assert spans_of(spark, texts) == want
+
+
+def suffix_rows(texts):
+    """Contexts of all minimisers of some texts, sorted by seed and the words to the right."""
+    rows, lexicon = [], {}
+    for t, text in enumerate(texts):
+        words = np.array([lexicon.setdefault(w, len(lexicon) + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for w in text], np.uint64)
+        for place, seed, low, high, right, left in sparse_suffixes.contexts(words, sparse_suffixes.minimisers(words)[0]):
+            rows += [(int(a.view(np.int64)), tuple(e), tuple(f), t, int(p), int(c), int(d))
+                     for p, a, c, d, e, f in zip(place, seed, low, high, right, left)]
+    rows.sort()
+    seed, right, left, text, place, low, high = (np.array(column) for column in zip(*rows))
+    return seed, text, place, low, high, right.astype(np.uint32), left.astype(np.uint32)
+
+
+def test_neighbours_in_both_orders_bound_what_texts_share():
+    rng = random.Random(17)
+    passage = prose(rng, 90)
+    texts = [prose(rng, 60) + passage[rng.randint(0, 30):rng.randint(60, 90)] + prose(rng, 60) for _ in range(12)]
+    seed, text, place, low, high, right, left = suffix_rows(texts)
+    first, last, gap = sparse_suffixes.bounds(seed, text, low, high, right, left)
+    settled = 0
+    for k in range(len(seed)):
+        shared = set()
+        for d in range(low[k], high[k] + 1):
+            own = texts[text[k]][place[k] - d:place[k] - d + 50]
+            if any(t != text[k] and any(w[i:i + 50] == own for i in range(len(w) - 49)) for t, w in enumerate(texts)):
+                shared.add(d)
+        bound = set(range(first[k], last[k] + 1))
+        assert shared <= bound and (gap[k] or shared == bound)
+        settled += bool(shared) and not gap[k]
+    assert settled > 10
+
+
+def test_left_and_right_of_different_partners(spark):
+    """The longest match to the left and that to the right belong to different texts; a third text fills the gap, or none does."""
+    rng = random.Random(29)
+    texts = []
+    for _ in range(15):
+        core, before, after = prose(rng, 20), prose(rng, 40), prose(rng, 40)
+        texts += [prose(rng, 20) + before[40 - a:] + core + after[:b] + prose(rng, 20) for a, b in ((40, 40), (40, 2), (2, 40), (16, 16), (15, 14), (14, 16))]
+    seed, text, place, low, high, right, left = suffix_rows(texts)
+    assert sparse_suffixes.bounds(seed, text, low, high, right, left)[2].any()
+    texts = [" ".join(t) for t in texts]
+    want = brute_repeats(texts)
+    assert want and spans_of(spark, texts) == want
 
 
 def test_passages_before_a_line_that_all_texts_hold_are_found(spark):
