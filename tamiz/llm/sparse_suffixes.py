@@ -7,7 +7,8 @@ their right across the cluster; a task compares each with its neighbours of othe
 does the same in the order of the words to the left. The longest match to either side bounds what any text can share with a
 suffix; where the neighbours' matches fill these bounds, as they do when few texts hold a seed, the suffix is done. Where they
 leave a gap (the longest match to the left and that to the right belong to different texts), or a seed's suffixes lie in several
-tasks or number more than ``GROUP``, the passages within the bounds are hashed and counted instead, so no neighbour is left out.
+tasks or number more than ``GROUP``, the passages within the bounds are hashed and counted instead, so no neighbour is left out:
+first among the suffixes that lie together, then across the cluster, with one row for all that are already known to repeat.
 """
 
 from __future__ import annotations
@@ -168,28 +169,46 @@ def bounds(seed: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray
     return first, last, gap
 
 
-_FOUND = "tid binary, place int, seed long, first int, last int, hash long"
+_FOUND = "tid binary, place int, seed long, first int, last int, hash long, many boolean"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_FOUND of suffixes sorted by seed and right: those that neighbours settle with null as hash, the passages of all others.
+    """_FOUND of suffixes sorted by seed and right: what is settled here with null as hash, the passages of all others.
 
-    The first and the last seed of a task may go on in another, so they count as not settled.
+    A passage that two texts of these rows hold is settled, and named once more, as held by many, for other tasks. The first and the last seed of a task may go on in another, so they count as not settled.
     """
-    def found(rows: pa.Table, first: np.ndarray, last: np.ndarray, hashes: np.ndarray | None) -> pa.RecordBatch:
+    def found(rows: pa.Table, first: np.ndarray, last: np.ndarray, hashes: np.ndarray | None = None, many: bool = False) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [*(rows[name].combine_chunks() for name in ("tid", "place", "seed")), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
-             pa.nulls(len(rows), pa.int64()) if hashes is None else pa.array(hashes.view(np.int64))], ["tid", "place", "seed", "first", "last", "hash"])
+             pa.nulls(len(rows), pa.int64()) if hashes is None else pa.array(hashes.view(np.int64)), pa.array(np.full(len(rows), many))],
+            ["tid", "place", "seed", "first", "last", "hash", "many"])
 
     def listed(rows: pa.Table, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(rows), ROWS):
-            some = rows.slice(k, ROWS)
+            some, who = rows.slice(k, ROWS), numbers(rows.slice(k, ROWS), "who")
             right, left = _unpacked(some["right"]), _unpacked(some["left"])
             hashes = passages(np.hstack([left[:, ::-1], right]).astype(np.uint64))[:, ::-1]  # by words before the suffix
             steps = np.arange(WINDOW)
             row, step = np.nonzero((steps >= first[k:k + ROWS, None]) & (steps <= last[k:k + ROWS, None]))
-            if len(row):
-                yield found(some.take(pa.array(row)), step, step, hashes[row, step])
+            if not len(row):
+                continue
+            order = np.lexsort((who[row], hashes[row, step], step))
+            row, step = row[order], step[order]
+            held, text = hashes[row, step], who[row]
+            begins = np.flatnonzero(np.r_[True, (step[1:] != step[:-1]) | (held[1:] != held[:-1])])
+            ends = np.r_[begins[1:], len(row)]
+            shared = text[begins] != text[ends - 1]
+            here = np.repeat(shared, ends - begins)
+            if here.any():
+                at = np.unique(row[here])
+                least, most = np.full(len(some), WINDOW), np.full(len(some), -1)
+                np.minimum.at(least, row[here], step[here])
+                np.maximum.at(most, row[here], step[here])
+                yield found(some.take(pa.array(at)), least[at], most[at])
+                one = begins[shared]
+                yield found(some.take(pa.array(row[one])), step[one], step[one], held[one], True)
+            if not here.all():
+                yield found(some.take(pa.array(row[~here])), step[~here], step[~here], held[~here])
 
     def numbers(rows: pa.Table, name: str) -> np.ndarray:
         return rows[name].to_numpy().astype(np.int64)
@@ -201,7 +220,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gap = np.isin(seed, seed[gap])
         if (some & ~gap).any():
             at = np.flatnonzero(some & ~gap)
-            yield found(rows.take(pa.array(at)), first[at], last[at], None)
+            yield found(rows.take(pa.array(at)), first[at], last[at])
         at = np.flatnonzero(some & gap)
         yield from listed(rows.take(pa.array(at)), first[at], last[at])
 
@@ -252,9 +271,9 @@ def repeated_stretches(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     suffixes = settle(suffixes, "suffix-contexts").withColumn("who", who)
     found = settle(suffixes.orderBy("seed", "right", "left", "tid").mapInArrow(_compare, _FOUND), "suffix-found")
     left_over = found.where("hash is not null")
-    repeated = left_over.groupBy("seed", "first", "hash").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a <> b")
+    repeated = left_over.groupBy("seed", "first", "hash").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.bool_or("many").alias("many")).where("many or a <> b")
     repeated = settle(repeated.select("seed", "first", "hash"), "suffix-repeated")
-    counted = left_over.join(repeated, ["seed", "first", "hash"], "left_semi").groupBy("tid", "place").agg(  # all of a place's passages hold its seed
+    counted = left_over.where("not many").join(repeated, ["seed", "first", "hash"], "left_semi").groupBy("tid", "place").agg(  # all of a place's passages hold its seed
         F.min("first").alias("first"), F.max("last").alias("last"))
     both = found.where("hash is null").select("tid", "place", "first", "last").unionByName(counted)
     return both.select("tid", (F.col("place") - F.col("last")).cast("long").alias("begin"), (F.col("place") - F.col("first") + LEAST).cast("long").alias("stop"))
