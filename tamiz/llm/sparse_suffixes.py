@@ -270,10 +270,10 @@ def repeated_stretches(texts: DataFrame, firsts: DataFrame) -> DataFrame:
         _contexts, "tid binary, place int, seed long, low int, high int, right binary, left binary")
     suffixes = settle(suffixes, "suffix-contexts").withColumn("who", who)
     found = settle(suffixes.orderBy("seed", "right", "left", "tid").mapInArrow(_compare, _FOUND), "suffix-found")
-    left_over = found.where("hash is not null")
-    repeated = left_over.groupBy("seed", "first", "hash").agg(F.min(who).alias("a"), F.max(who).alias("b"), F.bool_or("many").alias("many")).where("many or a <> b")
-    repeated = settle(repeated.select("seed", "first", "hash"), "suffix-repeated")
-    counted = left_over.where("not many").join(repeated, ["seed", "first", "hash"], "left_semi").groupBy("tid", "place").agg(  # all of a place's passages hold its seed
+    same = Window.partitionBy("seed", "first", "hash")  # a row or two to each ROWS suffixes that hold the passage, and a text's own repeats
+    left_over = found.where("hash is not null").withColumn("who", who).select(
+        "tid", "place", "first", "last", "many", (F.bool_or("many").over(same) | (F.min("who").over(same) < F.max("who").over(same))).alias("repeats"))
+    counted = left_over.where("repeats and not many").groupBy("tid", "place").agg(  # all of a place's passages hold its seed
         F.min("first").alias("first"), F.max("last").alias("last"))
     both = found.where("hash is null").select("tid", "place", "first", "last").unionByName(counted)
     return both.select("tid", (F.col("place") - F.col("last")).cast("long").alias("begin"), (F.col("place") - F.col("first") + LEAST).cast("long").alias("stop"))
