@@ -2,7 +2,8 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation estimates each labeller's
 accuracy without any truth, from the counts of vote patterns; the posterior of a pattern is the label of its documents. A linear
-model over hashed word shapes learns these labels and scores all documents.
+model over hashed word shapes learns these labels and scores all documents of ten words or more. Shorter texts keep their posterior
+as score, and no labeller votes bad on them; a text without words scores 0.
 """
 
 from __future__ import annotations
