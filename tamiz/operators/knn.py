@@ -5,8 +5,8 @@ Two exact physical forms, chosen by the size of the training table:
 * up to ``BROADCAST_ROWS`` rows (the live model is capped at 1000) the training matrix travels
   with a vectorised UDF and classification is a map-only projection over the queries;
 * above that, the index of ``metric_index``, which compares a query only with the cells that can hold a
-  neighbour. ``knn_neighbours`` is the plain block join: queries and training rows are hashed into blocks of
-  bounded size, each pair of blocks yields only its k best per query, and a second step merges those.
+  neighbour. ``knn_neighbours`` is the plain block join: queries and training rows are hashed into groups of
+  bounded size, each pair of groups is compared block by block and yields only its k best per query, and a second step merges those.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .metric_index import few_equals, index_neighbours
+from .metric_index import GROUP_ROWS, few_equals, index_neighbours, matrix, nearest, turns_of
 
 BROADCAST_ROWS = 20_000
 BLOCK_ROWS = 20_000
@@ -27,47 +27,34 @@ VOTE_TYPE = "struct<label:int,confidence:double,proba:array<double>>"
 
 
 def _vote_udf(vectors: list, labels: list, k: int, weights: str, n_classes: int):
-    @F.pandas_udf(VOTE_TYPE)
-    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        train = np.ascontiguousarray(np.asarray(vectors, dtype="float64").T)
+    @F.arrow_udf(VOTE_TYPE)
+    def vote(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        train = np.ascontiguousarray(np.asarray(vectors, dtype="float64"))
         classes = np.asarray(labels)
         near = min(k, len(classes))
         for batch in batches:
             out_label = np.ones(len(batch), dtype="int32")
             out_proba = np.zeros((len(batch), n_classes))
             if near and len(batch):
-                queries = np.stack([np.asarray(v, dtype="float64") for v in batch])
-                for lo in range(0, len(queries), 256):
-                    q = queries[lo:lo + 256]
-                    d2 = np.zeros((len(q), len(classes)))
-                    for j in range(train.shape[0]):
-                        diff = q[:, j, None] - train[j][None, :]
-                        d2 += diff * diff
-                    dist = np.sqrt(d2)
-                    rows = np.arange(len(q))
-                    picked = np.empty((len(q), near), dtype=int)
-                    best = np.empty((len(q), near))
-                    for n in range(near):  # argmin takes the lowest seq among ties
-                        picked[:, n] = dist.argmin(axis=1)
-                        best[:, n] = dist[rows, picked[:, n]]
-                        dist[rows, picked[:, n]] = np.inf
-                    if weights == "distance":
-                        zero = best == 0.0
-                        has_zero = zero.any(axis=1)[:, None]
-                        w = np.where(has_zero, zero.astype("float64"),
-                                     1.0 / np.where(zero, 1.0, best))
-                    else:
-                        w = np.ones_like(best)
-                    proba = np.zeros((len(q), n_classes))
-                    for c in range(n_classes):
-                        proba[:, c] = np.where(classes[picked] == c, w, 0.0).sum(axis=1)
-                    proba /= proba.sum(axis=1)[:, None]
-                    out_proba[lo:lo + 256] = proba
-                    out_label[lo:lo + 256] = proba.argmax(axis=1)
+                queries = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                picked, best = nearest(queries, train, near, nan_first=True)
+                if weights == "distance":
+                    zero = best == 0.0
+                    has_zero = zero.any(axis=1)[:, None]
+                    w = np.where(has_zero, zero.astype("float64"),
+                                 1.0 / np.where(zero, 1.0, best))
+                else:
+                    w = np.ones_like(best)
+                for c in range(n_classes):
+                    out_proba[:, c] = np.where(classes[picked] == c, w, 0.0).sum(axis=1)
+                out_proba /= out_proba.sum(axis=1)[:, None]
+                out_label = out_proba.argmax(axis=1).astype("int32")
             confidence = (out_proba[np.arange(len(batch)), out_label]
                           if near else np.zeros(len(batch)))
-            yield pd.DataFrame({"label": out_label, "confidence": confidence,
-                                "proba": list(out_proba)})
+            ends = pa.array(np.arange(len(batch) + 1, dtype="int32") * n_classes)
+            yield pa.StructArray.from_arrays(
+                [pa.array(out_label), pa.array(confidence), pa.ListArray.from_arrays(ends, pa.array(out_proba.ravel()))],
+                ["label", "confidence", "proba"])
 
     return vote
 
@@ -100,11 +87,15 @@ def _checked(vector: Column, width: int) -> Column:
 
 def knn_neighbours(queries: DataFrame, training: DataFrame, k: int = 5, id_col: str = "id",
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, seq, label, dist, rank): the k nearest training rows of every query, exactly."""
+    """(id, seq, label, dist, rank): the k nearest training rows of every query, exactly.
+
+    Groups hold ``block_rows`` rows at least where there are so many; no more are made than memory or idle cores ask for, because rows
+    are copied for every pair of groups.
+    """
     training = settle(few_equals(training, k), "knn-training")
     n_queries, n_training = queries.count(), training.count()
-    q_blocks = max(1, -(-n_queries // block_rows))
-    t_blocks = max(1, -(-n_training // block_rows))
+    t_blocks = max(1, -(-n_training // max(block_rows, GROUP_ROWS)))
+    q_blocks = turns_of(n_queries, t_blocks, block_rows, queries.sparkSession.sparkContext.defaultParallelism)
     q = queries.select(F.col(id_col).alias("id"), F.col("vector").cast("array<double>")).select(
         F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).alias("tb"), "id", "vector")
@@ -112,35 +103,19 @@ def knn_neighbours(queries: DataFrame, training: DataFrame, k: int = 5, id_col:
         F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
         F.pmod(F.xxhash64("seq"), F.lit(t_blocks)).cast("int").alias("tb"),
         "seq", "vector", F.col("label").cast("int").alias("label"))
-    id_type = q.schema["id"].dataType.simpleString()
-
-    def best_of_blocks(left, right):
-        columns = ["id", "seq", "label", "dist"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=columns)
-        right = right.sort_values("seq", ignore_index=True)
-        train = np.ascontiguousarray(np.stack(right["vector"]).T)
-        seqs, labels = right["seq"].to_numpy(), right["label"].to_numpy()
-        vectors, ids = np.stack(left["vector"]), left["id"].to_numpy()
-        near = min(k, len(seqs))
-        out = []
-        for lo in range(0, len(ids), 128):
-            part = vectors[lo:lo + 128]
-            d2 = np.zeros((len(part), len(seqs)))
-            for j in range(train.shape[0]):
-                diff = part[:, j, None] - train[j][None, :]
-                d2 += diff * diff
-            dist = np.sqrt(d2)
-            rows = np.arange(len(part))
-            for _ in range(near):
-                pick = dist.argmin(axis=1)
-                out.append(pd.DataFrame({"id": ids[lo:lo + 128], "seq": seqs[pick],
-                                         "label": labels[pick], "dist": dist[rows, pick]}))
-                dist[rows, pick] = np.inf
-        return pd.concat(out, ignore_index=True)
-
-    local = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(
-        best_of_blocks, f"id {id_type}, seq bigint, label int, dist double")
+    id_type, seq_type = (df.schema[c].dataType.simpleString() for df, c in ((q, "id"), (t, "seq")))
+
+    def best_of_blocks(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"id": left["id"].slice(0, 0), "seq": right["seq"].slice(0, 0), "label": pa.array([], pa.int32()), "dist": pa.array([], pa.float64())})
+        right = right.sort_by("seq")
+        found, dist = nearest(matrix(left), matrix(right), k, nan_first=True)
+        who, place = np.nonzero(found >= 0)
+        picked = right.take(pa.array(found[who, place]))
+        return pa.table({"id": left["id"].take(pa.array(who)), "seq": picked["seq"], "label": picked["label"], "dist": pa.array(dist[who, place])})
+
+    local = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInArrow(
+        best_of_blocks, f"id {id_type}, seq {seq_type}, label int, dist double")
     order = Window.partitionBy("id").orderBy("dist", "seq")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -176,9 +151,10 @@ def with_vote(rows: DataFrame, name: str, training: DataFrame, k: int = 5,
     if training.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.withColumn(name, knn_vote(F.col("vector"), training, k, weights, n_classes))
     width = len(training.select("vector").first()["vector"])
-    vectors = rows.select(_checked(F.col("vector"), width).alias("id")).distinct().withColumn("vector", F.col("id"))
-    votes = vote_neighbours(index_neighbours(vectors, training, k), weights, n_classes)
-    votes = votes.select(F.col("id").alias("_voted"), F.struct("label", "confidence", "proba").alias(name))
+    vectors = rows.select(_checked(F.col("vector"), width).alias("vector")).distinct().withColumn("id", F.monotonically_increasing_id())
+    vectors = settle(vectors, "knn-asked")
+    votes = vote_neighbours(index_neighbours(vectors, training, k), weights, n_classes).join(vectors, "id")
+    votes = votes.select(F.col("vector").alias("_voted"), F.struct("label", "confidence", "proba").alias(name))
     return rows.join(votes, F.col("vector").cast("array<double>") == F.col("_voted")).drop("_voted")
 
 

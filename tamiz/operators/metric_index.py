@@ -6,9 +6,11 @@ query q, a cell of pivot p whose rows lie between ``near`` and ``far`` from p ho
 * d(q, p) - far and near - d(q, p) (triangle inequality), and
 * (d(q, p) - d(q, p')) / 2 for the query's nearest pivot p' (its rows are closer to p than to p').
 
-A query is first compared with the cells next to it, until they hold k rows; the k-th distance found then rules out cells, and in the
-cells that are left the rows whose own distance to the pivot differs too much. What remains is compared exactly, so the
-answer is that of a full product. Data without structure rules out little and costs that product.
+A query is first compared with the cells next to it, until they hold k rows; the k-th distance found then rules out cells. It
+visits the cells that are left, and what remains is compared exactly, so the answer is that of a full product. Data without structure
+rules out little and costs that product, which is why neighbouring cells travel together: a query is sent once to a group of cells.
+
+Comparing is a matrix product first. Its rounding is bounded, and the rows it cannot rule out are measured component by component.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 
-#: Pivots at most, and rows of a cell or queries that meet in one task's block.
+#: Pivots at most, and the fewest rows or queries that a group is divided for.
 MAX_PIVOTS, BLOCK_ROWS = 512, 8192
+#: Rows, and queries, of a task's group at most, and those compared at a time.
+GROUP_ROWS, AT_ONCE = 32_768, (2048, 512)
 #: Slack for rounding where bounds are compared.
 _SLACK = 1e-9
 
@@ -33,13 +37,90 @@ _SLACK = 1e-9
 def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Euclidean distances, summed component by component so that they do not depend on the block."""
     out = np.zeros((len(left), len(right)))
-    for j in range(left.shape[1]):
-        diff = left[:, j, None] - right[None, :, j]
-        out += diff * diff
-    return np.sqrt(out)
+    for at in range(0, len(left), 256):
+        part, sums = left[at:at + 256], out[at:at + 256]
+        for j in range(left.shape[1]):
+            diff = part[:, j, None] - right[None, :, j]
+            sums += diff * diff
+    return np.sqrt(out, out)
+
 
+def nearest(ask: np.ndarray, train: np.ndarray, k: int, limits: np.ndarray | None = None, cells: np.ndarray | None = None,
+            visits: list[np.ndarray] | None = None, nan_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, distances), k to each query and nearest first, ties to the first row; -1 and infinity where fewer lie within its limit.
 
-def _matrix(table: pa.Table | pa.RecordBatch, name: str = "vector") -> np.ndarray:
+    With ``cells``, the cell of each row, a query is compared only with the rows of the cells in its ``visits``.
+    A distance that is no number comes last, or first (``nan_first``).
+    """
+    limits = np.full(len(ask), np.inf) if limits is None else limits
+    best_row, best = np.full((len(ask), k), -1, np.int64), np.full((len(ask), k), np.inf)
+    places = np.arange(len(train)) if cells is None else np.argsort(cells, kind="stable")
+    ask_2, train_2 = (ask * ask).sum(axis=1), (train * train).sum(axis=1)
+    finite = bool(np.isfinite(ask_2).all() and np.isfinite(train_2).all())
+    doubt = 8 * (ask.shape[1] + 8) * np.finfo(float).eps * (ask_2 + train_2.max(initial=0))
+    blocks = []
+    for at in range(0, len(places), AT_ONCE[0]):
+        rows = places[at:at + AT_ONCE[0]]
+        blocks.append((rows, train[rows], train_2[rows], None if cells is None else np.unique(cells[rows], return_inverse=True)))
+    for begin in range(0, len(ask), AT_ONCE[1]):
+        part = np.arange(begin, min(len(ask), begin + AT_ONCE[1]))
+        reach = limits[part].copy()
+        asked = None
+        if cells is not None:
+            asked = np.zeros((len(part), 1 + max(int(x.max(initial=0)) for x in (cells, *(visits[i] for i in part)))), bool)
+            for n, i in enumerate(part):
+                asked[n, visits[i]] = True
+        for rows, vectors, squares, held in blocks:
+            some, mask = np.arange(len(part)), None
+            if held is not None:
+                open_ = asked[:, held[0]]
+                some = np.flatnonzero(open_.any(axis=1))
+                if not len(some):
+                    continue
+                mask = None if open_[some].all() else open_[some][:, held[1]]
+            at = part[some]
+            if finite:
+                near = ask[at] @ vectors.T
+                near *= -2
+                near += squares
+                near += ask_2[at, None]
+                if mask is not None:
+                    near[~mask] = np.inf
+                bound = reach[some] ** 2
+                if len(rows) > k and np.isinf(bound).any():
+                    bound = np.minimum(bound, np.partition(near, k - 1, axis=1)[:, k - 1] + doubt[at])
+                who, col = np.nonzero(near <= (bound + doubt[at])[:, None])
+                if mask is not None:
+                    allowed = mask[who, col]
+                    who, col = who[allowed], col[allowed]
+                apart = np.zeros(len(who))
+                for left, right in zip(ask[at[who]].T, vectors[col].T):
+                    diff = left - right
+                    apart += diff * diff
+                apart = np.sqrt(apart)
+            else:
+                apart = distances(ask[at], vectors)
+                who, col = np.nonzero(np.ones_like(apart, bool) if mask is None else mask)
+                apart = apart[who, col]
+            within = (apart <= reach[some][who]) | (np.isnan(apart) if nan_first else False)
+            who, row, apart = some[who[within]], rows[col[within]], apart[within]
+            if not len(who):
+                continue
+            kept_who, kept_at = np.nonzero(best_row[part] >= 0)
+            who = np.concatenate([kept_who, who])
+            row = np.concatenate([best_row[part][kept_who, kept_at], row])
+            apart = np.concatenate([best[part][kept_who, kept_at], apart])
+            order = np.lexsort((row, np.where(np.isnan(apart), -np.inf, apart), who))
+            who, row, apart = who[order], row[order], apart[order]
+            rank = np.arange(len(who)) - np.searchsorted(who, who)
+            first = rank < k
+            best_row[part[who[first]], rank[first]], best[part[who[first]], rank[first]] = row[first], apart[first]
+            full = best_row[part, k - 1] >= 0
+            reach[full] = np.fmin(reach[full], best[part[full], k - 1])
+    return best_row, best
+
+
+def matrix(table: pa.Table | pa.RecordBatch, name: str = "vector") -> np.ndarray:
     column = table[name]
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
@@ -91,9 +172,8 @@ def build_index(training: DataFrame, max_pivots: int = MAX_PIVOTS) -> tuple[Data
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                apart = distances(_matrix(batch), pivots)
-                cell = apart.argmin(axis=1)
-                yield batch.append_column("cell", pa.array(cell, pa.int32())).append_column("radius", pa.array(apart[np.arange(len(cell)), cell]))
+                cell, radius = (x[:, 0] for x in nearest(matrix(batch), pivots, 1, nan_first=True))
+                yield batch.append_column("cell", pa.array(cell, pa.int32())).append_column("radius", pa.array(radius))
 
     kind = training.schema["seq"].dataType.simpleString()
     index = settle(training.mapInArrow(place, f"seq {kind}, vector array<double>, label int, cell int, radius double"), "knn-index")
@@ -103,70 +183,102 @@ def build_index(training: DataFrame, max_pivots: int = MAX_PIVOTS) -> tuple[Data
     return index, Cells(pivots, rows, near, far)
 
 
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
+
 def _routed(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
     """queries(id, vector, limit) plus cells: those to visit. Without a limit the home cells, with one all others it allows."""
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            apart = distances(_matrix(batch), cells.pivots)
+            apart = distances(matrix(batch), cells.pivots)
             home = cells.home(apart, k)
             if batch["limit"].null_count == batch.num_rows:
-                visits = [h.tolist() for h in home]
+                visits, ends = np.concatenate(home), np.cumsum([0, *map(len, home)])
             else:
                 open_ = cells.within(apart, batch["limit"].fill_null(np.inf).to_numpy(zero_copy_only=False))
                 for row, h in zip(open_, home):
                     row[h] = False
-                visits = [np.flatnonzero(row).tolist() for row in open_]
-            yield batch.append_column("cells", pa.array(visits, pa.list_(pa.int32())))
+                visits, ends = np.nonzero(open_)[1], np.concatenate([[0], open_.sum(axis=1).cumsum()])
+            yield batch.append_column("cells", _lists(visits, ends))
 
     kind = queries.schema["id"].dataType.simpleString()
     return queries.mapInArrow(route, f"id {kind}, vector array<double>, limit double, cells array<int>")
 
 
+def turns_of(queries: int, held: int, block_rows: int, cores: int) -> int:
+    """Into how many parts the queries of one of ``held`` groups of rows go: no more than memory or idle cores ask for."""
+    room = max(block_rows, GROUP_ROWS)
+    return max(1, -(-queries // room), min(-(-queries // block_rows), -(-2 * cores // held)))
+
+
+def _groups(sizes: list[int], room: int) -> list[int]:
+    """The number of each cell's group: cells in a row that hold ``room`` rows together, or one larger cell."""
+    groups, at, held = [], 0, 0
+    for n in sizes:
+        if held and held + n > room:
+            at, held = at + 1, 0
+        groups.append(at)
+        held += n
+    return groups
+
+
 def _met(index: DataFrame, cells: Cells, routed: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """(id, seq, label, dist): the k best of each block that a query visits."""
-    asked = {r["cell"]: r["n"] for r in routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """(id, seq, label, dist): the k best that a query finds in each group of cells that it visits."""
+    room = max(block_rows, GROUP_ROWS)
+    of_cell = _groups([int(n) for n in cells.rows], room)
+    held = [0] * (of_cell[-1] + 1)
+    for g, n in zip(of_cell, cells.rows):
+        held[g] += int(n)
 
-    def blocks(counts) -> Column:
-        return F.element_at(F.array(*[F.lit(max(1, -(-int(n) // block_rows))) for n in counts]), F.col("cell") + 1)
+    def of(values) -> Column:
+        return F.array(*[F.lit(int(v)) for v in values])
 
-    held, turns = blocks(cells.rows), blocks([asked.get(c, 0) for c in range(len(cells.rows))])
-    left = index.withColumn("block", F.pmod(F.xxhash64("seq"), held).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1)))
-    right = routed.select("id", "vector", "limit", F.explode("cells").alias("cell"))
-    right = right.withColumn("turn", F.pmod(F.xxhash64("id"), turns).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), held - 1)))
+    numbers = np.array(of_cell, np.int32)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each group that a query visits, with its cells there."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                cell, row = part["cells"].flatten().to_numpy(), np.repeat(np.arange(len(part)), part["cells"].value_lengths().to_numpy())
+                order = np.lexsort((cell, row))
+                cell, row = cell[order], row[order]
+                begins = np.flatnonzero(np.diff(row * len(numbers) + numbers[cell], prepend=-1))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part[c].take(pa.array(row[begins])) for c in part.schema.names if c != "cells"),
+                     _lists(cell, np.append(begins, len(cell))), pa.array(numbers[cell[begins]])],
+                    [*(c for c in part.schema.names if c != "cells"), "cells", "group"])
+
+    counts = routed.select("cells").mapInArrow(spread, "cells array<int>, group int").groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    asked = {r["group"]: r["n"] for r in counts.collect()}
     id_kind, seq_kind = routed.schema["id"].dataType.simpleString(), index.schema["seq"].dataType.simpleString()
 
-    def compare(key: tuple, rows: pa.Table, wanted: pa.Table) -> pa.Table:
-        empty = pa.table({"id": wanted["id"].slice(0, 0), "seq": rows["seq"].slice(0, 0), "label": pa.array([], pa.int32()), "dist": pa.array([], pa.float64())})
+    parts = [max(1, -(-n // room)) for n in held]
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    turns = [turns_of(asked.get(g, 0), sum(parts), block_rows, cores) for g in range(len(held))]
+    parts, turns = (F.element_at(of(x), F.col("group") + 1) for x in (parts, turns))
+    left = index.withColumn("group", F.element_at(of(of_cell), F.col("cell") + 1)).withColumn("block", F.pmod(F.xxhash64("seq"), parts).cast("int"))
+    left = left.withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1)))
+    right = routed.select("id", "vector", "limit", "cells").mapInArrow(
+        spread, f"id {id_kind}, vector array<double>, limit double, cells array<int>, group int")
+    right = right.withColumn("turn", F.pmod(F.xxhash64("id"), turns).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+    def compare(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         if not rows.num_rows or not wanted.num_rows:
-            return empty
+            return pa.table({"id": wanted["id"].slice(0, 0), "seq": rows["seq"].slice(0, 0), "label": pa.array([], pa.int32()), "dist": pa.array([], pa.float64())})
         rows = rows.sort_by("seq")
-        train, radius, ask = _matrix(rows), rows["radius"].to_numpy(), _matrix(wanted)
-        limits = wanted["limit"].fill_null(np.inf).to_numpy()
-        to_pivot = distances(ask, cells.pivots[[key[0].as_py()]])[:, 0]
-        out_id, out_row, out_dist = [], [], []
-        for at in range(0, len(ask), 256):
-            part = slice(at, at + 256)
-            reach = (limits[part] * (1 + _SLACK) + _SLACK)[:, None]
-            open_ = np.abs(to_pivot[part, None] - radius[None, :]) <= reach
-            some = np.flatnonzero(open_.any(axis=0))
-            if not len(some):
-                continue
-            apart = np.where(open_[:, some], distances(ask[part], train[some]), np.inf)
-            order = np.argsort(apart, axis=1, kind="stable")[:, :k]
-            best = np.take_along_axis(apart, order, 1)
-            who, place = np.nonzero(best <= reach)
-            out_id.append(at + who)
-            out_row.append(some[order[who, place]])
-            out_dist.append(best[who, place])
-        if not out_id:
-            return empty
-        picked = rows.take(pa.array(np.concatenate(out_row)))
-        return pa.table({"id": wanted["id"].take(pa.array(np.concatenate(out_id))), "seq": picked["seq"], "label": picked["label"],
-                         "dist": pa.array(np.concatenate(out_dist))})
-
-    keys = ("cell", "block", "turn")
+        limits = wanted["limit"].fill_null(np.inf).to_numpy() * (1 + _SLACK) + _SLACK
+        to_visit = wanted["cells"].combine_chunks()
+        visits = np.split(to_visit.flatten().to_numpy(), np.cumsum(to_visit.value_lengths().to_numpy())[:-1])
+        found, dist = nearest(matrix(wanted), matrix(rows), k, limits, rows["cell"].to_numpy(), visits)
+        who, place = np.nonzero(found >= 0)
+        picked = rows.take(pa.array(found[who, place]))
+        return pa.table({"id": wanted["id"].take(pa.array(who)), "seq": picked["seq"], "label": picked["label"], "dist": pa.array(dist[who, place])})
+
+    keys = ("group", "block", "turn")
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, f"id {id_kind}, seq {seq_kind}, label int, dist double")
 
 

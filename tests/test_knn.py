@@ -115,3 +115,38 @@ def test_index_of_few_rows_and_of_none(spark):
     two = spark.createDataFrame([(7, [1.0, 0.0], 2), (9, [3.0, 0.0], 0)], "seq bigint, vector array<double>, label int")
     assert rows_of(metric_index.index_neighbours(q, two, 5)) == [(0, 1, 7, 1.0), (0, 2, 9, 3.0), (1, 1, 9, 2.0), (1, 2, 7, 4.0)]
     assert metric_index.index_neighbours(q, two.limit(0), 5).count() == 0 and metric_index.index_neighbours(q.limit(0), two, 5).count() == 0
+
+
+def test_comparing_by_a_product_gives_the_distances_of_every_pair(monkeypatch):
+    monkeypatch.setattr(metric_index, "AT_ONCE", (50, 30))
+    rng = np.random.default_rng(8)
+    train = np.round(rng.normal(0, 1, (400, 5)), 1) + 1e6  # ties, and a product that loses most digits
+    ask = np.vstack([train[::7], np.round(rng.normal(0, 1, (40, 5)), 1) + 1e6])
+    apart, cells = metric_index.distances(ask, train), rng.integers(0, 12, 400)
+    visits = [np.sort(rng.choice(12, n % 13, replace=False)).astype("int32") for n in range(len(ask))]
+    for limits in (np.full(len(ask), np.inf), rng.uniform(0, 2, len(ask))):
+        for use in (False, True):
+            rows, dist = metric_index.nearest(ask, train, 5, limits, *((cells, visits) if use else ()))
+            for n in range(len(ask)):
+                open_ = (apart[n] <= limits[n]) & (np.isin(cells, visits[n]) if use else True)
+                want = [i for i in np.lexsort((np.arange(400), apart[n])) if open_[i]][:5]
+                assert rows[n][rows[n] >= 0].tolist() == want
+                assert dist[n][:len(want)].tolist() == apart[n][want].tolist()
+    train[3, 2] = np.inf  # no product: every pair is measured
+    rows, _ = metric_index.nearest(ask, train, 2)
+    assert rows[0].tolist() == np.lexsort((np.arange(400), metric_index.distances(ask[:1], train)[0]))[:2].tolist()
+
+
+def test_groups_are_no_more_than_memory_or_cores_ask_for(spark, monkeypatch):
+    """Blocks of 200 rows would send each of 120,000 queries 2,400 times."""
+    assert metric_index.turns_of(120_000, 15, 200, 12) == 4 and metric_index.turns_of(120_000, 1, 200, 12) == 24
+    assert metric_index.turns_of(0, 1, 200, 12) == 1 and metric_index.turns_of(150, 1, 200, 12) == 1
+    _, _, _, q, t = make(spark, 5)
+    want = rows_of(knn.knn_neighbours(q, t, 5))
+    for module in (knn, metric_index):
+        monkeypatch.setattr(module, "GROUP_ROWS", 30)
+    assert rows_of(knn.knn_neighbours(q, t, 5, block_rows=10)) == want
+    assert rows_of(metric_index.index_neighbours(q, t, 5, max_pivots=20, block_rows=10)) == want
+    monkeypatch.setattr(knn, "BROADCAST_ROWS", 100)
+    votes = {r["id"]: tuple(r) for r in knn.knn_classify(q.unionByName(q.withColumn("id", F.col("id") + 1000)), t, 5, "distance", 4).collect()}
+    assert len(votes) == 2 * q.count() and all(votes[i][1:] == votes[i + 1000][1:] for i in votes if i < 1000)
