@@ -12,7 +12,7 @@ from tamiz.functions import scoring as SC
 from tamiz.functions import signals as S
 from tamiz.functions import text as T
 from tamiz.operators import domains, parsing
-from tamiz.session import settle
+from tamiz.session import bounded_batches, settle
 
 from . import derived as D
 from .closed_form import FEATURE_SQL, derived
@@ -473,7 +473,7 @@ def edit_distance(spark, sf):
     SELECT doc_id, CAST(length(regexp_replace(strip_accents(substr(text, 1)), '[^ -~\\n\\r\\t]', '', 'g')) AS BIGINT) AS chars
     FROM documents""")
 def normalize_homograph(spark, sf):
-    return D.spread(D.table(spark, sf, "documents")).select(
+    return D.spread(D.table(bounded_batches(spark), sf, "documents")).select(
         "doc_id", F.length(T.normalize_homograph(F.col("text"))).cast("long").alias("chars"))
 
 

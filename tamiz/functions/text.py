@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Callable, Sequence
 from functools import reduce
 from html.entities import html5
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -230,8 +231,10 @@ def edit_distance(a: Column, b: Column) -> Column:
 
 def normalize_homograph(domain: Column) -> Column:
     """NFKD-normalise and drop what is not ASCII (no built-in function does this)."""
-    @F.pandas_udf("string")
-    def nfkd_ascii(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+    @F.arrow_udf("string")
+    def nfkd_ascii(texts: pa.Array) -> pa.Array:
+        plain = (None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore") for x in (t.as_py() for t in texts))
+        return pa.array(plain, pa.binary()).cast(pa.string())
 
-    return nfkd_ascii(domain)
+    # What is ASCII already stays as it is and is not sent to Python.
+    return F.coalesce(nfkd_ascii(F.when(F.regexp_like(domain, F.lit(r"[^\x00-\x7F]")), domain)), domain)

@@ -16,6 +16,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> SparkSession:
+    """Limit what a Python worker is sent at once by bytes, for columns of whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 

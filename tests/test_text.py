@@ -3,8 +3,12 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from tamiz.constants import WS_CHARS
 from tamiz.functions import text as T
+from tamiz.session import bounded_batches
 
 
 def test_strip_matches_str_strip(column):
@@ -69,3 +73,23 @@ def test_normalize_homograph(column):
     values = ["exámple.com", "ｅｘample.com", "раypal.com", "plain"]
     expected = [unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode() for v in values]
     assert column(values, T.normalize_homograph) == expected
+
+
+def test_texts_go_to_python_in_batches_of_few_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        texts = bounded_batches(spark, 1 << 20).range(0, 300, 1, 1).select(F.repeat(F.lit("é"), 20_000).alias("text"))
+        assert texts.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 2 << 20  # 12 MB in all
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
+def test_normalize_homograph_is_sent_only_what_is_not_ascii(spark, column):
+    values = ["plain\x00 \x7f", "", None, "½ﬁ", "e\u0301\u0323", "가x", "\U0001d400"]
+    assert column(values, T.normalize_homograph) == ["plain\x00 \x7f", "", None, "12fi", "e", "x", "A"]
+    plan = spark.createDataFrame([("a",)], "t string").select(T.normalize_homograph(F.col("t")))._jdf.queryExecution().toString()
+    assert "RLIKE" in plan.upper() or "REGEXP" in plan.upper()
