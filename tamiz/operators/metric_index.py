@@ -123,6 +123,8 @@ def nearest(ask: np.ndarray, train: np.ndarray, k: int, limits: np.ndarray | Non
 def matrix(table: pa.Table | pa.RecordBatch, name: str = "vector") -> np.ndarray:
     column = table[name]
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if column.null_count or len(np.unique(column.value_lengths())) > 1:
+        raise ValueError("vectors must not be null and have one width")
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -150,3 +151,11 @@ def test_groups_are_no_more_than_memory_or_cores_ask_for(spark, monkeypatch):
     monkeypatch.setattr(knn, "BROADCAST_ROWS", 100)
     votes = {r["id"]: tuple(r) for r in knn.knn_classify(q.unionByName(q.withColumn("id", F.col("id") + 1000)), t, 5, "distance", 4).collect()}
     assert len(votes) == 2 * q.count() and all(votes[i][1:] == votes[i + 1000][1:] for i in votes if i < 1000)
+
+
+def test_null_and_uneven_vectors_are_refused():
+    kind = pa.list_(pa.float64())
+    assert metric_index.matrix(pa.table({"vector": pa.array([[1.0, 2.0], [3.0, None]], kind)})).shape == (2, 2)
+    for odd in ([[1.0] * 4, None], [[1.0], [2.0, 3.0, 4.0]]):
+        with pytest.raises(ValueError):
+            metric_index.matrix(pa.table({"vector": pa.array(odd, kind)}))
