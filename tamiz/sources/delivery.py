@@ -27,8 +27,8 @@ from . import files, sinks
 
 MESSAGE = "message_id string, channel string, recipient string, payload string"
 _FIELDS = [f.split()[0] for f in MESSAGE.split(", ")]
-#: Messages to a data file at most.
-ROWS = 50_000
+#: Messages to a data file at most, and those turned into text at a time.
+ROWS, AT_ONCE = 50_000, 500
 
 
 @dataclass
@@ -58,19 +58,32 @@ class _Box:
     def put(self, rows: list[dict]) -> str:
         name = f"{uuid.uuid4().hex}.json"
         with self.store.open_output_stream(f"{self.base}/data/{name}") as f:
-            f.write("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows).encode())
+            f.write(self._lines(rows))
         return name
 
+    @staticmethod
+    def _lines(rows: list[dict]) -> bytes:
+        return "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows).encode()
+
     def file(self, batches: Iterator[pa.RecordBatch]) -> Filed:
-        """Writes a task's messages."""
-        rows, written = [], []
-        for batch in batches:
-            rows += batch.select(_FIELDS).to_pylist()
-            while len(rows) >= ROWS:
-                written.append((self.put(rows[:ROWS]), ROWS))
-                rows = rows[ROWS:]
-        if rows:
-            written.append((self.put(rows), len(rows)))
+        """Writes a task's messages, a few at a time, whatever the size of a file."""
+        written, out = [], None
+        try:
+            for batch in batches:
+                batch, at = batch.select(_FIELDS), 0
+                while at < batch.num_rows:
+                    if out is None or written[-1][1] == ROWS:
+                        if out is not None:
+                            out.close()
+                        written.append((f"{uuid.uuid4().hex}.json", 0))
+                        out = self.store.open_output_stream(f"{self.base}/data/{written[-1][0]}")
+                    name, rows = written[-1]
+                    part = batch.slice(at, min(AT_ONCE, ROWS - rows))
+                    out.write(self._lines(part.to_pylist()))
+                    written[-1], at = (name, rows + part.num_rows), at + part.num_rows
+        finally:
+            if out is not None:
+                out.close()
         return Filed(written)
 
     def publish(self, batch: str, messages: list[Filed | None]) -> None:

@@ -1,7 +1,9 @@
 """Messages that leave the system: once each, whatever is repeated or fails on the way."""
 
+import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +78,18 @@ def test_messages_of_analyses(spark):
     assert counts.get("alert", 0) == counts.get("case", 0) == classes.get("sospechoso", 0)
     assert counts.get("webhook-spam", 0) == classes.get("spam", 0) and counts.get("webhook-legitimo", 0) == classes.get("legitimo", 0)
     assert counts["notice"] == done.where("reporter_email <> ''").count()
+
+
+def test_few_messages_are_held_as_text_at_a_time(tmp_path, monkeypatch):
+    monkeypatch.setattr(delivery, "ROWS", 5)
+    monkeypatch.setattr(delivery, "AT_ONCE", 2)
+    box, held, lines = delivery._Box(str(tmp_path)), [], delivery._Box._lines
+    box.prepare()
+    monkeypatch.setattr(delivery._Box, "_lines", staticmethod(lambda rows: held.append(len(rows)) or lines(rows)))
+    names = ["message_id", "channel", "recipient", "payload"]
+    batches = [pa.RecordBatch.from_pydict({c: [f"{c}{i}é" for i in range(*part)] for c in names}) for part in ((0, 4), (4, 4), (4, 12))]
+    written = box.file(iter(batches)).written
+    assert [n for _, n in written] == [5, 5, 2] and max(held) <= 2
+    read = [json.loads(x) for name, _ in written for x in (tmp_path / "data" / name).read_text(encoding="utf-8").splitlines()]
+    assert [r["message_id"] for r in read] == [f"message_id{i}é" for i in range(12)]
+    assert box.file(iter([])).written == []
