@@ -25,6 +25,8 @@ SHINGLE = 5
 SKETCHES, LENGTH = 16, 3
 #: Hubs that a group's members are compared with in turn; after that, open pairs are looked up by their rarest labels.
 HUBS = 2
+#: Texts that a text meets in one label in the first of these turns; each turn has this many times as many as the one before.
+MEETINGS = 16
 #: Largest table, in rows, that is sent to every task; a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -183,11 +185,11 @@ def _rooted(df: DataFrame, roots: DataFrame, tid: str, root: str) -> DataFrame:
     return df.join(named, tid, "left").withColumn(root, F.coalesce("_root", tid)).drop("_root")
 
 
-def _rare_pairs(rows: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (hub, tid, hub_size, size) of rows(tid, size, root) of different roots that may reach the similarity.
+def _rare_labels(rows: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(label, tid, size, left): the labels that decide which of rows(tid, size) may reach the similarity.
 
     Of two texts that do, each holds one of the other's labels among the rarest part of its own, ``1 - similarity`` and one label more.
-    Labels of one text only come first in that part and meet nothing. A pair's first common label also bounds how many may follow it.
+    Labels of one text only come first in that part and meet nothing. ``left`` labels of the text come after this one.
     """
     found = labels.join(rows.select("tid"), "tid", "left_semi").mapInArrow(_occurrences, "tid binary, label long")
     found = settle(found, "omh-occurrences")
@@ -196,14 +198,35 @@ def _rare_pairs(rows: DataFrame, labels: DataFrame, similarity: float) -> DataFr
     shared = found.join(counts, "label").withColumns({
         "place": F.row_number().over(text.orderBy("n", "label")), "shared": F.count("*").over(text)})
     rank = F.col("place") + F.col("size") - F.col("shared")
-    rare = shared.join(rows, "tid").withColumn("left", F.col("size") - rank).where(
-        F.col("left") >= F.ceil(F.lit(similarity) * F.col("size") - 1e-9) - 1).select("label", "tid", "size", "root", "left")
-    rare = settle(rare, "omh-rare")
-    other = rare.select("label", *[F.col(c).alias(f"a_{c}") for c in ("tid", "size", "root", "left")])
+    rare = shared.join(rows.select("tid", "size"), "tid").withColumn("left", F.col("size") - rank).where(
+        F.col("left") >= F.ceil(F.lit(similarity) * F.col("size") - 1e-9) - 1).select("label", "tid", "size", "left")
+    return settle(rare, "omh-rare")
+
+
+def _open_labels(rare: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rare`` with each text's root, for labels of more than one; ``main`` is the root of most of a label's ``texts``."""
+    rooted = _rooted(rare, roots, "tid", "root")
+    sizes = rooted.groupBy("label", "root").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("label").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("texts")).where("roots > 1")
+    return settle(rooted.join(mains.drop("roots"), "label"), "omh-open")
+
+
+def _crossed(found: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Distinct pairs (hub, tid, hub_size, size) of different roots that share a rare label and may reach the similarity.
+
+    A label's texts are dealt to blocks of about ``width`` and meet those of their block only; with no more texts than ``width`` they all
+    meet. Texts of the main root meet only others. A pair's first common label bounds how many may follow it.
+    """
+    blocks = F.ceil(F.col("texts") / width)
+    dealt = found.withColumn("block", F.pmod(F.xxhash64("label", "tid", F.lit(width)), blocks))
+    strays = dealt.where("root <> main").select("label", "block", *[F.col(c).alias(f"a_{c}") for c in ("tid", "size", "root", "left")])
     least = (F.col("a_size") + F.col("size")) * similarity / (1 + similarity) - 1e-9
-    open_ = (F.col("a_tid") < F.col("tid")) & (F.col("a_root") != F.col("root")) & (1 + F.least("a_left", "left") >= least)
-    return other.join(rare, "label").where(open_).select(
-        F.col("a_tid").alias("hub"), "tid", F.col("a_size").alias("hub_size"), "size").distinct()
+    once = (F.col("root") == F.col("main")) | (F.col("a_tid") < F.col("tid"))
+    met = strays.join(dealt, ["label", "block"]).where(once & (F.col("a_root") != F.col("root")) & (1 + F.least("a_left", "left") >= least))
+    one, two = F.struct(F.col("a_tid").alias("tid"), F.col("a_size").alias("size")), F.struct("tid", "size")
+    return met.select(F.least(one, two).alias("low"), F.greatest(one, two).alias("high")).select(
+        F.col("low.tid").alias("hub"), F.col("high.tid").alias("tid"), F.col("low.size").alias("hub_size"), F.col("high.size").alias("size")).distinct()
 
 
 def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame:
@@ -212,8 +235,9 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
     Two texts of at least ``similarity`` are linked. Texts with an equal sketch form a group, and each member is compared with the
     group's hub first. A group is done once all its members have one root. What else may be
     linked goes on without the hub: members of another root than the hub, and those that by the triangle inequality may be similar to
-    one of these. After ``HUBS`` hubs the members of groups that still have several roots are paired by their rarest labels. ``labels`` makes
-    (tid, labels) of (tid) rows; it is called once.
+    one of these. After ``HUBS`` hubs the members of groups that still have several roots are paired by their rarest labels, in turns: a
+    label's texts meet few others first, then ever more, at last all that are of another root still. A large cluster linked by
+    chains so becomes one root before its pairs are written out. ``labels`` makes (tid, labels) of (tid) rows; it is called once.
     """
     spark = texts.sparkSession
     keys = F.posexplode("keys").alias("j", "sketch")
@@ -248,8 +272,16 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
         members = settle(_stars(active.select("key", "tid", "size", "root")), "omh-group")
         if not members.limit(1).count():
             return roots
-    rest = members.select("tid", "size", "root").unionByName(members.select(F.col("hub").alias("tid"), F.col("hub_size").alias("size"), F.col("hub_root").alias("root")))
-    return compared(_rare_pairs(settle(rest.distinct(), "omh-rest"), content, similarity), roots, done)[1]
+    rest = members.select("tid", "size").unionByName(members.select(F.col("hub").alias("tid"), F.col("hub_size").alias("size")))
+    rare = _rare_labels(settle(rest.distinct(), "omh-rest"), content, similarity)
+    width = MEETINGS
+    while True:
+        found = _open_labels(rare, roots)
+        most = found.agg(F.max("texts")).first()[0] or 0
+        done, roots = compared(_crossed(found, similarity, width), roots, done)
+        if width >= most:
+            return roots
+        width *= MEETINGS
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

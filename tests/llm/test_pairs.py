@@ -112,6 +112,35 @@ def test_a_family_just_below_the_threshold_equals_brute_force(spark, monkeypatch
     assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(documents(spark, texts)).collect()} == want
 
 
+def test_a_large_cluster_linked_by_chains_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """One group of texts that are about 0.77 alike and become one class by the few pairs of more than 0.8."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(240):
+        words = [f"base{i}" for i in range(150)]
+        for at in rng.sample(range(5, 145), 2):
+            words[at] = f"own{k}x{at}"
+        texts.append(words)
+    whole = np.array([[hash(tuple(t[i:i + 5])) for i in range(146)] for t in texts])  # equal shingles stand at equal places
+    same = (whole[:, None] == whole[None]).sum(axis=2)
+    near = same / (2 * 146 - same) >= 0.8
+    want = classes([(a, b) for a, b in combinations(range(len(texts)), 2) if near[a, b]], range(len(texts)))
+    assert near.mean() < 0.15 and len(set(want.values())) < 10
+    compared = []
+
+    def counted(pairs, labels, least, plain=order_minhash._verify):
+        out = plain(pairs, labels, least).localCheckpoint()
+        compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(order_minhash, "_verify", counted)
+    monkeypatch.setattr(order_minhash, "MEETINGS", 2, raising=False)
+    monkeypatch.setattr(order_minhash, "sketched", lambda docs, plain=order_minhash.sketched: plain(docs).selectExpr("doc_id", "tid", "size", "array(1L) as keys"))
+    docs = documents(spark, [" ".join(t) for t in texts])
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()} == want
+    assert sum(compared) < 240 * 239 / 2 / 3
+
+
 def test_one_row_of_each_class_stays(spark):
     texts = ["one two three four five six", "one two three four five six", "another text of some six words", None, ""]
     df = documents(spark, texts).unionByName(documents(spark, texts[:1])).unionByName(documents(spark, ["same id, not the same words here"]))
