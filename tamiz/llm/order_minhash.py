@@ -25,7 +25,8 @@ SHINGLE = 5
 SKETCHES, LENGTH = 16, 3
 #: Hubs that a group's members are compared with in turn; after that, open pairs are looked up by their rarest labels.
 HUBS = 2
-#: Texts that a text meets in one label in the first of these turns; each turn has this many times as many as the one before.
+#: Texts that a text meets in one label in the first of these turns; each turn has this many times as many as the one before, or more
+#: where all meetings together stay below ``MEETINGS`` squared times the texts that meet.
 MEETINGS = 16
 #: Largest table, in rows, that is sent to every task; a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -235,9 +236,10 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
     Two texts of at least ``similarity`` are linked. Texts with an equal sketch form a group, and each member is compared with the
     group's hub first. A group is done once all its members have one root. What else may be
     linked goes on without the hub: members of another root than the hub, and those that by the triangle inequality may be similar to
-    one of these. After ``HUBS`` hubs the members of groups that still have several roots are paired by their rarest labels, in turns: a
-    label's texts meet few others first, then ever more, at last all that are of another root still. A large cluster linked by
-    chains so becomes one root before its pairs are written out. ``labels`` makes (tid, labels) of (tid) rows; it is called once.
+    one of these. After ``HUBS`` hubs, or one that leaves more than half of the members, those of groups that still have several roots
+    are paired by their rarest labels, in turns: a label's texts meet few others first, then ever more, at last all that are of another
+    root still. A large cluster linked by chains so becomes one root before its pairs are written out. ``labels`` makes (tid, labels) of
+    (tid) rows; it is called once.
     """
     spark = texts.sparkSession
     keys = F.posexplode("keys").alias("j", "sketch")
@@ -253,7 +255,7 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
         """Everything compared so far, and the roots with the new links."""
         if done is not None:
             pairs = pairs.join(done, ["hub", "tid"], "left_anti")
-        fresh = settle(_verify(pairs, content, similarity), "omh-compared")
+        fresh = settle(_verify(settle(pairs, "omh-pairs"), content, similarity), "omh-compared")
         links = fresh.where(F.col("similarity") >= similarity)
         links = _rooted(_rooted(links, roots, "hub", "a"), roots, "tid", "b").select("a", "b")
         joined = components(links, "omh").select(F.col("node").alias("at"), F.col("root").alias("to"))
@@ -269,15 +271,20 @@ def near_classes(texts: DataFrame, labels, similarity: float = 0.8) -> DataFrame
         apart = F.col("root") != F.col("hub_root")
         closest = judged.where(apart).groupBy("key").agg(F.min("near").alias("closest"))
         active = judged.join(closest, "key").where(apart | (F.col("closest") - F.col("far") <= reach))
-        members = settle(_stars(active.select("key", "tid", "size", "root")), "omh-group")
+        before, members = members.count(), settle(_stars(active.select("key", "tid", "size", "root")), "omh-group")
         if not members.limit(1).count():
             return roots
+        if 2 * members.count() > before:
+            break
     rest = members.select("tid", "size").unionByName(members.select(F.col("hub").alias("tid"), F.col("hub_size").alias("size")))
     rare = _rare_labels(settle(rest.distinct(), "omh-rest"), content, similarity)
     width = MEETINGS
     while True:
         found = _open_labels(rare, roots)
-        most = found.agg(F.max("texts")).first()[0] or 0
+        stray = F.when(F.col("root") != F.col("main"), F.col("texts"))
+        most, meetings, texts = found.agg(F.coalesce(F.max("texts"), F.lit(0)), F.coalesce(F.sum(stray), F.lit(0)), F.count_distinct("tid")).first()
+        if meetings <= MEETINGS * MEETINGS * texts:
+            width = max(width, most)
         done, roots = compared(_crossed(found, similarity, width), roots, done)
         if width >= most:
             return roots

@@ -141,6 +141,27 @@ def test_a_large_cluster_linked_by_chains_is_not_compared_pair_by_pair(spark, mo
     assert sum(compared) < 240 * 239 / 2 / 3
 
 
+def test_a_hub_that_settles_little_is_the_last_one(spark, monkeypatch):
+    """Pairs of near texts that share one group only: the hub settles one of them, so the rest is not compared with a second hub."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        base = prose(rng, 80)
+        texts += [" ".join(base), " ".join(base[:40] + ["other"] + base[41:])]
+    compared = []
+
+    def counted(pairs, labels, least, plain=order_minhash._verify):
+        pairs = pairs.localCheckpoint()
+        compared.append(pairs.count())
+        return plain(pairs, labels, least)
+
+    monkeypatch.setattr(order_minhash, "_verify", counted)
+    monkeypatch.setattr(order_minhash, "sketched", lambda docs, plain=order_minhash.sketched: plain(docs).selectExpr("doc_id", "tid", "size", "array(1L) as keys"))
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert got == {n: n - n % 2 for n in range(len(texts))}
+    assert compared == [23, 11]
+
+
 def test_one_row_of_each_class_stays(spark):
     texts = ["one two three four five six", "one two three four five six", "another text of some six words", None, ""]
     df = documents(spark, texts).unionByName(documents(spark, texts[:1])).unionByName(documents(spark, ["same id, not the same words here"]))

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tamiz.llm import registered, source_mixing, warc_revisits
+from tamiz.llm import common
 from tamiz.llm.common import components
 from tamiz.session import new_path
 from tests.llm.helpers import DATA, HAVE_DATA, classes, documents
@@ -97,6 +98,23 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
 
 
+def test_components_write_no_round_that_changes_nothing(spark, monkeypatch):
+    written = []
+
+    def counted(df, name, plain=common.settle):
+        written.append(name)
+        return plain(df, name)
+
+    monkeypatch.setattr(common, "settle", counted)
+    star = spark.createDataFrame([(1, n) for n in range(2, 30)] + [(40, 41)], "a long, b long")
+    got = {r.node: r.root for r in components(star, "test").collect()}
+    assert got == {n: 1 for n in range(1, 30)} | {40: 40, 41: 40} and written == ["test-links"]
+    written.clear()
+    chained = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "a long, b long")
+    assert {r.node: r.root for r in components(chained, "test").collect()} == {n: 1 for n in range(1, 5)}
+    assert written[0] == "test-links" and len(written) <= 3
+
+
 def test_every_operator_and_the_pipeline_are_registered():
     names = registered.queries()
     assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{k}" for k in range(1, 14))}
