@@ -167,6 +167,12 @@ def knn_uniform(split: DataFrame, id_col: str, n_classes: int, k: int = 5) -> Da
         "id", "y", F.col("label").alias("pred"), "proba")
 
 
+def _on_all_cores(df: DataFrame) -> DataFrame:
+    """Narrow rows are stored in few files; a fit passes over them once for every level of its trees, so no core may lack a share."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def random_forest(split: DataFrame, id_col: str, n_classes: int, trees: int = 100,
                   depth: int = 15, seed: int = 42):
     """(model, predictions) of a class-balanced forest; predictions as in ``knn_uniform``."""
@@ -181,10 +187,10 @@ def random_forest(split: DataFrame, id_col: str, n_classes: int, trees: int = 10
         seed=seed, featureSubsetStrategy="sqrt")
     labelled = train.select(array_to_vector("vector").alias("x"),
                             F.col("y").cast("double").alias("label"), weight.alias("w"))
-    model = learner.fit(labelled)
+    model = learner.fit(_on_all_cores(labelled))
     test = split.where("is_test").select(
         F.col(id_col).alias("id"), "y", array_to_vector("vector").alias("x"))
-    predictions = model.transform(test).select(
+    predictions = model.transform(_on_all_cores(test)).select(
         "id", "y", F.col("prediction").cast("int").alias("pred"),
         vector_to_array("probability").alias("proba"))
     return model, predictions

@@ -7,6 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..config import DEFAULT, TriageConfig
 from ..functions import features as FX
 from ..functions import mail as M
@@ -110,7 +111,12 @@ def extract_signals(parsed: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame
 
 
 def feature_table(parsed: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
-    """report_id plus one DOUBLE column per feature and the ``vector`` array."""
+    """report_id plus one DOUBLE column per feature and the ``vector`` array.
+
+    Of signal rows (``extract_signals``), which have the vector already, it takes its values (a missing one is 0); no text is read again.
+    """
+    if "vector" in parsed.columns:
+        return parsed.select("report_id", *[F.col("vector")[i].alias(n) for i, n in enumerate(C.FEATURE_NAMES)], "vector")
     wide = parsed.withColumns(_text_columns(cfg)).select(
         "report_id", *[c.alias(n) for n, c in _feature_columns(cfg).items()])
     return wide.withColumn("vector", FX.features_to_vector(

@@ -103,7 +103,7 @@ def _as_analysis(df: DataFrame, classification, confidence, reporter, sender, ri
     )
 
 
-def _stored_signals(reports: DataFrame, cfg: TriageConfig, columns: Sequence[str] | None, *unused: str) -> DataFrame:
+def stored_signals(reports: DataFrame, cfg: TriageConfig = DEFAULT, columns: Sequence[str] | None = None, *unused: str) -> DataFrame:
     """Signal rows, written once: the lookups read the table several times, the mail only this time.
 
     What takes most room is left empty unless it is among the wanted result ``columns``.
@@ -124,10 +124,15 @@ def deep_analysis(reports: DataFrame, whitelist: DataFrame,
 
     With ``columns`` the result has only these, and less is written on the way.
     """
-    signals = _stored_signals(reports, cfg, columns, "vector")
+    return _wanted(deep_signals(stored_signals(reports, cfg, columns, "vector"), whitelist, ip_reputation, responses), columns)
+
+
+def deep_signals(signals: DataFrame, whitelist: DataFrame,
+                 ip_reputation: DataFrame | None = None, responses: DataFrame | None = None) -> DataFrame:
+    """``deep_analysis`` of signal rows; those read from a file are not parsed again."""
     decided = _deep_decision(score_signals(signals, whitelist, ip_reputation), responses)
     listed = F.col("whitelisted")
-    return _wanted(_as_analysis(
+    return _as_analysis(
         decided,
         F.when(listed, F.lit("legitimo")).otherwise(F.col("deep.classification")),
         F.when(listed, F.lit(1.0)).otherwise(F.col("deep.confidence")),
@@ -138,7 +143,7 @@ def deep_analysis(reports: DataFrame, whitelist: DataFrame,
         F.md5(F.col("path")),
         [F.col("homograph"), F.col("url_count"), F.col("header_count"),
          F.col("suspicious_headers"), F.col("heuristic_score")],
-    ), columns)
+    )
 
 
 def file_stem(path: Column) -> Column:
@@ -222,7 +227,7 @@ def triage(reports: DataFrame, whitelist: DataFrame, training: DataFrame,
     ``source`` is ``whitelist``, ``knn``, ``llm`` (deep analysis), or ``unreported`` for mail
     without a reporter, which goes to spam unanalysed.
     """
-    signals = _stored_signals(reports, cfg, columns)
+    signals = stored_signals(reports, cfg, columns)
     return _wanted(triage_signals(signals, whitelist, training, ip_reputation, responses, cfg, threshold), columns)
 
 

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tamiz.operators import evaluation as EV
+from tamiz.operators import parsing
 
 
 def table(spark, n=240, classes=3, dim=4, seed=2):
@@ -67,3 +68,45 @@ def test_models_are_compared(spark):
     assert sum(r["is_best"] for r in rows) == 1 and all(.5 < r["f1"] <= 1 for r in rows)
     top = EV.feature_importance(model, list("abcd"), spark, 2).collect()
     assert len(top) == 2 and top[0]["importance"] >= top[1]["importance"]
+
+
+def test_learning_parses_the_reports_once(spark, tmp_path, monkeypatch):
+    from catalog import model_queries
+
+    spark.range(40).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'s' as source", "10 as n_chars").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    parsed = []
+
+    def counted(reports, plain=parsing.parse_reports):
+        parsed.append(1)
+        return plain(reports)
+
+    monkeypatch.setattr(parsing, "parse_reports", counted)
+    rows = model_queries.learnable(spark, str(tmp_path)).collect()
+    assert len(parsed) == 1
+    assert {r.report_id for r in rows} == set(range(40)) and all(len(r.vector) == 33 and r.y in (0, 1, 2) for r in rows)
+
+
+def test_features_of_signal_rows_are_those_of_the_parsed_reports(spark):
+    mails = spark.createDataFrame([(1, "Subject: a\n\nhttp://x.example/a"), (2, None), (3, "authentication-results: spf=fail\n\n")], "report_id long, content string")
+    parsed = parsing.parse_reports(mails)
+    want = parsing.feature_table(parsed)
+    got = parsing.feature_table(parsing.extract_signals(parsed))
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.drop("vector").collect())) == sorted(map(tuple, want.drop("vector").na.fill(0.0).collect()))
+    assert {r.report_id: r.vector for r in got.collect()} == {r.report_id: r.vector for r in want.collect()}
+
+
+def test_a_forest_is_fitted_on_all_cores(spark, monkeypatch):
+    shares = []
+
+    class Counted(EV.RandomForestClassifier):
+        def fit(self, rows, params=None):
+            shares.append(rows.rdd.getNumPartitions())
+            return super().fit(rows, params)
+
+    monkeypatch.setattr(EV, "RandomForestClassifier", Counted)
+    rows = spark.range(60).selectExpr("id", "int(id % 2) as y", "array(double(id % 2), 1.0D) as vector", "id % 5 = 0 as is_test").coalesce(1)
+    model, answers = EV.random_forest(rows, "id", 2, trees=3, depth=2)
+    assert shares == [spark.sparkContext.defaultParallelism] and shares[0] > 1
+    assert {r.id for r in answers.collect()} == set(range(0, 60, 5)) and all(r.pred == r.y for r in answers.collect())
