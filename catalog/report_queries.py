@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def whitelist(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in D.WHITELIST], "domain string")
+    return spark.createDataFrame(pa.table({"domain": D.WHITELIST}), "domain string")
 
 
 def reputation(spark: SparkSession, sf: str) -> DataFrame:

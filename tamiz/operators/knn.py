@@ -56,7 +56,9 @@ def _vote_udf(vectors: list, labels: list, k: int, weights: str, n_classes: int)
                 [pa.array(out_label), pa.array(confidence), pa.ListArray.from_arrays(ends, pa.array(out_proba.ravel()))],
                 ["label", "confidence", "proba"])
 
-    return vote
+    # As a function that may answer differently it is asked once a row; a condition on the vote would otherwise be moved below
+    # it together with a copy of it, and every task would hold two Python workers.
+    return vote.asNondeterministic()
 
 
 def knn_vote(vector: Column, training: DataFrame, k: int = 5, weights: str = "distance",

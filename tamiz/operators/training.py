@@ -7,6 +7,7 @@ limit, which Spark applies before the shuffle; numberings split a model's rows i
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,11 @@ _PARTS = 64
 
 
 def seed_training(spark: SparkSession) -> DataFrame:
-    """The rows a fresh model starts from."""
-    rows = [(i, [float(x) for x in v], label) for i, (v, label) in enumerate(C.SEED_TRAINING)]
+    """The rows a fresh model starts from; given as a table, they are read without a Python worker."""
+    vectors, labels = zip(*C.SEED_TRAINING)
+    rows = pa.table({"seq": pa.array(range(len(labels)), pa.int64()),
+                     "vector": pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float64())),
+                     "label": pa.array(labels, pa.int32())})
     return spark.createDataFrame(rows, TRAINING_SCHEMA)
 
 

@@ -159,3 +159,12 @@ def test_null_and_uneven_vectors_are_refused():
     for odd in ([[1.0] * 4, None], [[1.0], [2.0, 3.0, 4.0]]):
         with pytest.raises(ValueError):
             metric_index.matrix(pa.table({"vector": pa.array(odd, kind)}))
+
+
+def test_a_condition_on_the_vote_does_not_ask_it_twice(spark):
+    rows = spark.createDataFrame([(i, [float(i % 2)] * 33) for i in range(20)], VECTOR)
+    voted = knn.with_vote(rows, "v", seed_training(spark)).select("id", "v.label", "v.confidence")
+    kept = voted.where("confidence > 0 AND label >= 0")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted(kept.collect()) == sorted(voted.collect()) and kept.count() == 20

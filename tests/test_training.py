@@ -93,3 +93,11 @@ def test_feedback(spark):
     assert (s["total_examples"], s["legitimo"], s["spam"], s["sospechoso"], s["training_count"],
             s["current_threshold"], s["feedback_count"]) == (15, 5, 4, 6, 0, .95, 100)
     assert len(C.LABELS) == 3
+
+
+def test_seeds_are_read_without_python_workers(spark):
+    seeds = TR.seed_training(spark)
+    assert "ExistingRDD" not in seeds._jdf.queryExecution().executedPlan().toString()
+    assert seeds.schema.simpleString() == "struct<seq:bigint,vector:array<double>,label:int>"
+    assert [(r["seq"], r["vector"], r["label"]) for r in seeds.orderBy("seq").collect()] == [
+        (i, [float(x) for x in v], label) for i, (v, label) in enumerate(C.SEED_TRAINING)]
