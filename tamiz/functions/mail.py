@@ -43,13 +43,14 @@ def normalize_content(content: Column) -> Column:
     lines = content
     for tag in ("<br>", "<br/>", "<br />"):
         lines = F.replace(lines, F.lit(tag), F.lit("\n"))
-    return let(lines, _break_before_headers)
+    return let(F.when(F.contains(content, F.lit("<br")), lines).otherwise(content), _break_before_headers)
 
 
 def _break_before_headers(lines: Column) -> Column:
     # White space that opens the text follows nothing, so it is never a place to break.
     rest = F.ltrim(lines, F.lit(WS_CHARS))
-    opening = F.left(lines, F.length(lines) - F.length(rest))
+    opening = F.when(F.octet_length(lines) > F.octet_length(rest),
+                     F.left(lines, F.length(lines) - F.length(rest))).otherwise(F.lit(""))
     return F.concat(opening, F.regexp_replace(rest, _MID_LINE_HEADER, "\n$1$2"))
 
 
@@ -61,7 +62,7 @@ def parse_headers(clean: Column) -> Column:
         return strip(F.when(F.contains(value, F.lit("\n")), joined).otherwise(value))
 
     def entry(block):
-        value = F.substring(block, F.locate(":", block) + 1, F.length(block))
+        value = F.substr(block, F.locate(":", block) + 1)
         return F.struct(
             strip(F.substring_index(block, ":", 1)).alias("key"),
             html_unescape(let(value, fold)).alias("value"),

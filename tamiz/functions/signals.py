@@ -103,8 +103,9 @@ def html_obfuscation_count(content: Column, content_lower: Column | None = None)
 
 def occurrences(content: Column, token: str) -> Column:
     """Non-overlapping occurrences of a token."""
-    removed = F.length(content) - F.length(F.replace(content, F.lit(token), F.lit("")))
-    return (removed / len(token)).cast("int")
+    # In bytes, whose number is known; characters would have to be counted.
+    removed = F.octet_length(content) - F.octet_length(F.replace(content, F.lit(token), F.lit("")))
+    return (removed / len(token.encode())).cast("int")
 
 
 def keyword_count(subject_lower: Column, words: Sequence[str]) -> Column:
@@ -130,15 +131,18 @@ def pattern_reasons(keyword: Column, from_value: Column, reply_to: Column,
 
 
 def heuristic_score(content: Column, content_lower: Column, headers: Column,
-                    words: Sequence[str], case: str = "exact") -> Column:
-    """Independent 0-1.2 score; the order of additions is part of the definition."""
+                    words: Sequence[str], case: str = "exact", searched: Column | None = None) -> Column:
+    """Independent 0-1.2 score; the order of additions is part of the definition.
+
+    ``searched`` may stand in for ``content_lower`` where the words are looked for.
+    """
     auth = F.lower(header(headers, "authentication-results", case))
 
     def points(condition, value):
         return F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
 
     return (
-        points(any_word(content_lower, words), 0.3)
+        points(any_word(content_lower if searched is None else searched, words), 0.3)
         + points(shortener_in_text(content), 0.2)
         + points(html_form_present(content, content_lower), 0.3)
         + points(F.contains(auth, F.lit("spf=fail")), 0.2)

@@ -52,8 +52,7 @@ def _feature_columns(cfg: TriageConfig) -> dict[str, Column]:
 
 
 @lru_cache
-def _signal_columns(cfg: TriageConfig) -> tuple[dict[str, Column], dict[str, Column],
-                                                dict[str, Column]]:
+def _signal_columns(cfg: TriageConfig) -> tuple[dict[str, Column], ...]:
     h, content = F.col("headers"), F.col("content")
     case = cfg.header_case
     first = _text_columns(cfg) | {
@@ -64,8 +63,13 @@ def _signal_columns(cfg: TriageConfig) -> tuple[dict[str, Column], dict[str, Col
     }
     second = {
         "_urls": F.array_distinct(F.col("_url_list")),
+        "_any_word": T.any_word(F.col("_lower"), [*cfg.keywords, *cfg.heuristic_words]),
+    }
+    # Both word lists are looked for at once; only a text that holds one of them is searched for each list.
+    searched = F.when(F.col("_any_word"), F.col("_lower")).otherwise(F.lit(""))
+    third = {
         "_keyword": T.first_contained(
-            cfg.keywords, F.lower(F.coalesce(F.col("subject_raw"), F.lit(""))), F.col("_lower")),
+            cfg.keywords, F.lower(F.coalesce(F.col("subject_raw"), F.lit(""))), searched),
     }
     urls = F.col("_urls")
     kept = {
@@ -91,10 +95,10 @@ def _signal_columns(cfg: TriageConfig) -> tuple[dict[str, Column], dict[str, Col
         "pattern_reasons": S.pattern_reasons(
             F.col("_keyword"), F.col("from_raw"), S.reply_to_reason(h), urls),
         "heuristic_score": S.heuristic_score(
-            content, F.col("_lower"), h, cfg.heuristic_words, case),
+            content, F.col("_lower"), h, cfg.heuristic_words, case, searched),
         "vector": FX.features_to_vector(_feature_columns(cfg)),
     }
-    return first, second, kept
+    return first, second, third, kept
 
 
 def extract_signals(parsed: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
@@ -103,10 +107,10 @@ def extract_signals(parsed: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame
     Joins and shuffles downstream move these narrow rows, never the mail bodies; columns a
     query does not use are pruned before they are computed.
     """
-    first, second, kept = _signal_columns(cfg)
+    first, second, third, kept = _signal_columns(cfg)
     path = F.col("path") if "path" in parsed.columns else F.col("report_id").cast("string")
     others = [c for c in parsed.columns if c not in ("headers", "content", "path")]
-    return parsed.withColumns(first).withColumns(second).select(
+    return parsed.withColumns(first).withColumns(second).withColumns(third).select(
         *others, path.alias("path"), *[c.alias(n) for n, c in kept.items()])
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tamiz import constants as C
 from tamiz.functions import mail as M
+from tamiz.functions import signals as S
 from tamiz.operators import parsing
 
 EXPORT = (
@@ -137,3 +138,28 @@ def test_diagnostics(spark):
     assert (row["header_lines"], row["has_br"], row["has_entities"], row["has_received"]) == (2, True, True, True)
     cover = parsing.parse_coverage(df).first()
     assert (cover["total"], cover["with_headers"], cover["without_headers"]) == (1, 1, 0)
+
+
+def test_either_word_list_is_found_and_searched_for_once(spark):
+    bodies = ["nothing", "the Password is", "a PRIZE", "please Confirm", "SUSPENDED", "verificar", None, "", "bit.ly ñ -- --"]
+    rows = [(i, None if b is None else f"Subject: {'winner' if i == 0 else 'x'}\n\n{b}") for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "report_id long, content string")
+    signals = parsing.extract_signals(parsing.parse_reports(df))
+    plan = signals._jdf.queryExecution().optimizedPlan().toString()
+    # The words of both lists, without those that hold another one; each list only where one was found.
+    assert re.search(r"CASE WHEN _any_word#\d+ THEN Contains", plan)
+    got = {r["report_id"]: (r["keyword"], r["heuristic_score"]) for r in signals.collect()}
+    assert got == {0: ("winner", 0.0), 1: (None, 0.3), 2: ("prize", 0.0), 3: (None, 0.3), 4: ("suspend", 0.3),
+                   5: ("verificar", 0.0), 6: (None, 0.0), 7: (None, 0.0), 8: (None, 0.2)}
+
+
+def test_occurrences_do_not_depend_on_the_width_of_characters(column):
+    texts = ["", "--", "---", "ñ--é--", "€ -- – --", None, "----a"]
+    assert column(texts, lambda c: S.occurrences(c, "--")) == [None if t is None else t.count("--") for t in texts]
+    assert column(["ñañ", "a"], lambda c: S.occurrences(c, "ñ")) == [2, 0]
+
+
+def test_breaks_and_opening_space_are_kept(column):
+    texts = ["a<br>b", "a<br/>b<br />c", "a<br x", "   Subject: x From: y", "Subject: x To: ñ", " ", None]
+    assert column(texts, M.normalize_content) == [
+        "a\nb", "a\nb\nc", "a<br x", "   Subject: x\nFrom: y", "Subject: x\nTo: ñ", " ", None]

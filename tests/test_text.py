@@ -93,3 +93,14 @@ def test_normalize_homograph_is_sent_only_what_is_not_ascii(spark, column):
     assert column(values, T.normalize_homograph) == ["plain\x00 \x7f", "", None, "12fi", "e", "x", "A"]
     plan = spark.createDataFrame([("a",)], "t string").select(T.normalize_homograph(F.col("t")))._jdf.queryExecution().toString()
     assert "RLIKE" in plan.upper() or "REGEXP" in plan.upper()
+
+
+def test_words_are_searched_as_bytes_and_each_stem_once(spark, column):
+    words = ["urgent", "urgente", "a.b", "c*", "actúa", "urgent"]
+    texts = ["", "muy urgente", "axb", "a.b", "cc", "c*", "ACTÚA", "actúa ya", None, "urgen"]
+    assert column(texts, lambda c: T.any_word(c, words)) == [
+        None if t is None else any(w in t for w in words) for t in texts]
+    assert column(["x"], lambda c: T.any_word(c, [])) == [False]
+    df = spark.createDataFrame([("x",)], "v string").where(T.any_word(F.col("v"), words))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper() and plan.count("Contains(") == 4
