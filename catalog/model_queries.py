@@ -221,9 +221,13 @@ n1 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, i) <= round(count
 
 
 def learnable(spark, sf) -> DataFrame:
-    """The 33 features of every derived report and the class its deep analysis gives it, split by class."""
+    """The 33 features of every derived report and the class its deep analysis gives it, split by class.
+
+    The planner counts an array as one value, and coded as it is in the file; it would broadcast vectors of many times that size. So the
+    two sides are sorted and merged.
+    """
     signals = TG.stored_signals(D.reports(spark, sf), columns=["report_id", "classification"])
-    features = parsing.feature_table(signals).select("report_id", "vector")
+    features = parsing.feature_table(signals).select("report_id", "vector").hint("merge")
     classes = TG.deep_signals(signals, whitelist(spark)).select("report_id", "classification")
     rows = features.join(classes, "report_id").select("report_id", "vector", TG.label_id(F.col("classification")).alias("y"))
     return settle(EV.stratified_split(settle(rows, "learnable"), "report_id", "y"), "learnable-split")

@@ -87,6 +87,24 @@ def test_learning_parses_the_reports_once(spark, tmp_path, monkeypatch):
     assert {r.report_id for r in rows} == set(range(40)) and all(len(r.vector) == 33 and r.y in (0, 1, 2) for r in rows)
 
 
+def test_vectors_of_all_reports_are_never_broadcast(spark, tmp_path, monkeypatch):
+    from catalog import model_queries
+
+    spark.range(40).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'s' as source", "10 as n_chars").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    plans = {}
+
+    def planned(df, name, plain=model_queries.settle):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(model_queries, "settle", planned)
+    rows = model_queries.learnable(spark, str(tmp_path)).collect()
+    by_report = [line for line in plans["learnable"].splitlines() if "Join [report_id" in line]
+    assert len(by_report) == 1 and "SortMergeJoin" in by_report[0]
+    assert sorted(r.report_id for r in rows) == list(range(40)) and all(len(r.vector) == 33 and r.y in (0, 1, 2) for r in rows)
+
+
 def test_features_of_signal_rows_are_those_of_the_parsed_reports(spark):
     mails = spark.createDataFrame([(1, "Subject: a\n\nhttp://x.example/a"), (2, None), (3, "authentication-results: spf=fail\n\n")], "report_id long, content string")
     parsed = parsing.parse_reports(mails)
